@@ -1,0 +1,22 @@
+"""A global sort whose partitions stay fixed, the base of exact positions and neighbours."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from trialloom.session import materialize
+
+PART = "__part"
+
+
+def range_sorted(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, with the partition's number in ``__part``.
+
+    The result is a checkpoint: range boundaries are sampled anew whenever a plan
+    runs, so positions may only be counted over partitions written once. A key of
+    any weight is spread over as many partitions as its rows need, as long as
+    ``order`` goes on behind the key.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ranged.withColumn(PART, F.spark_partition_id()))
