@@ -1,4 +1,6 @@
 """All queries of the core by name, with their SQL."""
 
-QUERIES = {}
-SQL = {}
+from trialloom.queries import problems
+
+QUERIES = {**problems.QUERIES}
+SQL: dict[str, str] = {}
