@@ -1,6 +1,6 @@
 """All queries of the core by name, with their SQL."""
 
-from trialloom.queries import problems
+from trialloom.queries import problems, texts
 
-QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+QUERIES = {**problems.QUERIES, **texts.query.queries}
+SQL: dict[str, str] = {**texts.query.sql}
