@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from trialloom.operators.ranking import RANK_DIGITS, top_k
 
@@ -20,11 +19,18 @@ def min_max(rows: DataFrame, group: list[str], score: str = "score", out: str =
     asks for equality. Null scores count as 0.
     """
     value = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
-    window = Window.partitionBy(*group)
-    low, high = F.min(value).over(window), F.max(value).over(window)
+    bounds = rows.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    low, high = F.col("__low"), F.col("__high")
     equal = (high - low) <= relative * F.greatest(F.abs(low), F.abs(high))
     scaled = F.when(equal, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((value - low) / (high - low))
-    return rows.withColumn(out, scaled)
+    return rows.join(bounds, _same(group), "left").select(*rows.columns, scaled.alias(out))
+
+
+def _same(group: list[str]) -> Column:
+    condition = F.lit(True)
+    for g in group:
+        condition &= F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return condition
 
 
 def _by_channel(channels: list[str], channel: str, value: str) -> list[Column]:
@@ -41,15 +47,13 @@ def fuse(rows: DataFrame, group: list[str], item: str, channels: list[str], weig
     """
     weights = weights or dict.fromkeys(channels, 1.0)
     normed = min_max(rows.where(F.col("channel").isin(channels)), [*group, "channel"], relative=relative)
-    total = F.lit(0.0)
-    for c in channels:
-        active = F.max((F.col("channel") == c).cast("int")).over(Window.partitionBy(*group))
-        total = total + active * float(max(weights.get(c, 0.0), 0.0))
+    merged = normed.groupBy(*group, item).agg(*_by_channel(channels, "channel", "norm"), *_by_channel(channels, "channel", "score"), F.countDistinct("channel").cast("int").alias("n_channels"))
     if mode == "weighted":
-        normed = normed.withColumn("__active", total)
-    else:
-        normed = normed.withColumn("__active", F.lit(1.0))
-    merged = normed.groupBy(*group, item).agg(*_by_channel(channels, "channel", "norm"), *_by_channel(channels, "channel", "score"), F.first("__active").alias("__active"), F.countDistinct("channel").cast("int").alias("n_channels"))
+        total = F.lit(0.0)
+        for c in channels:
+            total = total + F.max((F.col("channel") == c).cast("int")) * float(max(weights.get(c, 0.0), 0.0))
+        active = rows.where(F.col("channel").isin(channels)).groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(total.alias("__active"))
+        merged = merged.join(active, _same(group), "left")
     score = F.lit(0.0)
     for c in channels:
         factor = float(max(weights.get(c, 0.0), 0.0)) if mode == "weighted" else 1.0
@@ -57,7 +61,7 @@ def fuse(rows: DataFrame, group: list[str], item: str, channels: list[str], weig
     if mode == "weighted":
         score = F.when(F.col("__active") > 0, score / F.col("__active")).otherwise(score)
     if mode == "structured" and compat:
-        score = score + F.coalesce(*[F.coalesce(F.when(F.col(f"norm_{c}").isNotNull(), F.coalesce(F.col(f"score_{c}"), F.lit(0.0)))) for c in channels], F.lit(0.0))
+        score = score + F.coalesce(*[F.when(F.col(f"norm_{c}").isNotNull(), F.coalesce(F.col(f"score_{c}"), F.lit(0.0))) for c in channels], F.lit(0.0))
     return merged.select(*group, item, "n_channels", score.alias("score"))
 
 
@@ -99,8 +103,8 @@ def to_parents(items: DataFrame, group: list[str], parent: str, item: str, kind:
 
     An item counts its score times its weight; support is the best one plus .35
     of the second and .2 of the third. Ties go by kind, then item. The best
-    ``keep`` are found by partial aggregation of bounded arrays, not by sorting a
-    parent's items in one task.
+    ``keep`` are cut in each partition before the shuffle, so a parent's items never
+    meet in one task.
     """
     weighed = items.withColumn("__w", F.round(F.col(score) * weight, RANK_DIGITS))
     first = top_k(weighed, [*group, parent], [F.col("__w").desc(), F.col(kind).asc(), F.col(item).asc()], keep, "__rank")

@@ -6,7 +6,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from trialloom.operators.positions import group_positions
 
 
 def latest_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -113,8 +114,8 @@ def length_stats(df: DataFrame, value: str, group: list[str] | None = None) -> D
 
 
 def numbered(df: DataFrame, group: list[str], order: list[Column], out: str = "sequence") -> DataFrame:
-    """Rows of each group numbered from 0 in a total order."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    """Rows of each group numbered from 0 in a total order, by exact positions in a global sort."""
+    return group_positions(df, group, order, out).withColumn(out, F.col(out) - 1)
 
 
 def position_slice(df: DataFrame, position: str, start: int = 0, stop: int | None = None, limit: int | None = None) -> DataFrame:

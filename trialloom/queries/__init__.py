@@ -1,6 +1,6 @@
 """All queries of the core by name, with their SQL."""
 
-from trialloom.queries import problems, texts
+from trialloom.queries import problems, retrieval, texts
 
-QUERIES = {**problems.QUERIES, **texts.query.queries}
-SQL: dict[str, str] = {**texts.query.sql}
+QUERIES = {**problems.QUERIES, **texts.query.queries, **retrieval.query.queries}
+SQL: dict[str, str] = {**texts.query.sql, **retrieval.query.sql}

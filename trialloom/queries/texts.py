@@ -17,7 +17,7 @@ _WS = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '{_B}', ' ', 'g'))"  #
 _BLOCK = lambda x: (
     f"replace(replace(regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(coalesce({x}, ''), '{T.LINE_END}'), lambda l: {_WS('l')}), chr(10)), '^\\n+|\\n+$', '', 'g'), '\\n\\n+', chr(1), 'g'), chr(10), ' '), chr(1), chr(10) || chr(10))"
 )
-_TOKENS = lambda x: (
+duck_tokens = lambda x: (
     f"flatten(list_transform(regexp_extract_all(lower(replace(coalesce({x}, ''), '_', ' ')), '{T.TOKEN}'), lambda c: CASE WHEN regexp_matches(c, '^[a-z0-9]') THEN [c] "
     "ELSE flatten(list_transform(range(1, least(length(c), 6) + 1), lambda n: list_transform(range(1, length(c) - n + 2), lambda a: substring(c, a, n)))) || CASE WHEN length(c) > 6 THEN [c] ELSE [] END END))"
 )
@@ -61,7 +61,7 @@ def dedupe_cs(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.array_join(lines, "|").alias("lines"))
 
 
-@query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {_TOKENS('text')} AS t FROM documents)")
+@query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {duck_tokens('text')} AS t FROM documents)")
 def tokenize(spark, sf_dir):
     tokens = _documents(spark, sf_dir).select("doc_id", T.tokenize(F.col("text")).alias("t"))
     return tokens.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
