@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trialloom.llm.sorted_table import PART, range_sorted
+from trialloom.operators.positions import PART, range_sorted
 
 
 def _with_next(keys: list[str], text: str, id_column: str):

@@ -2,58 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from trialloom.llm.sorted_table import PART, range_sorted
+from trialloom.operators.positions import group_positions
 
 POSITION = "position"
 
 
-def _codes(frame: pd.DataFrame) -> np.ndarray:
-    """One integer row per row, equal where all columns are equal; null equals null."""
-    return np.column_stack([pd.factorize(frame[c], use_na_sentinel=False)[0] for c in frame.columns])
-
-
-def _same(a: tuple, b: tuple) -> bool:
-    return all((pd.isna(x) and pd.isna(y)) or x == y for x, y in zip(a, b, strict=True))
-
-
-def _local_positions(groups: list[str], n: int):
-    """Numbers the rows of each run of a group within its sorted partition, keeping the first ``n``."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: tuple | None = None
-        seen = 0
-        for batch in batches:
-            if batch.empty:
-                continue
-            codes = _codes(batch[groups])
-            starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)])
-            run_of = np.searchsorted(starts, np.arange(len(batch)), side="right") - 1
-            position = np.arange(len(batch)) - starts[run_of] + 1
-            first, final = (tuple(batch[groups].iloc[i]) for i in (0, -1))
-            carried = seen if last is not None and _same(first, last) else 0
-            position[run_of == 0] += carried
-            last, seen = final, int(position[-1])
-            kept = position <= n
-            yield batch[kept].assign(**{POSITION: position[kept].astype("int64")})
-
-    return run
-
-
 def top_n_per_group(df: DataFrame, groups: list[str], score: str, ids: list[str], n: int) -> DataFrame:
     """The ``n`` items of each group with the highest score; ties go to the smaller id.
 
-    An item (``ids``) counts once per group with its best score. The items are
-    sorted globally by group, score and id; counts of each group per partition,
-    summed up over the partitions before, turn positions within a partition into
-    positions within the group. No task holds a group, whatever its size.
+    An item (``ids``) counts once per group with its best score, reduced before
+    the rows are shuffled. The items are sorted globally by group, score and id;
+    prefix sums of each group's counts per partition give exact positions, so no
+    task holds a group.
 
     Rows whose score is null or NaN don't count; -0.0 equals 0.0. A null group is
     a group of its own, a null id sorts first. Repeated rows count once. Other
@@ -67,21 +30,5 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, ids: list[str]
         .groupBy(*groups, *ids)
         .agg(F.max(value + F.lit(0.0)).alias(score))
     )
-    order = [F.col(g).asc_nulls_first() for g in groups]
-    order += [F.col(score).desc(), *(F.col(i).asc_nulls_first() for i in ids)]
-    fixed = range_sorted(best, order)
-
-    counts = fixed.groupBy(PART, *groups).agg(F.count(F.lit(1)).alias("__count"))
-    before = Window.partitionBy(*groups).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(PART, *(F.col(g).alias(f"__{g}") for g in groups), F.sum("__count").over(before).alias("__before"))
-    # In a sorted table only the first group of a partition can have rows before it: at most one row a partition.
-    offsets = F.broadcast(offsets.where("__before > 0").withColumnRenamed(PART, "__of"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed.schema.fields) + f", `{POSITION}` bigint"
-    local = fixed.mapInPandas(_local_positions(groups, n), schema)
-    match = F.col(PART) == F.col("__of")
-    for g in groups:
-        match &= F.col(g).eqNullSafe(F.col(f"__{g}"))
-    placed = local.join(offsets, match, "left")
-    position = F.col(POSITION) + F.coalesce("__before", F.lit(0))
-    return placed.select(*groups, *ids, score, position.alias(POSITION)).where(F.col(POSITION) <= n)
+    order = [F.col(score).desc(), *(F.col(i).asc_nulls_first() for i in ids)]
+    return group_positions(best, groups, order, POSITION, n)
