@@ -1,6 +1,7 @@
 """All queries of the core by name, with their SQL."""
 
-from trialloom.queries import problems, retrieval, texts
+from trialloom.queries import pipeline, problems, retrieval, texts
 
-QUERIES = {**problems.QUERIES, **texts.query.queries, **retrieval.query.queries}
-SQL: dict[str, str] = {**texts.query.sql, **retrieval.query.sql}
+_LISTED = (texts.query, retrieval.query, pipeline.query)
+QUERIES = {**problems.QUERIES, **{k: q for listed in _LISTED for k, q in listed.queries.items()}}
+SQL: dict[str, str] = {k: s for listed in _LISTED for k, s in listed.sql.items()}
