@@ -66,6 +66,14 @@ def dedupe(texts: Column, ignore_case: bool = True) -> Column:
     return let(clean, lambda c: let(F.struct(c.alias("clean"), F.transform(c, F.lower).alias("lowered")), first_of_each))
 
 
+def dedupe_columns(columns: list[str]) -> list[Column]:
+    """``dedupe`` of many array columns, written as SQL text: building it column by column takes seconds."""
+    clean = "filter(transform(coalesce(@, array()), t -> trim(regexp_replace(coalesce(t, ''), r'" + BLANK + "+', ' '))), t -> t <> '')"
+    first = "transform(filter(transform(p.c, (t, i) -> struct(t, i)), n -> array_position(p.l, lower(n.t)) = n.i + 1), n -> n.t)"
+    form = "transform(transform(array(" + clean + "), c -> struct(c AS c, transform(c, t -> lower(t)) AS l)), p -> " + first + ")[0]"
+    return [F.expr(form.replace("@", f"`{c}`")).alias(c) for c in columns]
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case tokens; a run of Chinese characters as all its sequences of up to 6, and whole if longer."""
     runs = F.regexp_extract_all(F.lower(F.replace(_filled(text), F.lit("_"), F.lit(" "))), F.lit(TOKEN), F.lit(0))
@@ -154,7 +162,8 @@ def lenient_json(text: Column) -> Column:
     """The JSON in a reply: a fenced block, else the whole text, else from the first bracket to the last; null without any."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     inner = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
-    candidates = [F.when(F.trim(c) != "", F.trim(c)) for c in (fenced, text, inner)]
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    candidates = [F.nullif(bare(c), F.lit("")) for c in (fenced, text, inner)]
     return F.coalesce(*[F.when(F.try_parse_json(c).isNotNull(), c) for c in candidates])
 
 

@@ -79,7 +79,7 @@ def trial_records(sources: DataFrame, keys: list[str], xml: str, member_path: st
     flat = [T.normalize_whitespace(F.col(c)).alias(c) for c in [*TEXTS, "enrollment_type"] if c != "nct_id"]
     stem = F.regexp_extract(member_path, r"([^/]*?)(?:\.[^./]*)?$", 1)
     nct = F.coalesce(blank(T.normalize_whitespace(F.col("nct_id"))), stem)
-    out = raw.select(*keys, nct.alias("nct_id"), *flat, *[T.normalize_block(F.col(c)).alias(c) for c in BLOCKS], *[T.dedupe(F.col(c)).alias(c) for c in LISTS])
+    out = raw.select(*keys, nct.alias("nct_id"), *flat, *[T.normalize_block(F.col(c)).alias(c) for c in BLOCKS], *T.dedupe_columns(list(LISTS)))
     return out.select(
         "*", F.coalesce(blank(F.col("brief_title")), blank(F.col("official_title")), F.col("nct_id")).alias("display_title"),
         T.dedupe(F.concat("conditions", "condition_mesh_terms", "keywords")).alias("condition_terms"), T.dedupe(F.concat("interventions", "intervention_mesh_terms")).alias("intervention_terms"),
