@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trialloom.operators.positions import PART, range_sorted
+from trialloom.session import materialize
 
 
 def _with_next(keys: list[str], text: str, id_column: str):
@@ -28,17 +29,17 @@ def _with_next(keys: list[str], text: str, id_column: str):
     return run
 
 
-def _edges(take_first: bool, columns: list[str]):
+def _edges(columns: list[str]):
+    """The first and the last row of each partition, the last one marked."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        first = last = None
         for batch in batches:
             if len(batch):
-                if take_first and kept is None:
-                    kept = batch.iloc[:1]
-                elif not take_first:
-                    kept = batch.iloc[-1:]
-        if kept is not None:
-            yield kept[columns]
+                first = batch.iloc[:1] if first is None else first
+                last = batch.iloc[-1:]
+        if first is not None:
+            yield pd.concat([first.assign(__last=False), last.assign(__last=True)])[[*columns, "__last"]]
 
     return run
 
@@ -55,8 +56,8 @@ def mark_prefixes(df: DataFrame, keys: list[str], text: str, id_column: str) ->
 
     # One row a partition: its last text against the first text of the next partition that has rows.
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed.schema.fields)
-    first = fixed.mapInPandas(_edges(True, fixed.columns), schema)
-    final = fixed.mapInPandas(_edges(False, fixed.columns), schema)
+    edges = materialize(fixed.mapInPandas(_edges(fixed.columns), schema + ", __last boolean"))
+    first, final = edges.where("NOT __last"), edges.where("__last")
     following = Window.orderBy(PART)
     ahead = first.select(
         F.lag(PART).over(following).alias(PART), F.col(text).alias("__next"), F.struct(*keys).alias("__keys")

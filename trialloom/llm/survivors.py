@@ -29,6 +29,8 @@ CUT_MARKS = r"(?i)(\[\s*(truncated|more|see full [a-z ]+|continued|cut|cut off|a
 
 #: Most sources that are told apart; a source is one bit of a mask.
 MAX_SOURCES = 12
+#: A change of all accuracies below this ends the estimation.
+SETTLED = 1e-3
 
 
 def has_value(text: Column) -> Column:
@@ -75,8 +77,8 @@ def _dependence(shared_true: float, shared_false: float, differ: float, a: float
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
-def estimate_trust(values: DataFrame, item: list[str], sources: list[str], rounds: int = 4, n_false: int = 10, copy_rate: float = 0.8) -> Trust:
-    """Accuracies and dependence from a table of one row per item and value with the ``mask`` of its sources.
+def estimate_trust(values: DataFrame, item: list[str], sources: list[str], rounds: int = 4, n_false: int = 10, copy_rate: float = 0.8) -> tuple[Trust, list[int]]:
+    """Accuracies and dependence from a table of one row per item and value with the ``mask`` of its sources; and the masks.
 
     An item matters only by how often each mask occurs among its values, and
     equal such profiles are counted together, so each round is one small
@@ -89,7 +91,9 @@ def estimate_trust(values: DataFrame, item: list[str], sources: list[str], round
     masks = [r.mask for r in profiles.select(F.explode("profile.mask").alias("mask")).distinct().collect()]  # at most 2^MAX_SOURCES
     trust = Trust(sources, [0.8] * n, [[0.0] * n for _ in range(n)], n_false, copy_rate)
     if not masks:
-        return trust
+        return trust, masks
+    both = profiles.select("items", F.aggregate("profile", F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(p["mask"])).alias("mask"))
+    together = {r.mask: float(r.n) for r in both.groupBy("mask").agg(F.sum("items").alias("n")).collect()}  # at most 2^MAX_SOURCES rows
     for done in range(1, rounds + 1):
         weight = F.create_map(*[x for m in masks for x in (F.lit(m), F.lit(math.exp(min(trust.score(m), 300.0))))])
         total = F.aggregate("profile", F.lit(0.0), lambda acc, p: acc + p.k * F.element_at(weight, p["mask"]))
@@ -99,8 +103,6 @@ def estimate_trust(values: DataFrame, item: list[str], sources: list[str], round
         rows = rows.select("items", "p.mask", "p.k", (F.element_at(weight, F.col("p.mask")) / F.col("total")).alias("truth"))
         sums = rows.groupBy("mask").agg(F.sum(F.col("items") * F.col("k")).alias("k"), F.sum(F.col("items") * F.col("k") * F.col("truth")).alias("truth"))
         by_mask = {r.mask: (float(r.k), float(r.truth)) for r in sums.collect()}  # at most 2^MAX_SOURCES rows
-        both = profiles.select("items", F.aggregate("profile", F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(p["mask"])).alias("mask"))
-        together = {r.mask: float(r.n) for r in both.groupBy("mask").agg(F.sum("items").alias("n")).collect()}
         accuracy = []
         for s in range(n):
             claims = sum(k for m, (k, _) in by_mask.items() if m >> s & 1)
@@ -114,8 +116,11 @@ def estimate_trust(values: DataFrame, item: list[str], sources: list[str], round
                 true = sum(x for m, (_, x) in by_mask.items() if m & pair == pair)
                 differ = max(0.0, sum(k for m, k in together.items() if m & pair == pair) - shared)
                 dependence[s][t] = dependence[t][s] = _dependence(true, shared - true, differ, accuracy[s], accuracy[t], n_false, copy_rate)
+        moved = max(abs(a - b) for a, b in zip(accuracy, trust.accuracy, strict=True))
         trust = Trust(sources, accuracy, dependence, n_false, copy_rate, done)
-    return trust
+        if moved < SETTLED:
+            break
+    return trust, masks
 
 
 @dataclass(frozen=True)
@@ -172,6 +177,7 @@ def fuse_fields(
     )
     values = materialize(values.withColumn("value_id", F.xxhash64(*item, "flat")))
     given = values.where(F.col("flat").isNotNull())
+    trust, masks = estimate_trust(given, item, [*sources, "(other)"])
     if cut_off_field:
         marked = mark_prefixes(given.where(F.col("field_name") == cut_off_field), group, "flat", "value_id").where("is_prefix")
         # value_id hashes the whole key, so the join is spread even within one group.
@@ -181,8 +187,6 @@ def fuse_fields(
     else:
         given = given.withColumn("cut_off", F.lit(False))
 
-    trust = estimate_trust(given, item, [*sources, "(other)"])
-    masks = [r.mask for r in given.select("mask").distinct().collect()]  # at most 2^MAX_SOURCES
     score = F.lit(0.0)
     if masks:
         score = F.element_at(F.create_map(*[x for m in masks for x in (F.lit(m), F.lit(math.exp(min(trust.score(m), 300.0))))]), F.col("mask"))
