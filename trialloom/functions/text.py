@@ -76,7 +76,8 @@ def dedupe_columns(columns: list[str]) -> list[Column]:
 
 def tokenize(text: Column) -> Column:
     """Lower-case tokens; a run of Chinese characters as all its sequences of up to 6, and whole if longer."""
-    runs = F.regexp_extract_all(F.lower(F.replace(_filled(text), F.lit("_"), F.lit(" "))), F.lit(TOKEN), F.lit(0))
+    lowered = F.lower(F.replace(_filled(text), F.lit("_"), F.lit(" ")))
+    runs = F.regexp_extract_all(lowered, F.lit(TOKEN), F.lit(0))
 
     def cut(run: Column) -> Column:
         sizes = F.sequence(F.lit(1), F.least(F.length(run), F.lit(MAX_NGRAM)))
@@ -84,7 +85,8 @@ def tokenize(text: Column) -> Column:
         whole = F.when(F.length(run) > MAX_NGRAM, F.array(run)).otherwise(F.array().cast("array<string>"))
         return F.when(run.rlike("^[a-z0-9]"), F.array(run)).otherwise(F.concat(pieces, whole))
 
-    return F.flatten(F.transform(runs, cut))
+    # Most texts hold no Chinese: their runs are the tokens, and nothing is built token by token.
+    return F.when(_filled(text).rlike(r"[\x{4E00}-\x{9FFF}]"), F.flatten(F.transform(runs, cut))).otherwise(F.regexp_extract_all(lowered, F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def token_count(text: Column) -> Column:

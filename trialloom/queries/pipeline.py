@@ -16,7 +16,7 @@ from trialloom.operators import relational
 from trialloom.plans import knowledge_base as kb
 from trialloom.queries.registry import Registry
 from trialloom.queries.retrieval import chunks
-from trialloom.session import checkpoint_dir, materialize, table
+from trialloom.session import checkpoint_dir, materialize, spread, table
 from trialloom.sources import archives, files
 from trialloom.streaming import streams
 
@@ -67,7 +67,7 @@ def corpus_tag(spark, sf_dir):
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources = table(spark, sf_dir, "trial_xml_sources")
+    sources = spread(table(spark, sf_dir, "trial_xml_sources").drop("input_path", "received_at"))
     return kb.trial_records(sources, ["source_id", "source_corpus", "source_archive", "source_member_path"], "xml_bytes", "source_member_path")
 
 
@@ -214,24 +214,24 @@ def _label_sql() -> str:
 
 @query(_label_sql())
 def taxonomy(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lexicon.labels(F.col("text"), BUCKETS, "other"), ",").alias("labels"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(lexicon.labels(F.col("text"), BUCKETS, "other"), ",").alias("labels"))
 
 
 @query("SELECT * FROM (SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\bdiagnos[a-z0-9]*\\b|\\bscreen[a-z0-9]*\\b|\\bdetect[a-z0-9]*\\b|\\bimaging[a-z0-9]*\\b') THEN 4.0 ELSE 0.0 END + CASE WHEN lang = 'en' THEN 1.0 ELSE 0.0 END AS score FROM documents) WHERE score > 0")
 def taxonomy_pool(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", lexicon.labels(F.col("text"), BUCKETS).alias("buckets"), F.array("lang").alias("langs"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", lexicon.labels(F.col("text"), BUCKETS).alias("buckets"), F.array("lang").alias("langs"))
     score = lexicon.overlap_score({"buckets": ["screening_diagnosis"], "langs": ["en"]}, {"buckets": 4.0, "langs": 1.0})
     return rows.select("doc_id", score.alias("score")).where("score > 0")
 
 
 @query("SELECT doc_id, term FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS term FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[.;\\n,]+'), lambda c: regexp_matches(c, '(?i){p}'))) > 0" for n, p in TERMS.items()) + ")")
 def term_detect(spark, sf_dir):
-    return lexicon.term_flags(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS).select("doc_id", "term")
+    return lexicon.term_flags(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", TERMS).select("doc_id", "term")
 
 
 @query()
 def negation_flags(spark, sf_dir):
-    return lexicon.term_flags(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
+    return lexicon.term_flags(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", TERMS)
 
 
 @query(" UNION ALL ".join(
@@ -239,7 +239,7 @@ def negation_flags(spark, sf_dir):
     for c, listed in CONCEPTS.items()
 ))
 def concepts(spark, sf_dir):
-    return lexicon.alias_concepts(table(spark, sf_dir, "documents"), "doc_id", "text", CONCEPTS)
+    return lexicon.alias_concepts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", CONCEPTS)
 
 
 @query("""SELECT doc_id, CASE WHEN age > 0 AND age < 130 THEN age END AS age, CASE WHEN regexp_matches(lower(text), '\\b(female|woman|girl)\\b|女') THEN 'female' WHEN regexp_matches(lower(text), '\\b(male|man|boy)\\b|男') THEN 'male' END AS sex

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.operators import nested, units
-from trialloom.session import table
+from trialloom.session import spread, table
 
 
 # What the concepts are called in texts.
@@ -28,7 +28,7 @@ def p4_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recorded quantity in the common unit of its concept."""
     book = units.read_units(table(spark, sf_dir, "measure_units"))
     spans = units.to_common_units(
-        table(spark, sf_dir, "evidence_spans"), "span_id", book, ALIASES,
+        spread(table(spark, sf_dir, "evidence_spans").select("span_id", "normalized_concept", "value", "unit", "text", "source")), "span_id", book, ALIASES,
         F.col("normalized_concept"), F.col("unit"), F.col("source"), value=F.col("value"), text=F.col("text"),
     )
     intervals = units.to_common_units(
@@ -65,7 +65,7 @@ STUDY = nested.Shape(
 
 def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All flat tables of the registry XML, one row per repeated element, with its text."""
-    sources = table(spark, sf_dir, "trial_xml_sources").select("source_id", "xml_bytes", "source_member_path")
+    sources = spread(table(spark, sf_dir, "trial_xml_sources").select("source_id", "xml_bytes", "source_member_path"))
     # The path travels with the key, so the trial number needs no join back.
     keyed = sources.select(F.struct("source_id", "source_member_path").alias("key"), "xml_bytes")
     rows = nested.flat_tables(keyed, "key", "xml_bytes", STUDY, ("id_info", "nct_id"))

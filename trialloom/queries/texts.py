@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions import text as T
 from trialloom.queries.registry import Registry
-from trialloom.session import table
+from trialloom.session import spread, table
 
 query = Registry()
 
@@ -24,7 +24,7 @@ duck_tokens = lambda x: (
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query(f"SELECT doc_id, {_WS('text')} AS norm_text FROM documents")

@@ -39,6 +39,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows over all cores, if its files give fewer partitions than there are cores.
+
+    For scans ahead of work that costs far more than moving the rows: a few
+    well-compressed files would leave most cores idle. Larger tables have more
+    partitions than cores and stay as they are, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage; a temporary one only in local mode."""
     context = spark.sparkContext
