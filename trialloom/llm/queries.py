@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.llm import packing, splitting, subjects, survivors, tokens, top_n
-from trialloom.session import bounded_broadcast, table
+from trialloom.session import bounded_broadcast, spread, table
 
 CAPACITY = 1024
 
@@ -40,7 +40,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = table(spark, sf_dir, "chunk_limits")
     chunks = table(spark, sf_dir, "trial_chunks").groupBy("chunk_id").agg(F.max_by("text", F.struct("loaded_at", "text")).alias("text"))
     chunks = chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_key"), "text", F.lower(F.trim(F.get(F.split("chunk_id", "::"), 1))).alias("chunk_type"))
-    sections = table(spark, sf_dir, "eligibility_sections").select(
+    sections = spread(table(spark, sf_dir, "eligibility_sections").select("section_id", "section_type", "raw_text")).select(
         F.lit("section").alias("item_kind"), F.col("section_id").cast("string").alias("item_key"), F.col("raw_text").alias("text"),
         F.concat(F.lit("eligibility_"), F.coalesce(F.lower(F.trim("section_type")), F.lit("unknown"))).alias("chunk_type"),
     )
@@ -97,7 +97,7 @@ def p3_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokens.encode_corpus(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 # 7 ------------------------------------------------------------------------------------------
@@ -105,7 +105,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with the container of 1,024 tokens they are in."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     sized = tokens.count_tokens(documents, ["doc_id", "source"], "text")
     return packing.pack(sized, "doc_id", "n_tokens", F.col("source"), CAPACITY)
 
@@ -118,7 +118,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = subjects.assign_subjects(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = subjects.assign_subjects(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
     areas = bounded_broadcast(table(spark, sf_dir, "subject_areas").select("subject_code"))
     return found.select("doc_id", "subject_code").join(areas, "subject_code", "left_semi").select("doc_id", "subject_code")
 

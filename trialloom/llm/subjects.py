@@ -190,19 +190,19 @@ def subject_scores(df: DataFrame, key: str, text: str, terms: list[Term] | None
     frequency = {r.term: r.n for r in counted.collect()}  # at most one row per curated term
     rarity = [t.weight * math.log(1 + total / frequency.get(i, 1)) if total else 0.0 for i, t in enumerate(terms)]
     subjects = sorted({t.subject for t in terms})
-    weight = F.lit(rarity)
-    area = F.lit([subjects.index(t.subject) for t in terms])
-
-    def summed(pick: Column | None, value) -> Column:
-        return F.aggregate(
-            "mentions", F.lit(0.0),
-            lambda acc, m: acc + (value(m) if pick is None else F.when(F.get(area, m["term"]) == pick, value(m)).otherwise(0.0)),
-        )
-
-    weighted = lambda m: F.get(weight, m["term"]) * m["n"]
-    rows = found.select(key, "n_words", "mentions", summed(None, weighted).alias("__all"))
-    per_area = F.array(*[F.struct(F.lit(s).alias("subject_code"), summed(F.lit(i), lambda m: m["n"].cast("double")).alias("n"), summed(F.lit(i), weighted).alias("w")) for i, s in enumerate(subjects)])
-    rows = rows.select(key, "n_words", "__all", F.explode(F.filter(per_area, lambda a: a["n"] > 0)).alias("a"))
+    # Literals of the whole term list as SQL text: building them element by element takes seconds.
+    weight = F.expr(f"array({', '.join(f'{r!r}D' for r in rarity)})")
+    area = F.expr(f"array({', '.join(str(subjects.index(t.subject)) for t in terms)})")
+    weighted = F.transform("mentions", lambda m: F.struct(F.get(area, m["term"]).alias("area"), m["n"].alias("n"), (F.get(weight, m["term"]) * m["n"]).alias("w")))
+    added = lambda rows, name: F.aggregate(rows, F.lit(0.0), lambda acc, m: acc + m[name])
+
+    def of_area(i: Column) -> Column:
+        own = F.filter("weighted", lambda m: m["area"] == i)
+        return F.struct(F.get(F.lit(subjects), i).alias("subject_code"), added(own, "n").alias("n"), added(own, "w").alias("w"))
+
+    rows = found.select(key, "n_words", weighted.alias("weighted"))
+    per_area = F.transform(F.array_distinct(F.transform("weighted", lambda m: m["area"])), of_area)
+    rows = rows.select(key, "n_words", added(F.col("weighted"), "w").alias("__all"), F.explode(per_area).alias("a"))
     return rows.select(key, "a.subject_code", F.col("a.n").cast("int").alias("n_mentions"), (F.col("a.w") / F.col("__all")).alias("share"), (F.col("a.n") * 100 / F.col("n_words")).alias("density"))
 
 
