@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from trialloom.functions import lexicon, rules, sections, structured
 from trialloom.functions import text as T
-from trialloom.operators import fusion, nested, positions, ranking, relational, units
+from trialloom.operators import cases, fusion, nested, positions, ranking, relational, units
 from trialloom.plans import knowledge_base as kb
 from trialloom.plans.stages import stage
 from trialloom.queries.problems import ALIASES, STUDY
@@ -352,7 +352,7 @@ def test_broken_archives_are_reported(spark, frame):
 def test_json_catalogs(spark, tmp_path):
     for name, body in (("cardio", {"N1": {"title": "a"}, "N2": {"title": "b", "nct_id": "NX"}}), ("onco", {"N1": {"title": "c"}})):
         (tmp_path / name).mkdir()
-        (tmp_path / name / "treatment_trials.json").write_text(json.dumps(body))
+        (tmp_path / name / "trials.json").write_text(json.dumps(body))
     out = files.department_catalog(spark, str(tmp_path), "struct<title:string,nct_id:string>").collect()
     assert {(r.nct_id, r.department_tag, r.title) for r in out} == {("N1", "cardio", "a"), ("NX", "cardio", "b"), ("N1", "onco", "c")}
 
@@ -392,3 +392,38 @@ def test_stream_upsert_keeps_the_last_row(spark, tmp_path):
     assert sorted((r.k, r.v) for r in run().collect()) == [(1, "c"), (2, "x")]
     spark.createDataFrame([(1, 2, "late"), (2, 5, "new")], "k long, o long, v string").write.mode("append").parquet(str(source))
     assert sorted((r.k, r.v) for r in run().collect()) == [(1, "c"), (2, "new")]
+
+
+# Cases ----------------------------------------------------------------------------------------
+
+
+def test_case_columns(spark):
+    left, right = F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("1")), F.create_map(F.lit("b"), F.lit("2"))
+    assert one(spark, cases.merge_maps(left, right)) == {"a": "1", "b": "2"}
+    assert one(spark, cases.merge_maps(F.lit(None).cast("map<string,string>"), right)) == {"b": "2"}
+    assert one(spark, cases.anchors(F.lit("Chest pain, fever and  night sweats; cough"))) == ["Chest pain", "night sweats"]
+    assert one(spark, cases.anchors(F.lit(None).cast("string"))) == []
+    scored = F.array(*[F.struct(F.lit(t).alias("text"), F.lit(s).alias("score")) for t, s in (("b", 1.0), ("a b", 2.0), ("c", 1.0), ("d", 1.0))])
+    assert one(spark, cases.pick_anchors(scored, 2)) == ["a b", "c"]
+    assert one(spark, cases.contained(F.array(F.lit("Lung"), F.lit("x"), F.lit(None)), F.array(F.lit("lung cancer"), F.lit(""), F.lit(None)))) == ["Lung"]
+
+
+def test_intervals_with_missing_and_swapped_bounds(frame):
+    rows = [("a", 0.9, 0.7), ("a", None, 0.9), ("b", float("nan"), None), (None, 0.1, 0.2)]
+    out = {r.g: (r.n, round(r.mean_lower, 6), round(r.mean_upper, 6), r.band) for r in cases.interval_bounds(frame(rows, "g string, lo double, hi double"), ["g"], "lo", "hi").collect()}
+    assert out == {"a": (2, 0.8, 0.9, "high"), None: (1, 0.1, 0.2, "low")}
+
+
+def test_lookup_and_best_choice(frame):
+    rows = frame([(1, " f "), (2, None), (3, "Q")], "k long, s string")
+    side = frame([("F", "closed")], "s string, state string")
+    assert {(r.k, r.state) for r in cases.lookup(rows, "s", side, {"state": "?"}).collect()} == {(1, "closed"), (2, "?"), (3, "?")}
+    picks = frame([("g", 2, 5.0), ("g", 1, 5.0), ("g", 3, None), (None, 9, 1.0)], "g string, i long, s double")
+    assert {(r.g, r.i) for r in cases.select_best(picks, ["g"], [F.coalesce("s", F.lit(-1.0))], "i").collect()} == {("g", 1), (None, 9)}
+
+
+def test_fragments_rebuild_the_text(frame):
+    out = cases.fragments(frame([(1, " One is  here. 两句。三句! End"), (2, None), (3, " ")], "k long, t string"), "k", "t").orderBy("fragment_no").collect()
+    flat = "One is here. 两句。三句! End"
+    assert [r.fragment for r in out] == ["One is here.", "两句。", "三句!", "End"]
+    assert all(flat[r.start_offset : r.end_offset] == r.fragment for r in out)

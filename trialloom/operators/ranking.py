@@ -16,7 +16,9 @@ from trialloom.session import bounded_broadcast, materialize
 #: Digits that scores are ranked by, so that the order of sums can't reorder ties.
 RANK_DIGITS = 9
 #: Queries whose vectors are held by a task at once.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 512
+#: Rows a block of queries is held against at once.
+ROW_BLOCK = 2048
 
 # Field weights of the ranking channels.
 CALCULATOR_WEIGHTS = {"title": 3.8, "retrieval_text": 1.2, "purpose": 0.8, "eligibility": 0.4, "abstract": 3.6}
@@ -94,21 +96,24 @@ def ranked(scores: DataFrame, query_key: str, key: str, k: int, score: str = "sc
 
 
 def _best_of_block(ids: list, matrix: np.ndarray, query_key: str, key: str, vector: str, k: int):
+    def merged(kept: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(kept).sort_values(["score", key], ascending=[False, True]).groupby(query_key, sort=False).head(k)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
-        for batch in batches:
-            if batch.empty:
-                continue
-            base = np.stack([np.asarray(v, dtype=np.float64) for v in batch[vector]])
-            keys = batch[key].to_numpy()
-            scores = np.round(base @ matrix.T, RANK_DIGITS)
-            order = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:k]
-            for q, name in enumerate(ids):
-                kept.append(pd.DataFrame({query_key: name, key: keys[order[:, q]], "score": scores[order[:, q], q]}))
-            if len(kept) > 8 * len(ids):
-                kept = [pd.concat(kept).sort_values(["score", key], ascending=[False, True]).groupby(query_key, sort=False).head(k)]
+        for whole in batches:
+            for start in range(0, len(whole), ROW_BLOCK):
+                batch = whole.iloc[start : start + ROW_BLOCK].sort_values(key)  # rows of equal score then stand by key
+                keys = batch[key].to_numpy()
+                scores = np.round(np.stack(list(batch[vector])) @ matrix.T, RANK_DIGITS)
+                order = np.argsort(-scores, axis=0, kind="stable")[:k]
+                best = np.take_along_axis(scores, order, axis=0)
+                names = np.repeat(np.array(ids, dtype=object), len(order))
+                kept.append(pd.DataFrame({query_key: names, key: keys[order.T.ravel()], "score": best.T.ravel()}))
+                if len(kept) >= 32:
+                    kept = [merged(kept)]
         if kept:
-            yield pd.concat(kept).sort_values(["score", key], ascending=[False, True]).groupby(query_key, sort=False).head(k)
+            yield merged(kept)
 
     return run
 

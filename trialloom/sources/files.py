@@ -48,10 +48,10 @@ def calculator_catalog(calculators: DataFrame, metadata: DataFrame) -> DataFrame
     return wide.withColumn("title", title).withColumn("abstract", F.coalesce("abstract", F.lit(""))).drop("__t")
 
 
-def department_catalog(spark: SparkSession, root: str, value_type: str) -> DataFrame:
-    """The trials of every ``<department>/treatment_trials.json``, with their department as ``department_tag``."""
-    rows = keyed_objects(spark, f"{root.rstrip('/')}/*/treatment_trials.json", value_type, "key")
-    own = F.regexp_extract("path", r"/([^/]+)/treatment_trials\.json$", 1)
+def department_catalog(spark: SparkSession, root: str, value_type: str, file_name: str = "trials.json") -> DataFrame:
+    """The trials of every ``<department>/<file_name>``, with their department as ``department_tag``."""
+    rows = keyed_objects(spark, f"{root.rstrip('/')}/*/{file_name}", value_type, "key")
+    own = F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1)
     tag = F.coalesce(F.nullif(F.trim("department_tag"), F.lit("")), own) if "department_tag" in rows.columns else own
     nct = F.coalesce(F.nullif(F.trim("nct_id"), F.lit("")), F.col("key")) if "nct_id" in rows.columns else F.col("key")
     return rows.withColumn("department_tag", tag).withColumn("nct_id", nct).drop("key", "path").where(F.trim("nct_id") != "")
