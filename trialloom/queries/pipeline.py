@@ -121,7 +121,7 @@ def parse_stats(spark, sf_dir):
 r AS (SELECT nct_id, min(title) AS display_title, count(*) AS n FROM c GROUP BY nct_id HAVING count(*) > 3)
 SELECT c.chunk_id, c.nct_id, r.display_title, CAST(r.n AS VARCHAR) AS overall_status, coalesce(nullif(c.rank_weight, 0), 1.0) AS rank_weight FROM c LEFT JOIN r USING (nct_id) WHERE trim(c.chunk_id) <> '' AND trim(c.nct_id) <> ''""")
 def chunk_catalog(spark, sf_dir):
-    rows = chunks(spark, sf_dir).withColumn("embedding_text", F.lit(None).cast("string"))
+    rows = chunks(spark, sf_dir, "nct_id", "title", "text", "rank_weight").withColumn("embedding_text", F.lit(None).cast("string"))
     records = rows.groupBy("nct_id").agg(F.min("title").alias("display_title"), F.count(F.lit(1)).alias("n")).where("n > 3").withColumn("overall_status", F.col("n").cast("string"))
     return files.chunk_catalog(rows, records).select("chunk_id", "nct_id", "display_title", "overall_status", "rank_weight")
 

@@ -20,10 +20,10 @@ K = 10
 _CHUNKS = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY loaded_at DESC, text DESC) AS rn FROM trial_chunks) WHERE rn = 1"
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks as loaded last."""
-    rows = table(spark, sf_dir, "trial_chunks").select("chunk_id", "nct_id", "title", "text", "rank_weight", "loaded_at", "source_fields")
-    return relational.latest_wins(rows, ["chunk_id"], [F.col("loaded_at"), F.col("text")])
+def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Some columns of the chunks as loaded last; only these are read."""
+    rows = table(spark, sf_dir, "trial_chunks").select("chunk_id", "loaded_at", *columns)
+    return relational.latest_wins(rows, ["chunk_id"], [F.col("loaded_at"), *[F.col(c) for c in columns]])
 
 
 _KIND = "split_part(chunk_id, '::', 2)"
@@ -140,7 +140,7 @@ SELECT case_id, nct_id, n_items, round(max(w) FILTER (r = 1) + 0.35 * coalesce(m
   max(chunk_id) FILTER (r = 1) AS best_item, string_agg(chunk_id, ',' ORDER BY r) FILTER (r <= 3) AS kept FROM o GROUP BY ALL""")
 def chunk_to_trial(spark, sf_dir):
     best = ranked_hits(spark, sf_dir).groupBy("case_id", "chunk_id").agg(F.max("score").alias("score"))
-    weights = chunks(spark, sf_dir).select("chunk_id", "rank_weight")
+    weights = chunks(spark, sf_dir, "rank_weight").select("chunk_id", "rank_weight")
     rows = best.join(weights, "chunk_id", "left").withColumn("nct_id", F.get(F.split("chunk_id", "::"), 0)).withColumn("kind", kind())
     weight = F.coalesce(F.nullif(F.col("rank_weight"), F.lit(0.0)), F.lit(1.0))
     return fusion.to_parents(rows, ["case_id"], "nct_id", "chunk_id", "kind", "score", weight).withColumn("support", F.round("support", 9))
@@ -150,7 +150,7 @@ def chunk_to_trial(spark, sf_dir):
 FROM ranked r LEFT JOIN c USING (chunk_id) WHERE rank <= 10""")
 def hydrate(spark, sf_dir):
     first = ranked_hits(spark, sf_dir).where(F.col("rank") <= K)
-    wide = first.join(chunks(spark, sf_dir).select("chunk_id", "title", "nct_id"), "chunk_id", "left")
+    wide = first.join(chunks(spark, sf_dir, "title", "nct_id").select("chunk_id", "title", "nct_id"), "chunk_id", "left")
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("chunk_id"))
     return wide.select("case_id", "channel", F.col("rank").cast("bigint").alias("rank"), "chunk_id", title.alias("title"), F.coalesce("nct_id", F.get(F.split("chunk_id", "::"), 0)).alias("nct_id"))
 
@@ -201,26 +201,26 @@ def _found(scores: DataFrame) -> DataFrame:
 
 @query(_bm25_sql({"text": ("text", 1.0)}))
 def bm25_single(spark, sf_dir):
-    return _found(ranking.bm25(chunks(spark, sf_dir), "chunk_id", {"text": 1.0}, _asked(spark, sf_dir), "span_id", "text"))
+    return _found(ranking.bm25(chunks(spark, sf_dir, "text"), "chunk_id", {"text": 1.0}, _asked(spark, sf_dir), "span_id", "text"))
 
 
 @query(_bm25_sql({"title": ("title", 2.8), "retrieval_text": ("text", 4.0), "purpose": (f"{_KIND}", 0.4)}))
 def bm25_chunks(spark, sf_dir):
-    rows = chunks(spark, sf_dir).select("chunk_id", "title", F.col("text").alias("retrieval_text"), kind().alias("purpose"))
+    rows = chunks(spark, sf_dir, "title", "text").select("chunk_id", "title", F.col("text").alias("retrieval_text"), kind().alias("purpose"))
     weights = {k: ranking.CHUNK_WEIGHTS[k] for k in ("title", "retrieval_text", "purpose")}
     return _found(ranking.bm25(rows, "chunk_id", weights, _asked(spark, sf_dir), "span_id", "text"))
 
 
 @query(_bm25_sql({"title": ("title", 3.8), "retrieval_text": ("text", 1.2)}))
 def bm25_fielded(spark, sf_dir):
-    rows = chunks(spark, sf_dir).select("chunk_id", "title", F.col("text").alias("retrieval_text"))
+    rows = chunks(spark, sf_dir, "title", "text").select("chunk_id", "title", F.col("text").alias("retrieval_text"))
     weights = {k: ranking.CALCULATOR_WEIGHTS[k] for k in ("title", "retrieval_text")}
     return _found(ranking.bm25(rows, "chunk_id", weights, _asked(spark, sf_dir), "span_id", "text"))
 
 
 @query(_bm25_sql({"text": ("text", 1.0)}, f"WHERE {_KIND} = 'outcomes'"))
 def bm25_subset(spark, sf_dir):
-    rows = chunks(spark, sf_dir)
+    rows = chunks(spark, sf_dir, "text")
     subset = rows.where(kind() == "outcomes").select("chunk_id")
     return _found(ranking.bm25(rows, "chunk_id", {"text": 1.0}, _asked(spark, sf_dir), "span_id", "text", candidates=subset))
 
@@ -229,7 +229,7 @@ def bm25_subset(spark, sf_dir):
 p AS (SELECT DISTINCT chunk_id, u.term FROM f, LATERAL (SELECT unnest(t) AS term) u)
 SELECT term, count(*) AS df, (SELECT count(*) FROM f) AS n_docs, round((SELECT avg(len(t)) FROM f), 6) AS avg_length FROM p GROUP BY term""")
 def corpus_stats(spark, sf_dir):
-    tokens, stats = ranking.corpus_stats(chunks(spark, sf_dir), "chunk_id", ["text"])
+    tokens, stats = ranking.corpus_stats(chunks(spark, sf_dir, "text"), "chunk_id", ["text"])
     df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # One row of statistics joins every term.
     return df.withColumn("field", F.lit("text")).join(F.broadcast(stats), "field").select("term", "df", "n_docs", F.round("avg_length", 6).alias("avg_length"))
@@ -239,7 +239,7 @@ def corpus_stats(spark, sf_dir):
 def bm25_params(spark, sf_dir):
     """Chunk names found in a query raise its BM25 score: 1 per title hit, .35 per source field hit."""
     asked = _asked(spark, sf_dir)
-    rows = chunks(spark, sf_dir)
+    rows = chunks(spark, sf_dir, "title", "text", "source_fields")
     scores = ranking.bm25(rows, "chunk_id", {"title": 3.8, "text": 1.2}, asked, "span_id", "text")
     wide = scores.join(rows.select("chunk_id", "title", "source_fields"), "chunk_id").join(asked.withColumnRenamed("text", "asked"), "span_id")
     names = lambda a: F.size(ranking.matches(a, T.tokenize(F.col("asked")), F.lower("asked")))
@@ -417,7 +417,7 @@ def eval_summary(spark, sf_dir):
 @query(f"""WITH c AS ({_CHUNKS}), f AS (SELECT nct_id, u.f AS f, min({_KIND} || chunk_id) AS o FROM c, LATERAL (SELECT unnest(source_fields) AS f) u GROUP BY ALL)
 SELECT nct_id, string_agg(f, ',' ORDER BY f) AS fields FROM f GROUP BY nct_id""")
 def dept_merge(spark, sf_dir):
-    rows = chunks(spark, sf_dir).withColumn("o", F.concat(kind(), "chunk_id")).withColumn("one", F.lit(1))
+    rows = chunks(spark, sf_dir, "nct_id", "title", "source_fields").withColumn("o", F.concat(kind(), "chunk_id")).withColumn("one", F.lit(1))
     merged = fusion.merge_ordered(rows, ["one"], "nct_id", "o", ["title"], ["source_fields"])
     return merged.where(F.size("source_fields") > 0).select("nct_id", F.array_join(F.array_sort("source_fields"), ",").alias("fields"))
 
