@@ -232,3 +232,40 @@ def test_calibration_finds_a_separating_share(frame):
 
 def test_subjects_of_an_empty_table(frame):
     assert subjects.assign_subjects(frame([], "k long, text string"), "k", "text").count() == 0
+
+
+# Clashing names and very long texts -----------------------------------------------------------
+
+CLASHING = ("position", "__part", "__count", "ids", "n_tokens", "__text", "size", "source", "shard", "slot", "piece_no", "n_pieces", "mask", "rep", "fields", "value", "flat", "field_name", "mentions", "n_words", "share", "subject_code")
+
+
+def test_extra_columns_with_clashing_names_change_nothing(frame):
+    rows = [(1, "g", "heart failure and insulin", 0.5, 7, 2), (2, "g", "heart failure", 0.25, 3, 1), (3, None, None, None, None, None)]
+    df = frame(rows, "k long, g string, text string, s double, n long, rank int")
+    wide = df.select("*", *[F.lit("x").alias(c) for c in CLASHING])
+
+    def fused(d):
+        return survivors.fuse_fields(d, ["g"], "k", {"text": F.col("text")}, "g", ["a"], [F.col("rank")], cut_off_field="text").survivors
+
+    for run in (
+        lambda d: top_n.top_n_per_group(d, ["g"], "s", ["k"], 2),
+        lambda d: splitting.split_oversized(d, ["k"], "text", "n", "rank"),
+        lambda d: tokens.encode_corpus(d, "k", "text"),
+        lambda d: packing.pack(d, "k", "n", F.col("g"), 4),
+        lambda d: subjects.assign_subjects(d, "k", "text"),
+        fused,
+    ):
+        plain, clashing = run(df), run(wide)
+        assert plain.columns == clashing.columns
+        drop = [c for c in ("container_id",) if c in plain.columns]
+        assert sorted(map(str, plain.drop(*drop).collect())) == sorted(map(str, clashing.drop(*drop).collect()))
+
+
+def test_very_long_texts(frame):
+    long = ("Confirmed heart failure in 12 people; " * 40_000) + "x" * 100_000
+    df = frame([(1, long, 1000, 80)], "k long, text string, lim int, lap int", 1)
+    pieces = splitting.split_oversized(df, ["k"], "text", "lim", "lap").agg(F.max("n_pieces").alias("n"), F.max(F.length("piece_text")).alias("m"), F.count(F.lit(1)).alias("c")).first()
+    assert pieces.m <= 1000 and pieces.n == pieces.c > 1500
+    ids = tokens.encode_corpus(df, "k", "text").first().ids
+    assert ids == tokens.codec(tokens.read_vocabulary()).encoding.encode_ordinary(long)
+    assert [r.subject_code for r in subjects.assign_subjects(df, "k", "text").collect()] == ["cardiology"]

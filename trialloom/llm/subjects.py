@@ -29,8 +29,10 @@ PASSING = (
     "ne peuvent participer", "un parent a eu", "contrairement a",
     "其亲属曾患", "不得参加", "已知患有", "不同于",
 )
+#: Characters a cue reaches within its sentence.
+CUE_REACH = 120
 #: Share of a text's weighted mentions an area needs, and the share that suffices for one mention alone.
-MIN_SHARE, MIN_SHARE_SINGLE = 0.1, 0.2
+MIN_SHARE, MIN_SHARE_SINGLE = 0.1, 0.1
 #: Mentions per 100 words an area needs at least.
 MIN_DENSITY = 0.1
 #: Terms and cues with at least so many letters are also found with two neighbouring letters of a word swapped.
@@ -40,7 +42,7 @@ _TAG = re.compile(r"<[^<>]{1,200}>")
 _WRAPPED = re.compile(r"(?<=[^\W\d_])[-­][ \t]*\r?\n\s*(?=[^\W\d_])")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _SPACE = re.compile(r"\s+")
-_STOP = re.compile(r"[.!?](?=\s|$)|[。！？]")
+_STOP = re.compile(r"[.!?;](?=\s|$)|[。！？；]")
 
 
 def fold(text: str) -> str:
@@ -120,7 +122,7 @@ class Matcher:
         return out
 
     def mentions(self, text: str) -> tuple[int, dict[int, int]]:
-        """Number of words, and for each term the number of sentences that mention it, passing ones left out.
+        """Number of words, and for each term the number of mentions, passing ones left out.
 
         Of overlapping mentions the longest counts.
         """
@@ -137,18 +139,19 @@ class Matcher:
         if not found:
             return words, {}
         stops = [m.start() for m in _STOP.finditer(flat)]
-        passing = {bisect_right(stops, start) for start, _, term in found if term < 0}
+        cues = sorted(start for start, _, term in found if term < 0)
         found.sort(key=lambda f: (f[0], -f[1]))
         last = -1
-        counted: set[tuple[int, int]] = set()
+        counted: Counter[int] = Counter()
         for start, end, term in found:
             if term < 0 or start <= last:
                 continue
             last = end
-            sentence = bisect_right(stops, start)
-            if sentence not in passing:
-                counted.add((sentence, term))
-        return words, dict(Counter(term for _, term in counted))
+            at = bisect_right(cues, start)
+            near = [c for c in cues[max(0, at - 1) : at + 1] if abs(c - start) <= CUE_REACH]
+            if not any(bisect_right(stops, c) == bisect_right(stops, start) for c in near):
+                counted[term] += 1
+        return words, dict(counted)
 
 
 @lru_cache(maxsize=2)
