@@ -102,6 +102,13 @@ def test_ranked_survivor_prefers_whole_texts_then_trust(frame):
     assert not out["A"].is_cut_off and 0 < out["A"].posterior <= 1
 
 
+@pytest.mark.parametrize("mark", ["<cut>", "<truncated>", "<more>", "< Cut off >", "[cut]", "(cut)", "…"])
+def test_a_text_that_says_it_is_cut_yields_to_a_whole_one(frame, mark):
+    rows = [("A", 1, f"begun and {mark}", "one", 1, None), ("A", 2, "another whole text", "two", 2, None), ("B", 3, "weight <cut> level", "one", 1, None), ("B", 4, "another", "two", 2, None)]
+    out = {r.g: r.id for r in _fuse(frame(rows, CLAIMS), cut_off_field="text").survivors.collect()}
+    assert out == {"A": 2, "B": 3}
+
+
 def test_copies_are_found_and_discounted(frame):
     random.seed(11)
     rows, n = [], 0

@@ -25,7 +25,7 @@ STAND_INS = (
     "to be determined", "to be announced", "to follow", "pending", "missing", "empty", "blank", "see protocol", "[no text]", "no text",
 )
 # Endings by which a text says that it is cut off.
-CUT_MARKS = r"(?i)(\[\s*(truncated|more|see full [a-z ]+|continued|cut|cut off|abridged|snip|\.\.\.|…)\s*\]|\(\s*(truncated|more|continued|cut|cut off|abridged|\.\.\.|…)\s*\)|\.\.\.|…)$"
+CUT_MARKS = r"(?i)(\[\s*(truncated|more|see full [a-z ]+|continued|cut|cut off|abridged|snip|\.\.\.|…)\s*\]|<\s*(truncated|more|see full [a-z ]+|continued|cut|cut off|abridged|snip|\.\.\.|…)\s*>|\(\s*(truncated|more|continued|cut|cut off|abridged|\.\.\.|…)\s*\)|\.\.\.|…)$"
 
 #: Most sources that are told apart; a source is one bit of a mask.
 MAX_SOURCES = 12
