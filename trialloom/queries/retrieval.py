@@ -204,11 +204,17 @@ def bm25_single(spark, sf_dir):
     return _found(ranking.bm25(chunks(spark, sf_dir, "text"), "chunk_id", {"text": 1.0}, _asked(spark, sf_dir), "span_id", "text"))
 
 
+def chunk_fields(rows: DataFrame) -> DataFrame:
+    """The five fields of the chunk channel; the embedding text stands for the text where it is filled."""
+    filled = F.nullif(T.normalize_whitespace(F.col("embedding_text")), F.lit(""))
+    eligibility = F.when(kind().startswith("eligibility"), F.col("text"))
+    return rows.select("chunk_id", "title", F.coalesce(filled, F.col("text")).alias("retrieval_text"), kind().alias("purpose"), eligibility.alias("eligibility"), F.col("text").alias("summary"))
+
+
 @query(_bm25_sql({"title": ("title", 2.8), "retrieval_text": ("text", 4.0), "purpose": (f"{_KIND}", 0.4)}))
 def bm25_chunks(spark, sf_dir):
-    rows = chunks(spark, sf_dir, "title", "text").select("chunk_id", "title", F.col("text").alias("retrieval_text"), kind().alias("purpose"))
-    weights = {k: ranking.CHUNK_WEIGHTS[k] for k in ("title", "retrieval_text", "purpose")}
-    return _found(ranking.bm25(rows, "chunk_id", weights, _asked(spark, sf_dir), "span_id", "text"))
+    rows = chunk_fields(chunks(spark, sf_dir, "title", "text", "embedding_text"))
+    return _found(ranking.bm25(rows, "chunk_id", ranking.CHUNK_WEIGHTS, _asked(spark, sf_dir), "span_id", "text"))
 
 
 @query(_bm25_sql({"title": ("title", 3.8), "retrieval_text": ("text", 1.2)}))
