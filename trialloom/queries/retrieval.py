@@ -441,14 +441,45 @@ def upsert_resume(spark, sf_dir):
 # Two-stage retrieval ------------------------------------------------------------------------
 
 
-def two_stage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coarse rank fusion over all channels, then BM25 scores restricted to the best 20 trials of each case."""
-    first = fusion.reciprocal_rank(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id").withColumn("nct_id", F.get(F.split("chunk_id", "::"), 0))
+#: Trials a case keeps after the coarse stage, and the chunks a channel may give it for each of them.
+COARSE_TRIALS, CHUNKS_A_TRIAL = 300, 4
+
+
+def coarse_pool(found: DataFrame, coarse_trials: int = COARSE_TRIALS) -> DataFrame:
+    """(case_id, nct_id, coarse_rank): rank fusion over all channels, each trial by its best chunk."""
+    limit = max(int(coarse_trials), 1)
+    listed = ranking.top_k(found, ["case_id", "channel"], [F.round("score", 9).desc(), F.col("chunk_id").asc()], limit * CHUNKS_A_TRIAL)
+    first = fusion.reciprocal_rank(listed, ["case_id"], "chunk_id").withColumn("nct_id", F.get(F.split("chunk_id", "::"), 0))
     coarse = first.groupBy("case_id", "nct_id").agg(F.max(F.round("rrf", 9)).alias("rrf"))
-    pool = ranking.top_k(coarse, ["case_id"], [F.desc("rrf"), F.asc("nct_id")], 20, "coarse_rank").select("case_id", "nct_id", "coarse_rank")
-    fine = hits(spark, sf_dir).where("channel = 'bm25'").withColumn("nct_id", F.get(F.split("chunk_id", "::"), 0)).join(pool, ["case_id", "nct_id"])
-    rows = fine.withColumn("kind", kind())
-    return fusion.to_parents(rows, ["case_id"], "nct_id", "chunk_id", "kind", "score", F.lit(1.0))
+    return ranking.top_k(coarse, ["case_id"], [F.desc("rrf"), F.asc("nct_id")], limit, "coarse_rank").select("case_id", "nct_id", "coarse_rank")
+
+
+def two_stage_rows(spark: SparkSession, sf_dir: str, channels: list[str], coarse_trials: int = COARSE_TRIALS) -> DataFrame:
+    """The given hits of some channels within the coarse pool, as trials: normalized, added, times the chunk's rank weight."""
+    found = hits(spark, sf_dir)
+    fine = found.withColumn("nct_id", F.get(F.split("chunk_id", "::"), 0)).join(coarse_pool(found, coarse_trials), ["case_id", "nct_id"], "left_semi")
+    merged = fusion.fuse(fine, ["case_id"], "chunk_id", channels, mode="sum")
+    rows = merged.join(chunks(spark, sf_dir, "rank_weight").select("chunk_id", "rank_weight"), "chunk_id", "left")
+    rows = rows.withColumn("nct_id", F.get(F.split("chunk_id", "::"), 0)).withColumn("kind", kind())
+    return fusion.to_parents(rows, ["case_id"], "nct_id", "chunk_id", "kind", "score", F.coalesce(F.nullif(F.col("rank_weight"), F.lit(0.0)), F.lit(1.0)))
+
+
+def _two_stage(spark: SparkSession, sf_dir: str, channels: list[str]) -> DataFrame:
+    placed = ranking.top_k(two_stage_rows(spark, sf_dir, channels), ["case_id"], [F.round("support", 9).desc(), F.asc("nct_id")], K)
+    return placed.select("case_id", "nct_id", F.col("rank").cast("bigint").alias("rank"), F.round("support", 9).alias("support"))
+
+
+def _two_stage_sql(channels: str) -> str:
+    return f"""WITH {_HITS}, listed AS (SELECT *, row_number() OVER (PARTITION BY case_id, channel ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM hits),
+r AS (SELECT case_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM listed WHERE rank <= 1200 GROUP BY ALL),
+co AS (SELECT case_id, split_part(chunk_id, '::', 1) AS nct_id, max(round(rrf, 9)) AS rrf FROM r GROUP BY ALL),
+pool AS (SELECT case_id, nct_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rrf DESC, nct_id) AS cr FROM co) WHERE cr <= 300),
+fine AS (SELECT h.*, p.nct_id, min(score) OVER w AS lo, max(score) OVER w AS hi FROM hits h JOIN pool p ON p.case_id = h.case_id AND p.nct_id = split_part(h.chunk_id, '::', 1) WHERE channel IN ({channels}) WINDOW w AS (PARTITION BY h.case_id, channel)),
+s AS (SELECT case_id, nct_id, chunk_id, sum(CASE WHEN hi - lo <= 1e-9 * greatest(abs(lo), abs(hi)) THEN CASE WHEN hi > 0 THEN 1.0 ELSE 0.0 END ELSE (score - lo) / (hi - lo) END) AS s FROM fine GROUP BY ALL),
+c AS ({_CHUNKS}), w AS (SELECT s.case_id, s.nct_id, s.chunk_id, {_KIND} AS kind, round(s * coalesce(nullif(rank_weight, 0), 1.0), 9) AS w FROM s LEFT JOIN c USING (chunk_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY case_id, nct_id ORDER BY w DESC, kind, chunk_id) AS r FROM w),
+t AS (SELECT case_id, nct_id, max(w) FILTER (r = 1) + 0.35 * coalesce(max(w) FILTER (r = 2), 0) + 0.2 * coalesce(max(w) FILTER (r = 3), 0) AS support FROM o GROUP BY ALL)
+SELECT case_id, nct_id, rank, round(support, 9) AS support FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(support, 9) DESC, nct_id) AS rank FROM t) WHERE rank <= 10"""
 
 
 @query(f"""WITH {_HITS}, r AS (SELECT case_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM ranked GROUP BY ALL),
@@ -459,5 +490,15 @@ o AS (SELECT fine.*, row_number() OVER (PARTITION BY case_id, nct_id ORDER BY w
 t AS (SELECT case_id, nct_id, max(w) FILTER (r = 1) + 0.35 * coalesce(max(w) FILTER (r = 2), 0) + 0.2 * coalesce(max(w) FILTER (r = 3), 0) AS support FROM o GROUP BY ALL)
 SELECT case_id, nct_id, rank, round(support, 9) AS support FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(support, 9) DESC, nct_id) AS rank FROM t) WHERE rank <= 10""")
 def two_stage(spark, sf_dir):
-    placed = ranking.top_k(two_stage_rows(spark, sf_dir), ["case_id"], [F.round("support", 9).desc(), F.asc("nct_id")], K)
-    return placed.select("case_id", "nct_id", F.col("rank").cast("bigint").alias("rank"), F.round("support", 9).alias("support"))
+    """Of the fine stage, the aggregation of BM25 alone."""
+    return _two_stage(spark, sf_dir, ["bm25"])
+
+
+@query(_two_stage_sql("'dense'"))
+def two_stage_vector(spark, sf_dir):
+    return _two_stage(spark, sf_dir, ["dense"])
+
+
+@query(_two_stage_sql("'bm25', 'dense'"))
+def two_stage_merged(spark, sf_dir):
+    return _two_stage(spark, sf_dir, CHANNELS)
