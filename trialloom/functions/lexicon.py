@@ -64,7 +64,8 @@ def alias_concepts(df: DataFrame, key: str, text: str, aliases: dict[str, tuple[
 
 def age_sex(text: Column) -> tuple[Column, Column]:
     """(age in years, 'female' or 'male') that a text states, null without."""
-    age = F.nullif(F.regexp_extract(text, r"(?i)\b(\d{1,3})\s*[- ]?\s*years?[- ]old\b|(\d{1,3})\s*岁", 1), F.lit("")).try_cast("int")
+    pattern = r"(?i)\b(\d{1,3})\s*[- ]?\s*years?[- ]old\b|(\d{1,3})\s*岁"
+    age = F.coalesce(*[F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) for i in (1, 2)]).try_cast("int")
     lowered = F.lower(text)
     sex = F.when(lowered.rlike(r"\b(female|woman|girl)\b|女"), "female").when(lowered.rlike(r"\b(male|man|boy)\b|男"), "male")
     return F.when((age > 0) & (age < 130), age), sex
