@@ -8,6 +8,7 @@ own level or one above repeats.
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,12 +54,28 @@ class LeafColumn:
     definition: list[int]
 
 
+DECLARATION = re.compile(rb"""<\?xml\s[^>]*?encoding\s*=\s*["']([A-Za-z][A-Za-z0-9._-]*)["'][^>]*\?>""")
+
+
 def parse_xml(data: bytes | None) -> ET.Element | None:
     """The root of well-formed XML in any encoding it declares; None for anything else."""
     if not data:
         return None
     try:
         return ET.fromstring(data)
+    except (ET.ParseError, LookupError):
+        return None
+    except ValueError:  # expat reads no multi-byte encodings but UTF-8 and UTF-16
+        return _parse_decoded(data)
+
+
+def _parse_decoded(data: bytes) -> ET.Element | None:
+    """The root of XML decoded here by the encoding it declares."""
+    declared = DECLARATION.match(data)
+    if not declared:
+        return None
+    try:
+        return ET.fromstring(data[declared.end() :].decode(declared[1].decode("ascii")))
     except (ET.ParseError, ValueError, LookupError):
         return None
 
