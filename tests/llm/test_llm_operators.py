@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -123,8 +124,88 @@ def test_copies_are_found_and_discounted(frame):
             n += 1
             rows.append((f"g{item}", n, value, src, 1, None))
     fused = _fuse(frame(rows, CLAIMS), policy="posterior")
+    assert fused.trust.settled
     assert fused.trust.dependence[2][1] > 0.9
     assert fused.trust.dependence[2][1] > fused.trust.dependence[1][0]
+    kept = fused.survivors.collect()
+    assert len(kept) == 300 and sum(r.value.startswith("t") for r in kept) >= 0.95 * 300
+
+
+def _claimed(n_items, seed):
+    """Values of three independent sources of different accuracy and one that copies the second."""
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for item in range(n_items):
+        said = {s: f"t{item}" if rng.random() < right else f"w{item}-{rng.randrange(10)}" for s, right in (("one", 0.9), ("two", 0.6), ("three", 0.75))}
+        said["four"] = said["two"] if rng.random() < 0.9 else f"w{item}-{rng.randrange(10)}"
+        for s, v in said.items():
+            if rng.random() < 0.9:
+                n += 1
+                rows.append((f"g{item}", n, v, s, 1, None))
+    return rows
+
+
+def test_only_the_copier_depends_on_its_original_and_the_truth_survives(frame):
+    fused = _fuse(frame(_claimed(800, 5), CLAIMS), policy="posterior", min_records=1)
+    trust = fused.trust
+    assert trust.settled and trust.sources[3] == "(other)"
+    assert trust.dependence[3][1] > 0.99
+    assert max(trust.dependence[a][b] for a, b in ((0, 1), (0, 2), (1, 2), (0, 3), (2, 3))) < 0.3
+    assert [abs(a - b) < 0.1 for a, b in zip(trust.accuracy, (0.9, 0.6, 0.75, 0.55), strict=True)] == [True] * 4
+    kept = fused.survivors.collect()
+    by_count = {}
+    for g, _, v, *_ in _claimed(800, 5):
+        by_count.setdefault(g, []).append(v)
+    majority = sum(max(sorted(set(v)), key=v.count).startswith("t") for v in by_count.values()) / len(by_count)
+    right = sum(r.value.startswith("t") for r in kept) / len(kept)
+    assert right > 0.9 and right > majority
+
+
+def test_trust_equals_a_plain_restatement(frame):
+    """Claim by claim, without masks and profiles."""
+    rows = _claimed(60, 9)
+    fused = _fuse(frame(rows, CLAIMS), policy="posterior", min_records=1)
+    names = ["one", "two", "three", "four"]
+    items = {}
+    for g, _, v, s, *_ in rows:
+        items.setdefault(g, {}).setdefault(v, set()).add(names.index(s))
+    prior = [0.9, 0.8, 0.7, 0.6]
+    accuracy, belief = prior, None
+    for step in range(fused.trust.rounds + 1):  # step 0 judges copying before the first vote
+        if step:
+            belief = {}
+            for g, said in items.items():
+                weight = {}
+                for v, who in said.items():
+                    order = sorted(who, key=lambda s: (round(sum(copies[s][t] - copies[t][s] for t in who), 9), -accuracy[s], s))  # noqa: B023
+                    weight[v] = math.exp(sum(math.log(10 * accuracy[s] / (1 - accuracy[s])) * math.prod(1 - share[s][t] * (copies[s][t] + copies[t][s]) for t in order[:i]) for i, s in enumerate(order)))
+                belief |= {(g, v): w / (sum(weight.values()) + 11 - len(weight)) for v, w in weight.items()}
+            fresh = []
+            for s in range(4):
+                mine = [belief[g, v] for g, said in items.items() for v, who in said.items() if s in who]
+                fresh.append(min(0.99, (sum(mine) + 10 * prior[s]) / (len(mine) + 10)))
+            accuracy = fresh if step <= 10 else [(a + b) / 2 for a, b in zip(fresh, accuracy, strict=True)]
+        copies, share = ([[0.0] * 4 for _ in range(4)] for _ in range(2))
+        for s in range(4):
+            for t in range(s):
+                common = [(g, v) for g, said in items.items() for v, who in said.items() if {s, t} <= who]
+                met = sum(any(s in w for w in said.values()) and any(t in w for w in said.values()) for said in items.values())
+                alone = {x: [belief[g, v] for g, said in items.items() for v, who in said.items() if x in who and y not in who] for x, y in ((s, t), (t, s))} if belief else {}
+                own = {x: min(0.99, max(0.01, (sum(alone[x]) + 10 * accuracy[x]) / (len(alone[x]) + 10))) if belief else accuracy[x] for x in (s, t)}
+                true = sum(belief[c] for c in common) if belief else 0.0
+                copies[s][t], copies[t][s], share[s][t] = survivors.copying(true, len(common) - true, met - len(common), accuracy[s], accuracy[t], own[s], own[t], 10, 0.8, bool(belief))
+                share[t][s] = share[s][t]
+                if belief and min(map(len, alone.values())) < 10:
+                    copies[s][t] = copies[t][s] = (copies[s][t] + copies[t][s]) / 2
+    assert fused.trust.accuracy == pytest.approx(accuracy, abs=1e-9)
+    assert sum(fused.trust.dependence, []) == pytest.approx([copies[s][t] + copies[t][s] for s in range(4) for t in range(4)], abs=1e-9)
+    posterior = {(r.g, r.value): r.posterior for r in fused.survivors.collect()}
+    assert all(abs(p - belief[k]) < 0.02 for k, p in posterior.items())
+
+
+def test_more_sources_than_can_be_told_apart_are_an_error(frame):
+    with pytest.raises(ValueError, match="at most 11"):
+        survivors.fuse_fields(frame([], CLAIMS), ["g"], "id", {"text": F.col("text")}, "src", [f"s{i}" for i in range(12)], [F.col("rank")])
 
 
 def test_survivors_of_an_empty_table(frame):

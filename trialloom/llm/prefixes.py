@@ -22,9 +22,9 @@ def _with_next(keys: list[str], text: str, id_column: str):
             out = []
             for row in batch[[*keys, text, id_column]].itertuples(index=False, name=None):
                 if held is not None:
-                    out.append((held[-1], row[: len(keys)] == held[: len(keys)] and row[-2].startswith(held[-2])))
+                    out.append((*held[: len(keys)], held[-1], row[: len(keys)] == held[: len(keys)] and row[-2].startswith(held[-2])))
                 held = row
-            yield pd.DataFrame(out, columns=[id_column, "is_prefix"])
+            yield pd.DataFrame(out, columns=[*keys, id_column, "is_prefix"])
 
     return run
 
@@ -45,24 +45,23 @@ def _edges(columns: list[str]):
 
 
 def mark_prefixes(df: DataFrame, keys: list[str], text: str, id_column: str) -> DataFrame:
-    """(id, is_prefix) of each row of a table that is distinct by ``keys`` and ``text``, without nulls there.
+    """(keys, id, is_prefix) of each row of a table that is distinct by ``keys`` and ``text``, without nulls there.
 
     In sorted order all texts between a text and one it begins start with it too,
     so looking at the next row is enough: no pairs, and no group in one task.
     """
     fixed = range_sorted(df.select(*keys, text, id_column), [F.col(c).asc() for c in (*keys, text)])
-    id_type = fixed.schema[id_column].dataType.simpleString()
-    inner = fixed.mapInPandas(_with_next(keys, text, id_column), f"`{id_column}` {id_type}, is_prefix boolean")
+    named = ", ".join(f"`{c}` {fixed.schema[c].dataType.simpleString()}" for c in (*keys, id_column))
+    inner = fixed.mapInPandas(_with_next(keys, text, id_column), named + ", is_prefix boolean")
 
     # One row a partition: its last text against the first text of the next partition that has rows.
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fixed.schema.fields)
     edges = materialize(fixed.mapInPandas(_edges(fixed.columns), schema + ", __last boolean"))
     first, final = edges.where("NOT __last"), edges.where("__last")
-    following = Window.orderBy(PART)
-    ahead = first.select(
-        F.lag(PART).over(following).alias(PART), F.col(text).alias("__next"), F.struct(*keys).alias("__keys")
-    )
+    # The window holds the partitions' numbers only; the texts are joined to them.
+    following = first.select(F.col(PART).alias("__at"), F.lag(PART).over(Window.orderBy(PART)).alias("__before"))
+    ahead = first.join(following, F.col(PART) == F.col("__at")).select(F.col("__before").alias(PART), F.col(text).alias("__next"), F.struct(*keys).alias("__keys"))
     edge = final.join(ahead, PART, "left").select(
-        id_column, F.coalesce((F.struct(*keys) == F.col("__keys")) & F.col("__next").startswith(F.col(text)), F.lit(False)).alias("is_prefix")
+        *keys, id_column, F.coalesce((F.struct(*keys) == F.col("__keys")) & F.col("__next").startswith(F.col(text)), F.lit(False)).alias("is_prefix")
     )
     return inner.unionByName(edge)

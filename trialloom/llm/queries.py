@@ -72,7 +72,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     claims = sections.join(sources, "source_id", "left").withColumn("nct_id", F.coalesce(normal_nct(F.col("nct_id")), "path_nct"))
     kind = F.lower(F.trim("section_type"))
     claims = claims.withColumn("section_type", F.when(F.length(kind) > 0, kind).otherwise("unknown"))
-    names = [r.source_corpus for r in trust.orderBy("trust_rank").limit(survivors.MAX_SOURCES - 1).collect()]
+    names = [r.source_corpus for r in trust.orderBy("trust_rank").limit(survivors.MAX_SOURCES).collect()]  # one too many is an error of fuse_fields
     return claims, names
 
 

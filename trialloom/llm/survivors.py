@@ -1,16 +1,18 @@
 """One surviving record of each duplicate group, field by field.
 
-The named method, Bayesian fusion with copy detection, weighs the sources that
-give a value: accuracies and pairwise dependence are estimated from all items,
-a copied vote is discounted, and each value gets a posterior probability. Which
-value survives is the policy's choice: ``posterior`` takes the most probable
-one, ``ranked`` an order laid down beforehand, as a prior no vote outweighs.
+Bayesian fusion with copy detection weighs the sources that give a value: source
+accuracies and the probability that one source copies another are estimated from
+all items, a copied vote is discounted, and the value with the largest posterior
+survives. The prior over records is the caller's: with ``policy="ranked"`` it is an
+order whose every step outweighs any vote, with ``policy="posterior"`` records are
+equal beforehand and only the sources' prior accuracies differ.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+import warnings
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,84 +43,148 @@ def has_value(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Trust:
-    """What the estimation found: an accuracy per source and the probability that a pair copies."""
+    """What the estimation found: an accuracy per source and, per pair, the probability that one copies the other."""
 
     sources: list[str]
     accuracy: list[float]
-    dependence: list[list[float]]
+    copies: list[list[float]]  # [s][t]: s copies t
+    copied: list[list[float]]  # symmetric: the share of a pair's values that is copied, if there is copying
     n_false: int = 10
-    copy_rate: float = 0.8
-    rounds: int = field(default=0)
+    rounds: int = 0
+    settled: bool = False
+
+    @property
+    def dependence(self) -> list[list[float]]:
+        """Probability that a pair of sources depends on each other, in either direction."""
+        n = range(len(self.sources))
+        return [[self.copies[s][t] + self.copies[t][s] for t in n] for s in n]
 
     def score(self, mask: int) -> float:
-        """The log weight of a value given by the sources in ``mask``; copied votes count in part."""
-        order = sorted((s for s in range(len(self.sources)) if mask >> s & 1), key=lambda s: (-self.accuracy[s], s))
+        """The log weight of a value given by the sources in ``mask``.
+
+        Originals vote first; a later source counts by the part of its vote that
+        isn't copied from any before it.
+        """
+        among = [s for s in range(len(self.sources)) if mask >> s & 1]
+        depends = self.dependence
+        given = sorted(among, key=lambda s: (round(sum(self.copies[s][t] - self.copies[t][s] for t in among), 9), -self.accuracy[s], s))
         total = 0.0
-        for i, s in enumerate(order):
-            own = 1.0
-            for t in order[:i]:
-                own *= 1 - self.copy_rate * self.dependence[s][t]
+        for i, s in enumerate(given):
+            own = math.prod(1 - self.copied[s][t] * depends[s][t] for t in given[:i])
             total += own * math.log(self.n_false * self.accuracy[s] / (1 - self.accuracy[s]))
         return total
 
 
-def _dependence(shared_true: float, shared_false: float, differ: float, a: float, b: float, n_false: int, copy_rate: float, prior: float = 0.2) -> float:
-    """Probability that two sources copy: shared false values speak for it most."""
-    wrong = max(1 - (a + b) / 2, 1e-6)
-    right = 1 - wrong
-    p_true, p_false = right * right, wrong * wrong / n_false
-    p_differ = max(1 - p_true - p_false, 1e-9)
-    log_ratio = (
-        shared_true * math.log(right * copy_rate / p_true + (1 - copy_rate))
-        + shared_false * math.log(wrong * copy_rate / p_false + (1 - copy_rate))
-        + differ * math.log(1 - copy_rate)
-    )
-    odds = math.log(prior / (1 - prior)) + max(-700.0, min(700.0, log_ratio))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+def prior_accuracies(n: int) -> list[float]:
+    """Accuracies to start from for sources listed by trust, the most trusted one first."""
+    return [max(0.5, 0.9 - 0.1 * i) for i in range(n)]
+
+
+def _odds(prior: list[float], logs: list[float]) -> list[float]:
+    """Posterior of hypotheses from their priors and log likelihoods."""
+    top = max(logs)
+    weights = [p * math.exp(max(-700.0, x - top)) for p, x in zip(prior, logs, strict=True)]
+    return [w / sum(weights) for w in weights]
+
+
+def copying(true: float, false: float, differ: float, a: float, b: float, own_a: float, own_b: float, n_false: int, copy_rate: float, known: bool, prior: float = 0.2) -> tuple[float, float, float]:
+    """(P(first copies second), P(second copies first), copied share) of a pair of sources.
 
+    ``true`` and ``false`` count the values both give, ``differ`` the items on which
+    they differ, ``own_a`` and ``own_b`` are accuracies on what the other doesn't
+    give: a copier's own values are as good as its own work, its copied ones as
+    good as the original's, which tells the direction. While no truth is
+    ``known``, shared values count alike whether true or false.
+    """
+
+    def log_likelihood(p_true: float, p_false: float) -> float:
+        p_differ = max(1 - p_true - p_false, 1e-9)
+        if known:
+            return true * math.log(p_true) + false * math.log(p_false) + differ * math.log(p_differ)
+        return (true + false) * math.log(p_true + p_false) + differ * math.log(p_differ)
+
+    def copied_from(original: float, own: float) -> float:
+        p_true = original * (copy_rate + (1 - copy_rate) * own)
+        p_false = (1 - original) * (copy_rate + (1 - copy_rate) * (1 - own) / n_false)
+        return log_likelihood(p_true, p_false)
+
+    apart = (a * b, (1 - a) * (1 - b) / n_false)
+    _, first, second = _odds([1 - prior, prior / 2, prior / 2], [log_likelihood(*apart), copied_from(b, own_a), copied_from(a, own_b)])
+    expected = sum(apart)
+    agreed = (true + false) / max(true + false + differ, 1e-9)
+    return first, second, min(1.0, max(0.0, (agreed - expected) / (1 - expected)))
 
-def estimate_trust(values: DataFrame, item: list[str], sources: list[str], rounds: int = 4, n_false: int = 10, copy_rate: float = 0.8) -> tuple[Trust, list[int]]:
-    """Accuracies and dependence from a table of one row per item and value with the ``mask`` of its sources; and the masks.
+
+def estimate_trust(
+    values: DataFrame, item: list[str], sources: list[str], prior: list[float] | None = None, rounds: int = 60, n_false: int = 10, copy_rate: float = 0.8, strength: float = 10.0,
+) -> tuple[Trust, list[int]]:
+    """Accuracies and copying from a table of one row per item and value with the ``mask`` of its sources; and the masks.
+
+    ``prior`` holds the accuracies believed beforehand (``sources`` by trust, if
+    not given), worth ``strength`` claims each. Copying is judged before the first
+    vote, from how often sources agree, and then in each round by the values
+    they share, false ones above all. Rounds go on until no accuracy moves by more than
+    ``SETTLED``; ``Trust.settled`` says whether that was reached within ``rounds``.
 
     An item matters only by how often each mask occurs among its values, and
     equal such profiles are counted together, so each round is one small
-    aggregation. The driver gets sums per source and per pair of sources.
+    aggregation. The driver gets sums per mask of sources, at most 2^MAX_SOURCES.
     """
     n = len(sources)
+    prior = prior or prior_accuracies(n)
     per_mask = values.groupBy(*item, "mask").agg(F.count(F.lit(1)).alias("k"))
     profiles = per_mask.groupBy(*item).agg(F.array_sort(F.collect_list(F.struct("mask", "k"))).alias("profile"))
     profiles = materialize(profiles.groupBy("profile").agg(F.count(F.lit(1)).alias("items")))
-    masks = [r.mask for r in profiles.select(F.explode("profile.mask").alias("mask")).distinct().collect()]  # at most 2^MAX_SOURCES
-    trust = Trust(sources, [0.8] * n, [[0.0] * n for _ in range(n)], n_false, copy_rate)
-    if not masks:
-        return trust, masks
+    counted = profiles.select("items", F.explode("profile").alias("p")).groupBy("p.mask").agg(F.sum(F.col("items") * F.col("p.k")).alias("k"))
+    claims = {r.mask: float(r.k) for r in counted.collect()}  # at most 2^MAX_SOURCES rows
+    masks = sorted(claims)
     both = profiles.select("items", F.aggregate("profile", F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(p["mask"])).alias("mask"))
     together = {r.mask: float(r.n) for r in both.groupBy("mask").agg(F.sum("items").alias("n")).collect()}  # at most 2^MAX_SOURCES rows
+
+    def judged(accuracy: list[float], truth: dict[int, float] | None) -> tuple[list[list[float]], list[list[float]]]:
+        copies, copied = ([[0.0] * n for _ in range(n)] for _ in range(2))
+        right = truth or dict.fromkeys(claims, 0.0)
+
+        def own(s: int, t: int) -> tuple[float, float]:
+            """The accuracy of ``s`` on what ``t`` doesn't give, and the number of such claims."""
+            apart = [m for m in claims if m >> s & 1 and not m >> t & 1]
+            said = sum(claims[m] for m in apart)
+            return (min(0.99, max(0.01, (sum(right[m] for m in apart) + strength * accuracy[s]) / (said + strength))) if truth else accuracy[s]), said
+
+        for s in range(n):
+            for t in range(s):
+                pair = (1 << s) | (1 << t)
+                shared = sum(k for m, k in claims.items() if m & pair == pair)
+                true = sum(x for m, x in right.items() if m & pair == pair)
+                differ = max(0.0, sum(k for m, k in together.items() if m & pair == pair) - shared)
+                if shared + differ:
+                    (own_s, apart_s), (own_t, apart_t) = own(s, t), own(t, s)
+                    one, other, copied[s][t] = copying(true, shared - true, differ, accuracy[s], accuracy[t], own_s, own_t, n_false, copy_rate, truth is not None)
+                    if min(apart_s, apart_t) < strength:  # a source that says next to nothing by itself shows no direction
+                        one = other = (one + other) / 2
+                    copies[s][t], copies[t][s], copied[t][s] = one, other, copied[s][t]
+        return copies, copied
+
+    trust = Trust(sources, list(prior), *judged(prior, None), n_false)
     for done in range(1, rounds + 1):
+        if not masks:
+            break
         weight = F.create_map(*[x for m in masks for x in (F.lit(m), F.lit(math.exp(min(trust.score(m), 300.0))))])
         total = F.aggregate("profile", F.lit(0.0), lambda acc, p: acc + p.k * F.element_at(weight, p["mask"]))
         size = F.aggregate("profile", F.lit(0), lambda acc, p: acc + p.k.cast("int"))
         rest = F.greatest(F.lit(n_false + 1) - size, F.lit(0))
         rows = profiles.select("items", F.explode("profile").alias("p"), (total + rest).alias("total"))
-        rows = rows.select("items", "p.mask", "p.k", (F.element_at(weight, F.col("p.mask")) / F.col("total")).alias("truth"))
-        sums = rows.groupBy("mask").agg(F.sum(F.col("items") * F.col("k")).alias("k"), F.sum(F.col("items") * F.col("k") * F.col("truth")).alias("truth"))
-        by_mask = {r.mask: (float(r.k), float(r.truth)) for r in sums.collect()}  # at most 2^MAX_SOURCES rows
+        part = F.col("items") * F.col("p.k") * F.element_at(weight, F.col("p.mask")) / F.col("total")
+        truth = {r.mask: float(r.truth) for r in rows.groupBy("p.mask").agg(F.sum(part).alias("truth")).collect()}  # at most 2^MAX_SOURCES rows
         accuracy = []
         for s in range(n):
-            claims = sum(k for m, (k, _) in by_mask.items() if m >> s & 1)
-            right = sum(t for m, (_, t) in by_mask.items() if m >> s & 1)
-            accuracy.append(min(0.99, max(0.01, (right + 8) / (claims + 10))))
-        dependence = [[0.0] * n for _ in range(n)]
-        for s in range(n):
-            for t in range(s):
-                pair = (1 << s) | (1 << t)
-                shared = sum(k for m, (k, _) in by_mask.items() if m & pair == pair)
-                true = sum(x for m, (_, x) in by_mask.items() if m & pair == pair)
-                differ = max(0.0, sum(k for m, k in together.items() if m & pair == pair) - shared)
-                dependence[s][t] = dependence[t][s] = _dependence(true, shared - true, differ, accuracy[s], accuracy[t], n_false, copy_rate)
+            said = sum(k for m, k in claims.items() if m >> s & 1)
+            right = sum(x for m, x in truth.items() if m >> s & 1)
+            found = min(0.99, max(0.01, (right + strength * prior[s]) / (said + strength)))
+            accuracy.append(found if done <= 10 else (found + trust.accuracy[s]) / 2)  # halved steps end a swing between two states
         moved = max(abs(a - b) for a, b in zip(accuracy, trust.accuracy, strict=True))
-        trust = Trust(sources, accuracy, dependence, n_false, copy_rate, done)
-        if moved < SETTLED:
+        trust = Trust(sources, accuracy, *judged(accuracy, truth), n_false, done, moved < SETTLED)
+        if trust.settled:
             break
     return trust, masks
 
@@ -147,8 +213,13 @@ def fuse_fields(
     records that give a value (ascending, nulls last), before ``record_id``.
     Copies of ``cut_off_field`` that say they are cut off, or are only the
     beginning of another copy in the group, yield to any that is whole.
-    ``sources`` are the names told apart (at most 12); any other name, and null,
-    is one more source.
+    ``sources`` are the names told apart, the most trusted one first (at most 11,
+    more is an error); any other name, and null, is one more source, trusted least.
+
+    ``policy="posterior"`` takes the most probable value, the preference breaking
+    ties. ``policy="ranked"`` makes the preference the prior: each of its steps has
+    larger odds than all votes together, so votes only decide where it ties, and
+    the order ends with the record's id. The posterior of the votes is given in both.
 
     Values are compared with blanks collapsed. Null, blank and stand-in values
     never count; a field without any value has no row. Groups with a null key or
@@ -178,10 +249,13 @@ def fuse_fields(
     values = materialize(values.withColumn("value_id", F.xxhash64(*item, "flat")))
     given = values.where(F.col("flat").isNotNull())
     trust, masks = estimate_trust(given, item, [*sources, "(other)"])
+    if not trust.settled and masks:
+        warnings.warn(f"source accuracies still move after {trust.rounds} rounds", stacklevel=2)
     if cut_off_field:
         marked = mark_prefixes(given.where(F.col("field_name") == cut_off_field), group, "flat", "value_id").where("is_prefix")
-        # value_id hashes the whole key, so the join is spread even within one group.
-        given = given.join(marked, "value_id", "left").withColumn(
+        marked = marked.withColumn("field_name", F.lit(cut_off_field))
+        # The hash of the value spreads the join within one group; the group stands beside it, so that a clash can't mix groups.
+        given = given.join(marked, [*item, "value_id"], "left").withColumn(
             "cut_off", (F.col("field_name") == cut_off_field) & (F.coalesce("is_prefix", F.lit(False)) | F.col("flat").rlike(CUT_MARKS))
         )
     else:
