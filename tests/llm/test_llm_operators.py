@@ -297,13 +297,13 @@ def test_subjects_of_texts(frame):
     rows = [
         (1, "Confirmed heart failure. Mean ejection fraction changed. Unlike in dengue fever, no titration is planned."),
         (2, "BEFORE CHEMOTHE-\nRAPY the melanoma grew; an insulin pump was fitted for <b>type&nbsp;2 diabetes</b>. HbA1c rose."),
-        (3, "各次访视记录抗体滴度。其亲属曾患溃疡性结肠炎。"), (4, None), (5, ""), (6, " \n"), (7, "66.02\t68.76"), (8, "The file is here."), (9, "atrial fibirllation noted"), (10, "Geprüft wird ulvotuzimab."),
+        (3, "各次访视记录抗体滴度。其亲属曾患溃疡性结肠炎。"), (4, None), (5, ""), (6, " \n"), (7, "66.02\t68.76"), (8, "The file is here."), (9, "atrial fibirllation noted"), (10, "Geprüft wird ulvotuzimab."), (11, "Geprüft wird Trastuzumab."),
     ]
     out = subjects.assign_subjects(frame(rows, "k long, text string"), "k", "text").collect()
     got = {}
     for r in out:
         got.setdefault(r.k, set()).add(r.subject_code)
-    assert got == {1: {"cardiology"}, 2: {"oncology", "endocrinology"}, 3: {"infectious_disease"}, 9: {"cardiology"}, 10: {"oncology"}}
+    assert got == {1: {"cardiology"}, 2: {"oncology", "endocrinology"}, 3: {"infectious_disease"}, 9: {"cardiology"}, 11: {"oncology"}}
 
 
 def test_words_inside_words_are_no_mention():
@@ -311,11 +311,38 @@ def test_words_inside_words_are_no_mention():
     assert match.mentions("The scancerous hivernal asthmalike text")[1] == {}
 
 
+SCORES = "k long, subject_code string, n_mentions int, share double, density double"
+
+
 def test_calibration_finds_a_separating_share(frame):
-    scores = frame([(i, "a", 3, 0.9, 1.0) for i in range(20)] + [(i, "b", 3, 0.1, 1.0) for i in range(20)], "k long, subject_code string, n_mentions int, share double, density double")
-    labels = frame([(i, "a") for i in range(20)], "k long, subject_code string")
-    low, _, f1 = subjects.calibrate(scores, labels, "k")
-    assert f1 == 1.0 and 0.1 < low <= 0.9
+    """Many mentions part at .3, single ones at .6, far from the values believed beforehand."""
+    rows = [(i, "a", 3, 0.4 + i % 5 / 10, 1.0) for i in range(200)] + [(i, "b", 3, 0.05 + i % 20 / 100, 1.0) for i in range(200)]
+    rows += [(i, "c", 1, 0.7 if i % 2 else 0.5, 1.0) for i in range(200)]
+    labels = frame([(i, "a") for i in range(200)] + [(i, "c") for i in range(1, 200, 2)], "k long, subject_code string")
+    found = subjects.calibrate(frame(rows, SCORES), labels, "k")
+    assert 0.22 <= found.share <= 0.4 and 0.48 < found.share_single <= 0.7
+    kept = {(r.k, r.subject_code) for r in subjects.above(frame(rows, SCORES), found).collect()}
+    assert len(kept ^ {(r.k, r.subject_code) for r in labels.collect()}) < 12
+
+
+def test_calibration_keeps_what_is_believed_without_evidence(frame):
+    rows = frame([(1, "a", 2, 0.9, 1.0), (1, "b", 1, 0.06, 1.0)], SCORES)
+    assert subjects.calibrate(rows, frame([], "k long, subject_code string"), "k") == subjects.Thresholds()
+    assert subjects.calibrate(rows, frame([(1, "a"), (None, "b")], "k long, subject_code string"), "k") == subjects.Thresholds()
+
+
+def test_a_cue_reaches_its_whole_sentence_and_no_further(frame):
+    filler = "of a kind seen in many clinics and reported again and again over the years " * 4
+    rows = [(1, f"Unlike {filler} in dengue fever."), (2, f"Dengue fever is {filler} unlike others."), (3, "Unlike before.\n\nDengue fever"), (4, "It is unlike that. Dengue fever here"), (5, "Not apparently dengue fever")]
+    out = subjects.assign_subjects(frame(rows, "k long, text string"), "k", "text").collect()
+    assert {r.k for r in out} == {3, 4, 5}
+
+
+def test_terms_are_graded_and_open_where_they_say(frame):
+    terms = subjects.read_terms()
+    assert {t.weight for t in terms} == {1.0, 0.6, 0.3}
+    match = subjects.matcher((subjects.parse_term("stent*", "a", 1.0), subjects.parse_term("*thyroid*", "b", 1.0), subjects.parse_term("eye", "c", 1.0)))
+    assert match.mentions("existent stents, hyperthyroidism; eyes and eyed")[1] == {0: 1, 1: 1, 2: 1}
 
 
 def test_subjects_of_an_empty_table(frame):

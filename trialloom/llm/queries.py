@@ -118,7 +118,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = subjects.assign_subjects(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+    """Areas of every document, by thresholds calibrated on the labelled ones."""
+    labels = table(spark, sf_dir, "doc_subject_labels").select("doc_id", "subject_code")
+    found = subjects.assign_subjects(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", labels=labels)
     areas = bounded_broadcast(table(spark, sf_dir, "subject_areas").select("subject_code"))
     return found.select("doc_id", "subject_code").join(areas, "subject_code", "left_semi").select("doc_id", "subject_code")
 

@@ -21,44 +21,54 @@ from pyspark.sql import functions as F
 from trialloom.session import materialize
 
 TERMS_FILE = Path(__file__).with_name("subject_terms.txt")
-#: Cues of a passing mention: what shares a sentence with one isn't what the text is about.
+#: Cues of a passing mention (an exclusion, a relative's illness, a contrast): what shares a sentence with one isn't what the
+#: text is about. Written like terms, "*" for any letters.
 PASSING = (
-    "unlike in", "a relative once", "relative once had", "family history of", "with known", "cannot take part",
-    "in der familie", "bekannter diagnose", "sind ausgeschlossen", "anders als bei",
-    "se excluye a", "un familiar tuvo", "a diferencia de",
-    "ne peuvent participer", "un parent a eu", "contrairement a",
-    "其亲属曾患", "不得参加", "已知患有", "不同于",
+    "unlike", "in contrast to", "as opposed to", "rather than in", "family history", "relative", "relatives", "mother", "father", "sibling*", "cannot take part", "may not take part", "not eligible", "ineligible", "are excluded", "is excluded",
+    "anders als", "im gegensatz zu", "familienanamnese", "in der familie", "verwandte*", "angehorige*", "ausgeschlossen", "nicht teilnehmen",
+    "a diferencia de", "en contraste con", "antecedentes familiares", "familiar", "familiares", "pariente*", "se excluye*", "excluid*", "no pueden participar",
+    "contrairement a", "a la difference de", "antecedents familiaux", "parent", "parents", "exclu", "exclus", "exclue*", "ne peuvent participer", "ne peuvent pas participer", "ne peut participer",
+    "亲属", "家族史", "不得参加", "不能参加", "排除", "不同于", "与之不同",
 )
-#: Characters a cue reaches within its sentence.
-CUE_REACH = 120
-#: Share of a text's weighted mentions an area needs, and the share that suffices for one mention alone.
-MIN_SHARE, MIN_SHARE_SINGLE = 0.1, 0.1
-#: Mentions per 100 words an area needs at least.
-MIN_DENSITY = 0.1
+#: Labelled documents the thresholds are fitted on, at most.
+LABEL_SAMPLE = 20_000
 #: Terms and cues with at least so many letters are also found with two neighbouring letters of a word swapped.
 SWAP_FROM = 6
 
+
+@dataclass(frozen=True)
+class Thresholds:
+    """What an area needs of a text: a share of its weighted mentions, another one if it is mentioned once only, and mentions per 100 words."""
+
+    share: float = 0.05
+    share_single: float = 0.08
+    density: float = 0.1
+
+
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _WRAPPED = re.compile(r"(?<=[^\W\d_])[-­][ \t]*\r?\n\s*(?=[^\W\d_])")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _SPACE = re.compile(r"\s+")
-_STOP = re.compile(r"[.!?;](?=\s|$)|[。！？；]")
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+_WIDE = re.compile("[⺀-\U0003ffff]")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*|\r[^\S\n]*\r\s*")
+_STOP = re.compile(r"[.!?;](?=\s|$)|[。！？；¶]")
 
 
 def fold(text: str) -> str:
     """Lower case without accents, in compatibility form, blanks collapsed."""
-    text = unicodedata.normalize("NFKD", text)
-    text = "".join(c for c in text if not unicodedata.combining(c)).casefold()
-    return _SPACE.sub(" ", text.replace("’", "'"))
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("’", "'")
+    return _SPACE.sub(" ", text.casefold())
 
 
 def clean(text: str) -> str:
-    """``fold`` after markup, invisible characters and hyphens at line ends are gone."""
+    """``fold`` after markup, invisible characters and hyphens at line ends are gone; "¶" where a paragraph ends."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
-    return fold(_INVISIBLE.sub("", _WRAPPED.sub("", text)))
+    return fold(_PARAGRAPH.sub(" ¶ ", _INVISIBLE.sub("", _WRAPPED.sub("", text)).replace("\r\n", "\n")))
 
 
 @dataclass(frozen=True)
@@ -66,48 +76,49 @@ class Term:
     subject: str
     weight: float
     text: str
-    suffix: bool
+    open_left: bool
+    open_right: bool
+
+
+def _wide(text: str) -> bool:
+    return bool(_WIDE.search(text))
+
+
+def parse_term(raw: str, subject: str = "", weight: float = 0.0) -> Term:
+    """A term as written, "*" at an end for any letters there; words of scripts without blanks may stand anywhere."""
+    text = fold(raw.strip())
+    bare = text.strip("*")
+    return Term(subject, weight, bare, text.startswith("*") or _wide(bare), text.endswith("*") or _wide(bare))
 
 
 def read_terms(path: Path = TERMS_FILE) -> list[Term]:
-    """The curated terms: lines of ``subject | weight | term; term; ...``."""
-    terms: dict[tuple[str, str], Term] = {}
+    """The curated terms: lines of ``subject | weight | term; term; ...``; of a repeated term the first counts."""
+    terms: dict[tuple[str, bool, bool], Term] = {}
     for line in path.read_text(encoding="utf-8").splitlines():
         if line.strip() and not line.startswith("#"):
             subject, weight, listed = (x.strip() for x in line.split("|", 2))
-            for raw in listed.split(";"):
-                text = fold(raw.strip())
-                bare = text.strip("*")
-                if bare:
-                    terms.setdefault((subject, bare), Term(subject, float(weight), bare, text.startswith("*") or text.endswith("*")))
+            for raw in filter(str.strip, listed.split(";")):
+                term = parse_term(raw, subject, float(weight))
+                terms.setdefault((term.text, term.open_left, term.open_right), term)
     return list(terms.values())
 
 
-def _wide(text: str) -> bool:
-    return any("⺀" <= c for c in text)
-
-
 class Matcher:
     """The automaton over all terms, their spellings and the passing cues."""
 
     def __init__(self, terms: tuple[Term, ...]):
         self.terms = terms
         self.automaton = ahocorasick.Automaton()
-        spelled: dict[str, tuple[int, bool, bool]] = {}
-        for i, term in enumerate(terms):
-            open_left, open_right = (term.suffix, False) if not _wide(term.text) else (True, True)
-            if term.text.startswith("echocardiogra"):
-                open_left, open_right = False, True
-            for text in self._spellings(term.text):
-                spelled.setdefault(text, (i, open_left, open_right))
-        # The listed spelling of any term beats a variant of another.
-        for i, term in enumerate(terms):
-            spelled[term.text] = (i, *spelled[term.text][1:]) if spelled[term.text][0] == i else spelled[term.text]
-        for text, (i, left, right) in spelled.items():
-            self.automaton.add_word(text, (len(text), i, left, right))
-        for cue in PASSING:
-            for text in self._spellings(fold(cue)):
-                self.automaton.add_word(text, (len(text), -1, True, True))
+        # Spelling -> readings (term, open at the left, open at the right); -1 is a cue. Listed spellings come before variants.
+        spelled: dict[str, list[tuple[int, bool, bool]]] = {}
+        listed = [*enumerate(terms), *((-1, parse_term(cue)) for cue in PASSING)]
+        for variants in (False, True):
+            for i, term in listed:
+                for text in self._spellings(term.text)[1:] if variants else [term.text]:
+                    if not variants or text not in spelled:
+                        spelled.setdefault(text, []).append((i, term.open_left, term.open_right))
+        for text, readings in spelled.items():
+            self.automaton.add_word(text, (len(text), readings))
         self.automaton.make_automaton()
 
     @staticmethod
@@ -127,29 +138,33 @@ class Matcher:
         Of overlapping mentions the longest counts.
         """
         flat = clean(text)
-        found = []
-        for end, (size, term, left, right) in self.automaton.iter(flat):
+        found, cues = [], []
+        for end, (size, readings) in self.automaton.iter(flat):
             start = end - size + 1
-            if not left and start and flat[start - 1].isalnum():
-                continue
-            if not right and end + 1 < len(flat) and flat[end + 1].isalnum() and not (flat[end + 1] == "s" and not flat[end + 2 : end + 3].isalnum()):
-                continue
-            found.append((start, end, term))
-        words = max(1, flat.count(" ") + 1, sum("⺀" <= c for c in flat) // 2 if not flat.isascii() else 0)
+            left = start == 0 or not flat[start - 1].isalnum()
+            right = end + 1 == len(flat) or not flat[end + 1].isalnum() or (flat[end + 1] == "s" and not flat[end + 2 : end + 3].isalnum())
+            for term, open_left, open_right in readings:
+                if (left or open_left) and (right or open_right):
+                    if term < 0:
+                        cues.append(start)
+                    else:
+                        found.append((start, -end, term))
+                    break
+        words = max(1, flat.count(" ") + 1, 0 if flat.isascii() else len(_WIDE.findall(flat)) // 2)
         if not found:
             return words, {}
-        stops = [m.start() for m in _STOP.finditer(flat)]
-        cues = sorted(start for start, _, term in found if term < 0)
-        found.sort(key=lambda f: (f[0], -f[1]))
+        passing = set()
+        if cues:
+            stops = [m.start() for m in _STOP.finditer(flat)]
+            passing = {bisect_right(stops, c) for c in cues}
+        found.sort()
         last = -1
         counted: Counter[int] = Counter()
         for start, end, term in found:
-            if term < 0 or start <= last:
+            if start <= last:
                 continue
-            last = end
-            at = bisect_right(cues, start)
-            near = [c for c in cues[max(0, at - 1) : at + 1] if abs(c - start) <= CUE_REACH]
-            if not any(bisect_right(stops, c) == bisect_right(stops, start) for c in near):
+            last = -end
+            if not passing or bisect_right(stops, start) not in passing:
                 counted[term] += 1
         return words, dict(counted)
 
@@ -209,35 +224,54 @@ def subject_scores(df: DataFrame, key: str, text: str, terms: list[Term] | None
     return rows.select(key, "a.subject_code", F.col("a.n").cast("int").alias("n_mentions"), (F.col("a.w") / F.col("__all")).alias("share"), (F.col("a.n") * 100 / F.col("n_words")).alias("density"))
 
 
-def assign_subjects(df: DataFrame, key: str, text: str, terms: list[Term] | None = None, min_share: float = MIN_SHARE, min_share_single: float = MIN_SHARE_SINGLE, min_density: float = MIN_DENSITY) -> DataFrame:
+def above(scores: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """The rows of ``subject_scores`` that reach the thresholds."""
+    share = F.when(F.col("n_mentions") > 1, thresholds.share).otherwise(thresholds.share_single)
+    return scores.where((F.col("share") >= share) & (F.col("density") >= thresholds.density))
+
+
+def assign_subjects(df: DataFrame, key: str, text: str, terms: list[Term] | None = None, labels: DataFrame | None = None, thresholds: Thresholds | None = None) -> DataFrame:
     """(key, subject_code, share) of every area a fair share of the text is about.
 
     Mentions in sentences that name something in passing (an exclusion, a
-    relative's illness, a contrast) don't count. Null, empty and blank texts and
-    texts without any term have no row. Keys should be unique; rows with equal
-    keys are judged each by itself. Columns not named are dropped.
+    relative's illness, a contrast) don't count. ``thresholds`` are calibrated on
+    ``labels`` (key, subject_code) unless they are given; without either the
+    defaults hold. Null, empty and blank texts and texts without any term have no
+    row. Keys should be unique; rows with equal keys are judged each by itself.
+    Columns not named are dropped.
     """
     scores = subject_scores(df, key, text, terms)
-    fair = (F.col("share") >= F.when(F.col("n_mentions") > 1, min_share).otherwise(min_share_single)) & (F.col("density") >= min_density)
-    return scores.where(fair).select(key, "subject_code", "share")
+    if thresholds is None:
+        thresholds = calibrate(scores, labels, key) if labels is not None else Thresholds()
+    return above(scores, thresholds).select(key, "subject_code", "share")
 
 
-def calibrate(scores: DataFrame, labels: DataFrame, key: str, sample: int = 20_000) -> tuple[float, float, float]:
-    """(min_share, min_share_single, F1) that fit hand-set labels best.
+def calibrate(scores: DataFrame, labels: DataFrame, key: str, sample: int = LABEL_SAMPLE, prior: Thresholds = Thresholds()) -> Thresholds:  # noqa: B008
+    """The thresholds that fit hand-set labels.
 
-    ``labels`` has ``key`` and ``subject_code``; at most ``sample`` labelled
-    documents, those with the smallest hash of their key, are used.
+    Of all thresholds of a grid whose F1 lies within one standard error of the
+    best, those nearest to ``prior`` (by ratio): a few labels, some of them wrong,
+    move nothing without evidence. ``labels`` has ``key`` and ``subject_code``; at
+    most ``sample`` labelled documents are used, those with the smallest hash of
+    their key. No labels give ``prior``.
     """
-    chosen = labels.select(key).distinct().orderBy(F.xxhash64(key)).limit(sample)
+    chosen = labels.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(sample)
     truth = labels.join(chosen, key, "left_semi").select(key, "subject_code", F.lit(1).alias("truth")).distinct()
-    rows = scores.join(chosen, key, "left_semi").join(truth, [key, "subject_code"], "full").select("n_mentions", "share", F.coalesce("truth", F.lit(0)).alias("truth")).toPandas()
-    best = (MIN_SHARE, MIN_SHARE_SINGLE, 0.0)
-    many, single = rows["n_mentions"].fillna(0) > 1, rows["n_mentions"].fillna(0) == 1
-    for a in (x / 100 for x in range(0, 60, 2)):
-        for b in (x / 100 for x in range(0, 100, 5)):
-            said = (many & (rows["share"] >= a)) | (single & (rows["share"] >= b))
-            right = int((said & (rows["truth"] == 1)).sum())
-            f1 = 2 * right / max(1, int(said.sum()) + int((rows["truth"] == 1).sum()))
-            if f1 > best[2]:
-                best = (a, b, f1)
-    return best
+    rows = scores.join(chosen, key, "left_semi").join(truth, [key, "subject_code"], "full")
+    rows = rows.select(F.coalesce("n_mentions", F.lit(0)).alias("n"), F.coalesce("share", F.lit(0.0)).alias("s"), F.coalesce("density", F.lit(0.0)).alias("d"), F.coalesce("truth", F.lit(0)).alias("t")).toPandas()
+    n, share, density, true = (rows[c].to_numpy() for c in ("n", "s", "d", "t"))
+    wanted = int(true.sum())
+    if not wanted:
+        return prior
+    fits = []
+    for d in sorted({0.0, 0.05, 0.2, 0.4, prior.density}):
+        dense = (density >= d) & (n > 0)
+        for_many, for_single = ({a: dense & kind & (share >= a) for a in sorted({*(x / 50 for x in range(1, 49)), known})} for kind, known in ((n > 1, prior.share), (n == 1, prior.share_single)))
+        many = {a: (int(m.sum()), int(true[m].sum())) for a, m in for_many.items()}
+        single = {a: (int(m.sum()), int(true[m].sum())) for a, m in for_single.items()}
+        fits += [(2 * (mt + st) / (m + s + wanted), a, b, d) for a, (m, mt) in many.items() for b, (s, st) in single.items()]
+    best = max(f for f, *_ in fits)
+    within = best - math.sqrt(best * (1 - best) / wanted)
+    ratio = lambda x, y: math.log((x + 0.01) / (y + 0.01)) ** 2
+    near = min((ratio(a, prior.share) + ratio(b, prior.share_single) + ratio(d, prior.density), a, b, d) for f, a, b, d in fits if f >= within)
+    return Thresholds(*near[1:])
