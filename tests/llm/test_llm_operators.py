@@ -39,7 +39,7 @@ def _rebuilt(text, limit, overlap):
     flat, _ = splitting.boundaries(text)
     pieces = splitting.split_text(text, limit, overlap)
     assert all(0 < b - a <= limit for a, b, _ in pieces)
-    assert all(y[0] == x[1] - min(overlap, limit // 2) for x, y in zip(pieces, pieces[1:], strict=False))
+    assert all(y[0] == x[1] - min(overlap, limit - 1) for x, y in zip(pieces, pieces[1:], strict=False))
     joined, at = "", 0
     for a, b, _ in pieces:
         joined += flat[max(a, at) : b]
@@ -63,6 +63,13 @@ def test_split_prefers_paragraphs_then_sentences_then_hard_cuts():
     assert {k for *_, k in _rebuilt("x" * 95, 30, 10)} == {"hard", "end"}
 
 
+def test_the_whole_overlap_is_given_below_the_limit():
+    text = "word " * 200
+    for overlap in (49, 50, 51, 80, 99, 100, 120):
+        pieces = _rebuilt(text, 100, overlap)
+        assert {x[1] - y[0] for x, y in zip(pieces, pieces[1:], strict=False)} == {min(overlap, 99)}
+
+
 def test_split_oversized_handles_nulls_and_clashing_columns(frame):
     rows = [("a", "word " * 30, 40, 5, 1), ("a", None, 40, 5, 1), ("b", "", 40, None, 1), (None, "  a \n b ", 3, 1, 1), ("c", "word " * 30, None, 5, 1), ("d", "word " * 30, 0, 5, 1)]
     df = frame(rows, "k string, text string, lim int, lap int, piece_no int")
@@ -231,6 +238,18 @@ def test_fragments_give_the_same_ids_as_the_whole(codec):
     assert codec.encode(long, 512) == codec.encoding.encode_ordinary(long)
 
 
+@pytest.mark.parametrize("text", ["The participants were followed for 12 weeks. ", "主要终点为视网膜厚度，", "Zażółć gęślą jaźń; ", "a\n\n  b\t c\r\n"])
+def test_texts_of_any_script_are_cut_by_bytes_on_both_sides_of_the_bound(codec, text):
+    unit = len(text.encode())
+    for size in (tokens.FRAGMENT - 2 * unit, tokens.FRAGMENT, 3 * tokens.FRAGMENT, 12_288):
+        whole = text * (size // unit)
+        data = whole.encode()
+        cuts = codec.cuts(data, tokens.FRAGMENT)
+        assert len(cuts) >= len(data) // (tokens.FRAGMENT + 2 * unit) - 1 and (len(data) > tokens.FRAGMENT or not cuts)
+        assert all(b - a >= tokens.FRAGMENT for a, b in zip([0, *cuts], cuts, strict=False))
+        assert codec.encode(whole) == codec.encoding.encode_ordinary(whole)
+
+
 def test_ids_agree_with_the_other_library(codec):
     tokenizers = pytest.importorskip("tokenizers")
     other = tokenizers.Tokenizer.from_file(f"{tokens.DEFAULT_FOLDER}/byte_bpe_50k.json")
@@ -333,9 +352,10 @@ def test_calibration_keeps_what_is_believed_without_evidence(frame):
 
 def test_a_cue_reaches_its_whole_sentence_and_no_further(frame):
     filler = "of a kind seen in many clinics and reported again and again over the years " * 4
-    rows = [(1, f"Unlike {filler} in dengue fever."), (2, f"Dengue fever is {filler} unlike others."), (3, "Unlike before.\n\nDengue fever"), (4, "It is unlike that. Dengue fever here"), (5, "Not apparently dengue fever")]
+    long_tag = f"<p class='{filler}'>"
+    rows = [(6, f"{long_tag}Dengue{long_tag} fever, p < 0.05 and q > 3"), (1, f"Unlike {filler} in dengue fever."), (2, f"Dengue fever is {filler} unlike others."), (3, "Unlike before.\n\nDengue fever"), (4, "It is unlike that. Dengue fever here"), (5, "Not apparently dengue fever")]
     out = subjects.assign_subjects(frame(rows, "k long, text string"), "k", "text").collect()
-    assert {r.k for r in out} == {3, 4, 5}
+    assert {r.k for r in out} == {3, 4, 5, 6}
 
 
 def test_terms_are_graded_and_open_where_they_say(frame):

@@ -68,7 +68,7 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     ``overlap`` characters before the cut.
     """
     flat, ends = boundaries(text)
-    overlap = max(0, min(overlap, limit - 1, limit // 2))
+    overlap = max(0, min(overlap, limit - 1))
     pieces = []
     start = 0
     while len(flat) - start > limit:
@@ -103,8 +103,8 @@ def split_oversized(items: DataFrame, keys: list[str], text: str, limit: str, ov
 
     Items within the limit stay whole, as piece 1 of 1, and never leave the JVM.
     Offsets count in the normalized text; joining the pieces without their
-    overlap gives it back. An overlap of more than half the limit counts as half,
-    a null overlap as 0. A null or empty text is one piece; a null limit or one
+    overlap gives it back. An overlap of the limit or more counts as one less than
+    the limit, so that every piece goes on; a null or negative overlap counts as 0. A null or empty text is one piece; a null limit or one
     below 1 cuts nothing. Keys may be null or repeated: each row is cut by itself.
     Columns not named are dropped.
     """

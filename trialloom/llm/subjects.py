@@ -45,7 +45,7 @@ class Thresholds:
     density: float = 0.1
 
 
-_TAG = re.compile(r"<[^<>]{1,200}>")
+_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
 _WRAPPED = re.compile(r"(?<=[^\W\d_])[-­][ \t]*\r?\n\s*(?=[^\W\d_])")
 _INVISIBLE = re.compile("[​-‏⁠﻿­]")
 _SPACE = re.compile(r"\s+")

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 DEFAULT_FOLDER = "/opt/tokenizers"
 # Fixed value: the pre-tokenizer's pattern published with the byte_bpe vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes a fragment has at least, so that a short text is one call.
-FRAGMENT = 4096
+#: Bytes a fragment has at least: a text is cut at the first certain place behind so many, again and again.
+FRAGMENT = 512
 
 
 class Codec:
@@ -56,21 +56,25 @@ class Codec:
     def _neutral(data: bytes, at: int) -> bool:
         """Whether the pre-tokenizer treats both sides alike with and without the cut.
 
-        Only blanks (an optional leading one, and the look-ahead behind a run)
-        and an apostrophe that opens a contraction depend on the other side.
+        Its pattern looks ahead only, and only behind blanks; no piece with another
+        character runs into a blank. So a cut before a run of blanks is neutral, and
+        so is one between two characters that are no blanks, unless the right one is an
+        apostrophe, which may open a contraction.
         """
         left = data[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:]
+        if not left or left.isspace() or not left.isprintable():
+            return False
+        if data[at] in b" \t\r\n":
+            return True
         right = data[at : at + 4].decode("utf-8", "ignore")[:1]
-        return bool(left and right) and not left.isspace() and not right.isspace() and right != "'" and left.isprintable() and right.isprintable()
+        return bool(right) and not right.isspace() and right != "'" and right.isprintable()
 
     def encode(self, text: str, fragment: int = FRAGMENT) -> list[int]:
-        """The ids of ``text`` without special tokens."""
-        if len(text) <= fragment:
-            return self.encoding.encode_ordinary(text)
+        """The ids of ``text`` without special tokens, fragment by fragment."""
         data = text.encode("utf-8")
         ids: list[int] = []
         last = 0
-        for cut in [*self.cuts(data, fragment), len(data)]:
+        for cut in [*(self.cuts(data, fragment) if len(data) > fragment else ()), len(data)]:
             ids += self.encoding.encode_ordinary(data[last:cut].decode("utf-8"))
             last = cut
         return ids
