@@ -63,6 +63,17 @@ def test_text_functions(spark, column, want):
     assert one(spark, column()) == want
 
 
+# Positions ------------------------------------------------------------------------------------
+
+
+def test_sums_before_match_a_running_sum(frame):
+    random.seed(2)
+    rows = [(k, p, random.randrange(-5, 50)) for k in ("a", "b", None) for p in random.sample(range(200), 120)]
+    got = positions.sums_before(frame(rows, "k string, p long, v long"), ["k"], "p", "v", "s", block=16).collect()
+    assert {(r.k, r.p, r.v): r.s for r in got} == {(k, p, v): sum(w for j, q, w in rows if j == k and q < p) for k, p, v in rows}
+    assert positions.sums_before(frame([], "k string, p long, v long"), ["k"], "p", "v", "s").count() == 0
+
+
 # Units ----------------------------------------------------------------------------------------
 
 UNITS = [

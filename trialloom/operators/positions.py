@@ -82,3 +82,21 @@ def group_positions(df: DataFrame, groups: list[str], order: list[Column], out:
     position = F.col(out) + F.coalesce("__before", F.lit(0))
     placed = local.join(offsets, match, "left").select(*df.columns, position.alias(out))
     return placed.where(F.col(out) <= limit) if limit else placed
+
+
+def sums_before(df: DataFrame, keys: list[str], place: str, value: str, out: str, block: int = 4096) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows of its keys with a smaller ``place``, 0 for the first.
+
+    ``place`` is a whole number from 0, one row for each of a key's places. Two
+    levels of prefix sums, over blocks of places and within each block, so no task
+    has more than ``block`` rows of a key or one row a block. Null keys are keys.
+    """
+    blocked = df.withColumn("__block", F.floor(F.col(place) / block))
+    sums = blocked.groupBy(*keys, "__block").agg(F.sum(value).alias("__sum"))
+    over_blocks = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__block").alias("__of"), F.coalesce(F.sum("__sum").over(over_blocks), F.lit(0)).alias("__ahead"))
+    inside = Window.partitionBy(*keys, "__block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    match = F.col("__block") == F.col("__of")
+    for k in keys:
+        match &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return blocked.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(ahead, match).select(*df.columns, (F.col("__ahead") + F.col("__inside")).alias(out))
