@@ -305,8 +305,37 @@ def test_packing_with_targets_that_leave_a_source_out(frame):
     assert len(out) == 300 and all(r.container_id for r in out)
 
 
+def test_packing_to_targets_holds_them_and_marks_the_surplus(frame):
+    """Three quarters of the sizes are of one source, half of each is asked for: half of the corpus is in the mixture."""
+    random.seed(23)
+    rows = [(i, random.randrange(1, 60), "a" if i % 4 else "b") for i in range(24_000)] + [(-1, 950, "b"), (-2, None, "a"), (-3, 20, None), (-4, 20, "c")]
+    placed = packing.pack(frame(rows, ITEMS), "k", "n", F.col("s"), 100, targets={"a": 1.0, "b": 1.0, "unknown": 3.0}, shard_size=60_000, window=32)
+    kept = placed.collect()
+    whole = {}
+    for r in kept:
+        whole[r.k] = whole.get(r.k, 0) + r.size
+    assert whole == {k: n or 0 for k, n, _ in rows}
+    inside = [r for r in kept if r.in_mixture]
+    share = sum(r.size for r in inside if r.source == "b") / sum(r.size for r in inside)
+    assert abs(share - 0.5) < 0.01 and {r.source for r in inside} == {"a", "b"}
+    assert sum(r.size for r in inside) > 0.97 * 2 * sum(r.size for r in kept if r.source == "b")
+    assert not {r.window_id for r in inside} & {r.window_id for r in kept if r.in_mixture is False}
+    report = {r.in_mixture: r for r in packing.mixture_report(placed, 100).collect()}
+    assert report[True].max_error < 0.05 and report[True].fill > 0.98 and report[False].fill > 0.98
+    by_window = {}
+    for r in inside:
+        window = by_window.setdefault(r.window_id, {"a": 0, "b": 0})
+        window[r.source] += r.size
+    errors = {w: abs(v["b"] / (v["a"] + v["b"]) - share) for w, v in by_window.items()}
+    sizes = {w: sum(v.values()) for w, v in by_window.items()}
+    assert report[True].n_windows == len(errors)
+    assert report[True].mean_error == pytest.approx(sum(errors[w] * sizes[w] for w in errors) / sum(sizes.values()))
+    assert report[True].max_error == pytest.approx(max(errors[w] for w in errors if sizes[w] >= 0.9 * max(sizes.values())))
+
+
 def test_packing_of_an_empty_table(frame):
     assert packing.pack(frame([], ITEMS), "k", "n", F.col("s"), 100).count() == 0
+    assert packing.mixture_report(packing.pack(frame([], ITEMS), "k", "n", F.col("s"), 100, targets={"a": 1.0}), 100).count() == 0
 
 
 # Subjects -------------------------------------------------------------------------------------
@@ -392,7 +421,7 @@ def test_extra_columns_with_clashing_names_change_nothing(frame):
     ):
         plain, clashing = run(df), run(wide)
         assert plain.columns == clashing.columns
-        drop = [c for c in ("container_id",) if c in plain.columns]
+        drop = [c for c in ("container_id", "window_id") if c in plain.columns]
         assert sorted(map(str, plain.drop(*drop).collect())) == sorted(map(str, clashing.drop(*drop).collect()))
 
 

@@ -8,12 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from trialloom.operators.positions import sums_before
 from trialloom.session import materialize
 
 #: Size of all items of a shard together, about: what one task packs.
 SHARD_SIZE = 2_000_000
+#: Buckets of a source for each shard: a shard's part of a source is right to one of them.
+BUCKETS = 64
 #: Containers a window fills before it closes; the mixture is kept window by window.
 WINDOW = 128
 
@@ -89,55 +91,110 @@ def _pack_shard(capacity: int, window: int):
     return run
 
 
+def _cut(sources: DataFrame, targets: dict[str, float] | None) -> tuple[DataFrame, int, int]:
+    """(source, __code, held, __cut): the size of each source and what of it is in the mixture; sizes in and outside.
+
+    The mixture ends with the source that runs out first at its target share.
+    Without targets everything is in it.
+    """
+    wanted = F.lit(None).cast("double")
+    if targets:
+        wanted = F.element_at(F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(max(float(v), 0.0)))]), F.coalesce("source", F.lit("")))
+        wanted = F.when(F.col("source").isNotNull(), wanted)
+    sources = sources.withColumn("__wanted", F.coalesce(wanted, F.lit(0.0)))
+    got = sources.agg(F.sum("held").alias("all"), F.min(F.when((F.col("held") > 0) & (F.col("__wanted") > 0), F.col("held") / F.col("__wanted"))).alias("reach")).first()
+    if targets:
+        sources = sources.withColumn("__cut", F.least(F.col("held").cast("double"), F.col("__wanted") * float(got["reach"] or 0.0)))
+    else:
+        sources = sources.withColumn("__cut", F.col("held").cast("double"))
+    inside = sources.agg(F.sum("__cut")).first()[0] or 0.0
+    return sources.drop("__wanted"), int(inside), int(got["all"] or 0) - int(inside)
+
+
 def pack(items: DataFrame, key: str, size: str, source: Column, capacity: int, targets: dict[str, float] | None = None, shard_size: int = SHARD_SIZE, window: int = WINDOW) -> DataFrame:
-    """Every item's pieces with their container: (key, source, piece_no, n_pieces, size, start_at, container_id).
+    """Every item's pieces with their container: (key, source, piece_no, n_pieces, size, start_at, container_id, window_id, in_mixture).
 
     An item above the capacity is divided into full pieces and one rest; no other
-    item is. ``targets`` are the shares of the sources; without them each source
-    has its share of all sizes, so that all queues end together. Items are dealt
-    to shards by a hash of their key, whatever their source, and each shard
-    starts from the deficits that the shards before it leave (prefix sums of
-    their totals), so the mixture holds along the whole row of shards.
-
-    A full piece is a container of its own. An item of size 0 or null size takes
-    no room: one row with a null container. A null source is a queue of its own.
-    Keys should be unique; rows with equal keys are packed each by itself.
+    item is. A source's pieces are hashed to buckets, and prefix sums over the buckets deal
+    every shard its part of every source; a shard starts from the deficits that
+    the shards before it leave, so the mixture holds along the whole row of shards.
+
+    ``targets`` are the shares of the sources, scaled to 1 over the sources that
+    have items. They hold until the first source runs out; a hash chooses what of
+    the others is used till then. The surplus is packed as well, in containers of its
+    own with ``in_mixture`` false. Without targets each source has its share of
+    all sizes, so all queues end together and nothing is surplus. ``window_id``
+    names ``window`` containers of a shard in a row, what ``mixture_report`` judges.
+
+    An item of size 0 or null size takes no room: one row without container. A null
+    source is a queue of its own, outside of any targets. Keys should be unique;
+    rows with equal keys are packed each by itself.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     n_pieces = F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)).cast("int")
     base = items.select(F.col(key), source.cast("string").alias("source"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
     base = materialize(base.withColumn("__item", F.monotonically_increasing_id()).withColumn("n_pieces", n_pieces))
-
-    per_source = base.groupBy("source").agg(F.sum(F.when(F.col("size") % capacity > 0, F.col("size") % capacity).otherwise(0)).alias("rest"))
-    sources = materialize(per_source.withColumn("__code", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())))
-    total = sources.agg(F.sum("rest")).first()[0] or 0
-    n_shards = max(1, -(-int(total) // shard_size))
-
-    rests = base.where(F.col("size") % capacity > 0).select(
-        "__item", "source", F.col("n_pieces").alias("piece_no"), (F.col("size") % capacity).alias("size"),
-        F.pmod(F.xxhash64("__item", F.col(key)), F.lit(n_shards)).alias("shard"),
-    )
-    if targets:
-        wanted = F.coalesce(F.element_at(F.create_map(*[x for k, v in targets.items() for x in (F.lit(k), F.lit(float(v)))]), F.coalesce("source", F.lit(""))), F.lit(0.0))
-    else:
-        wanted = F.col("rest") / F.lit(float(max(total, 1)))
-    sources = sources.select("source", "__code", wanted.alias("__share"))
-    # What each shard holds of each source, and how far the shards before it fell short of the shares.
-    held = rests.groupBy("shard", "source").agg(F.sum("size").alias("held"))
-    shards = held.groupBy("shard").agg(F.sum("held").alias("shard_total"))
-    grid = held.join(shards, "shard").join(sources, held.source.eqNullSafe(sources.source)).select("shard", "__code", "__share", (F.col("__share") * F.col("shard_total") - F.col("held")).alias("short"))
-    before = Window.partitionBy("__code").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.select("shard", "__code", "__share", F.coalesce(F.sum("short").over(before), F.lit(0.0)).alias("__carried"))
-    coded = rests.withColumn("__code", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
-    queue = coded.join(grid, ["shard", "__code"]).select("__item", "piece_no", "size", "shard", "__code", "__share", "__carried")
-    placed = queue.groupBy("shard").applyInPandas(_pack_shard(capacity, window), "__item bigint, piece_no int, shard bigint, slot bigint")
+    code = F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())
+    sources = materialize(base.groupBy("source").agg(F.sum("size").alias("held")).withColumn("__code", code))
+    sources, inside, outside = _cut(sources, targets)
+    n_inside, n_outside = (max(1, -(-n // shard_size)) for n in (inside, outside))
 
     pieces = base.select("__item", key, "source", "n_pieces", F.col("size").alias("__whole"), F.explode(F.sequence(F.lit(1), "n_pieces")).alias("piece_no"))
     start = (F.col("piece_no") - 1) * F.lit(capacity).cast("long")
-    full = F.col("piece_no") <= F.floor(F.col("__whole") / capacity)
-    own = F.when(full, F.concat(F.lit("f"), F.col("__item").cast("string"), F.lit("-"), F.col("piece_no").cast("string")))
-    shared = F.when(F.col("slot").isNotNull(), F.concat(F.lit("s"), F.col("shard").cast("string"), F.lit("-"), F.col("slot").cast("string")))
+    pieces = pieces.withColumn("start_at", start).withColumn("size", F.least(F.col("__whole") - start, F.lit(capacity).cast("long")))
+    dealt = F.pmod(F.xxhash64("__item", "piece_no"), F.lit((n_inside + n_outside) * BUCKETS))
+    queue = pieces.where("size > 0").select("__item", "piece_no", "size", code.alias("__code"), dealt.alias("__bucket"))
+    # Each source's buckets in a row: the first ones, up to its cut, are in the mixture. Both parts are cut into as many equal
+    # lengths as there are shards, so every shard gets its part of every source.
+    cells = queue.groupBy("__code", "__bucket").agg(F.sum("size").alias("held"))
+    cells = sums_before(cells, ["__code"], "__bucket", "held", "__before").join(sources.select("__code", F.col("held").alias("__all"), "__cut"), "__code")
+    middle = F.col("__before") + F.col("held") / 2
+    outer = middle > F.col("__cut")
+    near = F.least(F.floor(middle * n_inside / F.col("__cut")), F.lit(n_inside - 1))
+    far = n_inside + F.least(F.floor((middle - F.col("__cut")) * n_outside / (F.col("__all") - F.col("__cut"))), F.lit(n_outside - 1))
+    cells = materialize(cells.select("__code", "__bucket", "held", outer.alias("__outer"), F.when(outer, far).otherwise(near).alias("shard")))
+    whole = cells.groupBy("__outer", "__code").agg(F.sum("held").alias("__source"))
+    whole = whole.join(whole.groupBy("__outer").agg(F.sum("__source").alias("__whole")), "__outer").select("__outer", "__code", (F.col("__source") / F.col("__whole")).alias("__share"))
+    # What each shard holds of each source, and how far the shards before it fell short of the shares.
+    held = cells.groupBy("__outer", "__code", "shard").agg(F.sum("held").alias("held"))
+    before = sums_before(held, ["__outer", "__code"], "shard", "held", "__held").join(whole, ["__outer", "__code"])
+    totals = sums_before(held.groupBy("__outer", "shard").agg(F.sum("held").alias("total")), ["__outer"], "shard", "total", "__total").drop("__outer", "total")
+    grid = before.join(totals, "shard").select("shard", "__code", "__share", (F.col("__share") * F.col("__total") - F.col("__held")).alias("__carried"))
+    cells = cells.select("__code", "__bucket", "shard").join(grid, ["shard", "__code"])
+    placed = queue.join(cells, ["__code", "__bucket"]).groupBy("shard").applyInPandas(_pack_shard(capacity, window), "__item bigint, piece_no int, shard bigint, slot bigint")
+
+    name = lambda last: F.concat(F.lit("s"), F.col("shard").cast("string"), F.lit("-"), last.cast("string"))
     return pieces.join(placed, ["__item", "piece_no"], "left").select(
-        key, "source", "piece_no", "n_pieces", F.least(F.col("__whole") - start, F.lit(capacity).cast("long")).alias("size"), start.alias("start_at"), F.coalesce(own, shared).alias("container_id")
-    )
+        key, "source", "piece_no", "n_pieces", "size", "start_at", name(F.col("slot")).alias("container_id"),
+        name(F.floor(F.col("slot") / window)).alias("window_id"), (F.col("shard") < n_inside).alias("in_mixture"),
+    )
+
+
+def mixture_report(placed: DataFrame, capacity: int) -> DataFrame:
+    """(in_mixture, n_windows, n_containers, fill, mean_error, max_error) of the output of ``pack``.
+
+    ``fill`` is the used part of all containers' room. A window's error is half
+    the sum of the differences between its sources' shares and those of all windows
+    (the part of the window that would have to be exchanged); the mean weighs windows by their
+    sizes, the largest is that of windows that are full up to a tenth. No containers
+    give no rows.
+    """
+    used = placed.where(F.col("container_id").isNotNull())
+    source = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+    per = used.groupBy("in_mixture", "window_id", source.alias("s")).agg(F.sum("size").alias("n"))
+    overall = per.groupBy("in_mixture", "s").agg(F.sum("n").alias("n_all"))
+    overall = overall.join(overall.groupBy("in_mixture").agg(F.sum("n_all").alias("total")), "in_mixture")
+    windows = per.groupBy("in_mixture", "window_id").agg(F.sum("n").alias("n_window"))
+    # A source that a window lacks differs by its whole share: 1 minus the shares of those it has.
+    rows = per.join(windows, ["in_mixture", "window_id"]).join(overall, ["in_mixture", "s"])
+    share = F.col("n_all") / F.col("total")
+    error = (F.sum(F.abs(F.col("n") / F.col("n_window") - share)) + 1 - F.sum(share)) / 2
+    errors = rows.groupBy("in_mixture", "window_id", "n_window").agg(error.alias("error"))
+    counts = used.groupBy("in_mixture").agg(F.countDistinct("container_id").alias("n_containers"), F.sum("size").alias("n"))
+    most = errors.groupBy("in_mixture").agg(F.max("n_window").alias("most"))
+    judged = errors.join(most, "in_mixture").groupBy("in_mixture").agg(
+        F.count(F.lit(1)).alias("n_windows"), (F.sum(F.col("error") * F.col("n_window")) / F.sum("n_window")).alias("mean_error"),
+        F.max(F.when(F.col("n_window") >= 0.9 * F.col("most"), F.col("error"))).alias("max_error"),
+    )
+    return counts.join(judged, "in_mixture").select("in_mixture", "n_windows", "n_containers", (F.col("n") / (F.col("n_containers") * capacity)).alias("fill"), "mean_error", "max_error")

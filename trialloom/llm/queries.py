@@ -114,6 +114,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).where((F.col("n_pieces") > 1) & (F.col("piece_no") == 1)).select("doc_id")
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill and mixture error by window of all texts packed by source, in the corpus's own mixture."""
+    return packing.mixture_report(p7_containers(spark, sf_dir), CAPACITY)
+
+
+#: Shares of languages that p7_targets asks for.
+LANGUAGE_TARGETS = {"en": 0.5, "de": 0.15, "es": 0.15, "fr": 0.1, "zh": 0.1}
+
+
+def p7_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill and mixture error of all texts packed to set shares of languages; what is over comes in a second row."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    sized = tokens.count_tokens(documents, ["doc_id", "lang"], "text")
+    return packing.mixture_report(packing.pack(sized, "doc_id", "n_tokens", F.lower(F.trim("lang")), CAPACITY, targets=LANGUAGE_TARGETS), CAPACITY)
+
+
 # 8 ------------------------------------------------------------------------------------------
 
 
@@ -131,7 +147,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_pieces, p3_found, p3_fused, p6_ids, p7_found, p7_containers, p8_found, p8_composition)
+    f.__name__: f for f in (p1_found, p1_ranked, p2_found, p2_pieces, p3_found, p3_fused, p6_ids, p7_found, p7_containers, p7_mixture, p7_targets, p8_found, p8_composition)
 }
 
 _BEST = """
