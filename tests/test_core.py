@@ -126,6 +126,32 @@ def test_quantities(book, row, want):
     assert (found and (pytest.approx(found[1]), found[2].code)) == want
 
 
+@pytest.mark.parametrize("gap", [1, 20, 45, 200, 5000])
+def test_units_and_numbers_are_read_however_far_they_stand(book, gap):
+    filler = ("as noted by the ward " * (gap // 21 + 1))[:gap].rstrip()
+    assert units.measured(book, "glucose", None, None, f"glucose {filler} 131 mg/dL", "")[1:] == (131.0, book.units["glucose"][1])
+    assert units.measured(book, "glucose", "131", "see text", f"glucose was 131 mg{' ' * gap}/{' ' * gap}dL", "")[2].code == "mg_per_dl"
+    assert units.bounded(book, "platelet_count", 20.0, 30.0, None, f"{filler} of the lab all given in thousand per uL")[3].code == "thousand_per_ul"
+
+
+@pytest.mark.parametrize(
+    ("text", "signature"),
+    [
+        ("m^3", ((("volume", 1),), 1000.0)), ("mm^3", ((("volume", 1),), 1e-6)), ("cm3", ((("volume", 1),), 1e-3)), ("dm³", ((("volume", 1),), 1.0)), ("kg/m2", ((("length", -2), ("mass", 1)), 1000.0)),
+        ("mIU/L", ((("activity", 1), ("volume", -1)), 1e-3)), ("mEq/L", ((("charge", 1), ("volume", -1)), 1e-3)), ("kcal", ((("energy", 1),), 4184.0)), ("kelvin", ((("kelvin", 1),), 1.0)),
+        ("mL/min", ((("time", -1), ("volume", 1)), 1.44)), ("seconds", ((("time", 1),), 1 / 86_400)), ("g m^-3", ((("mass", 1), ("volume", -1)), 1e-3)), ("kPa", ((("pressure", 1),), 1000.0)),
+    ],
+)
+def test_decompositions_of_units_outside_the_given_tables(text, signature):
+    best = units.decompositions(units.normal_unit(text))[0][1]
+    assert best[0] == signature[0] and best[1] == pytest.approx(signature[1], rel=1e-4)
+
+
+def test_the_prior_of_a_field_weighs_readings_and_lets_clear_others_win(book):
+    assert book.read("body_height", "m")[0].code == "m" and book.read("symptom_duration", "mo")[0].code == "month"
+    assert book.read("body_height", "mmHg")[0] is None and book.read("glucose", "kilograms")[0] is None
+
+
 def test_units_of_a_table(frame):
     rows = [(1, "glucose", None, 100.0, "-", "range in mg/dl per case note"), (2, "body_height", 1.5, 1.8, None, "lab sheet, all values in m"), (3, "body_height", None, None, "cm", ""), (4, "body_height", float("nan"), 60.0, None, "calculator input (in)"), (None, "unknown", 1.0, 2.0, None, None)]
     df = frame(rows, "k long, c string, a double, b double, u string, concept string")

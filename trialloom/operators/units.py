@@ -27,7 +27,8 @@ PREFIXES = {
     "m": 1e-3, "milli": 1e-3, "u": 1e-6, "μ": 1e-6, "mc": 1e-6, "micro": 1e-6, "n": 1e-9, "nano": 1e-9, "p": 1e-12, "pico": 1e-12,
 }
 # Roots as (spellings, dimensions, size in base units, whether a prefix may stand before it). The base units are
-# gram, metre, litre, mole, day, pascal, degree Celsius and degree Fahrenheit (two scales that no factor joins).
+# gram, metre, litre, mole, day, pascal, joule, international unit, equivalent, osmole, beat and three scales of temperature
+# that no factor joins.
 ROOTS = (
     ("g gm gr gram grams gramme grammes", {"mass": 1}, 1.0, True),
     ("kgs kilo kilos", {"mass": 1}, 1000.0, False),
@@ -38,8 +39,8 @@ ROOTS = (
     ("ft foot feet", {"length": 1}, 0.3048, False),
     ("cms", {"length": 1}, 0.01, False),
     ("l L litre litres liter liters", {"volume": 1}, 1.0, True),
-    ("mm3 mm^3 cmm", {"volume": 1}, 1e-6, False),
-    ("cm3 cm^3 cc", {"volume": 1}, 1e-3, False),
+    ("cmm", {"volume": 1}, 1e-6, False),
+    ("cc ccm", {"volume": 1}, 1e-3, False),
     ("mol mole moles", {"amount": 1}, 1.0, True),
     ("M molar", {"amount": 1, "volume": -1}, 1.0, True),
     ("% percent pct per_cent", {}, 0.01, False),
@@ -48,17 +49,37 @@ ROOTS = (
     ("F fahrenheit °F degF deg_F deg._F degrees_F degree_F degrees_fahrenheit", {"fahrenheit": 1}, 1.0, False),
     ("mmHg mm_Hg mm_of_mercury torr", {"pressure": 1}, 133.322, False),
     ("Pa pascal pascals", {"pressure": 1}, 1.0, True),
+    ("bar", {"pressure": 1}, 1e5, True),
+    ("cmH2O cm_H2O", {"pressure": 1}, 98.0665, False),
+    ("s sec secs second seconds second(s)", {"time": 1}, 1 / 86_400, True),
+    ("min mins minute minutes minute(s)", {"time": 1}, 1 / 1440, False),
     ("h hr hrs hour hours hour(s)", {"time": 1}, 1 / 24, False),
     ("d day days day(s)", {"time": 1}, 1.0, False),
     ("w wk wks week weeks week(s)", {"time": 1}, 7.0, False),
     ("mo mos mth mths month months month(s)", {"time": 1}, 30.4375, False),
     ("y yr yrs year years year(s)", {"time": 1}, 365.25, False),
     ("cell cells", {}, 1.0, False),
+    ("IU U unit units international_units", {"activity": 1}, 1.0, True),
+    ("kat katal", {"activity": 1}, 6e7, True),
+    ("eq equiv equivalent equivalents", {"charge": 1}, 1.0, True),
+    ("osm osmol", {"osmoles": 1}, 1.0, True),
+    ("J joule joules", {"energy": 1}, 1.0, True),
+    ("cal calorie calories", {"energy": 1}, 4.184, True),
+    ("K kelvin kelvins", {"kelvin": 1}, 1.0, False),
+    ("bpm beats", {"beats": 1}, 1.0, False),
+    ("Hz hertz", {"time": -1}, 86_400.0, True),
+    ("W watt watts", {"energy": 1, "time": -1}, 86_400.0, True),
 )
 # Words that are numbers.
 MULTIPLIERS = {"K": 1e3, "thou": 1e3, "thousand": 1e3, "thousands": 1e3, "million": 1e6, "mill": 1e6, "G": 1e9, "giga": 1e9, "billion": 1e9}
 # Exponents by spelling.
-EXPONENTS = {"-1": -1, "^-1": -1, "^1": 1, "^2": 2, "^-2": -2}
+EXPONENTS = {"-1": -1, "^-1": -1, "^1": 1, "2": 2, "^2": 2, "-2": -2, "^-2": -2, "3": 3, "^3": 3, "-3": -3, "^-3": -3}
+# Fixed value: a cubic metre in litres.
+CUBIC = 1000.0
+#: Score a reading gains whose dimensions the field has: a prior that some 100 times outweighs other dimensions (its logarithm).
+FIELD_PRIOR = 4.6
+#: Characters looked at first behind a number; more follow where a reading goes on.
+REACH = 64
 # Remarks that say nothing about the unit.
 REMARKS = ("(dcct)", "(ngsp)", "(ifcc)", "dcct", "ngsp", "ifcc")
 
@@ -128,13 +149,17 @@ def _units_at(text: str, at: int) -> Iterator[tuple[int, dict[str, int], float,
             value = score + 1.0 + 0.2 * (end - start) - (0.0 if exact else 0.3)
             yield end, dimensions, factor * size, value
             for after, power, _ in _EXPONENT.matches(text, end):
-                if after > end:
-                    yield after, {d: n * power for d, n in dimensions.items()}, (factor * size) ** power, value + 0.1
+                if after == end or (text[after - 1].isdigit() and text[after : after + 1].isdigit()):
+                    continue
+                raised, amount = {d: n * power for d, n in dimensions.items()}, (factor * size) ** power
+                if abs(raised.get("length", 0)) == 3 and len(raised) == 1:  # a volume, or its inverse
+                    raised, amount = {"volume": power // 3}, amount * CUBIC ** (power // 3)
+                yield after, raised, amount, value + 0.1
 
 
 @lru_cache(maxsize=50_000)
-def decompositions(text: str, whole: bool = True) -> tuple[tuple[int, Signature, float], ...]:
-    """(end, (dimensions, size, size of the divisor), score) of each reading of a unit string.
+def _decomposed(text: str, whole: bool) -> tuple[tuple[tuple[int, Signature, float], ...], int]:
+    """The readings of ``decompositions`` and the last place that any of them reached.
 
     The table holds for each position and pending operator the best score of each
     signature reached. With ``whole``, only readings of the whole string count;
@@ -195,7 +220,24 @@ def decompositions(text: str, whole: bool = True) -> tuple[tuple[int, Signature,
                 for (dimensions, size, divisor), score in cell.items():
                     key = (at, (dimensions, float(f"{size:.6g}"), float(f"{divisor:.6g}")))
                     out[key] = max(out.get(key, -math.inf), score)
-    return tuple((at, signature, score) for (at, signature), score in sorted(out.items(), key=lambda x: -x[1]))
+    reached = max(at for at, cell in enumerate(table) if cell)
+    return tuple((at, signature, score) for (at, signature), score in sorted(out.items(), key=lambda x: -x[1])), reached
+
+
+def decompositions(text: str, whole: bool = True, start: int = 0) -> tuple[tuple[int, Signature, float], ...]:
+    """(end, (dimensions, size, size of the divisor), score) of each reading of a unit string, or of what begins at ``start``.
+
+    Of a long text a first stretch is read, and a longer one as long as any reading
+    reaches its end: the result is that of the whole text, at the cost of the unit.
+    """
+    if whole:
+        return _decomposed(text, True)[0]
+    size = REACH
+    while True:
+        readings, reached = _decomposed(text[start : start + size], False)
+        if start + size >= len(text) or reached < size:
+            return readings
+        size *= 2
 
 
 @dataclass(frozen=True)
@@ -226,8 +268,11 @@ class UnitBook:
         self.alias = re.compile(joined or r"(?!)", re.I)
         self._read: dict[tuple[str, str, bool], tuple[Unit | None, int]] = {}
 
-    def read(self, concept: str, text: str, whole: bool = True) -> tuple[Unit | None, int]:
-        """The concept's unit that ``text`` names, or begins with, and where it ends."""
+    def read(self, concept: str, text: str, whole: bool = True, start: int = 0) -> tuple[Unit | None, int]:
+        """The concept's unit that ``text`` names, or that begins at ``start``, and its length."""
+        if len(text) - start > 2 * REACH:
+            return self._best(concept, text, whole, start)
+        text = text[start:]
         key = (concept, text, whole)
         if key not in self._read:
             if len(self._read) > 100_000:
@@ -235,16 +280,24 @@ class UnitBook:
             self._read[key] = self._best(concept, text, whole)
         return self._read[key]
 
-    def _best(self, concept: str, text: str, whole: bool) -> tuple[Unit | None, int]:
+    def _best(self, concept: str, text: str, whole: bool, start: int = 0) -> tuple[Unit | None, int]:
+        """The reading with the largest score and prior; one whose dimensions the field hasn't may win, and then names no unit of it."""
         best: tuple[float, Unit | None, int] = (-math.inf, None, 0)
-        for at, (dimensions, size, divisor), score in decompositions(text, whole):
+        field = {known[0] for unit in self.units[concept] if (known := self.signatures.get((concept, unit.code)))}
+        for at, (dimensions, size, divisor), score in decompositions(text, whole, start):
+            named: Unit | None = None
+            value = score + 10.0 * at + (FIELD_PRIOR if dimensions in field else 0.0)
+            tie = -1.0
             for unit in self.units[concept]:
                 known = self.signatures.get((concept, unit.code))
-                # The field's dimensions decide among the readings; the size must agree, the divisor's size breaks ties.
+                # The size must agree; the divisor's size breaks ties between units of one size.
                 if known and known[0] == dimensions and abs(size / known[1] - 1) < 0.01:
-                    value = score + (0.5 if abs(divisor / known[2] - 1) < 0.01 else 0.0) + 10.0 * at
-                    if value > best[0]:
-                        best = (value, unit, at)
+                    near = 0.5 if abs(divisor / known[2] - 1) < 0.01 else 0.0
+                    if near > tie:
+                        named, tie = unit, near
+            value += max(tie, 0.0) if named else -FIELD_PRIOR
+            if value > best[0]:
+                best = (value, named, at)
         return best[1], best[2]
 
     @staticmethod
@@ -290,7 +343,7 @@ class UnitBook:
         """The readings of the number stated for the concept in a sentence, and what follows it."""
         for m in self.alias.finditer(text):
             if self.aliases[m.group().lower()] == concept:
-                behind = re.match(r"[^\d.;,!?\n]{0,24}?(?=[-+]?\d)", text[m.end() :])
+                behind = re.match(r"[^\d.;,!?\n]*?(?=[-+]?\d)", text[m.end() :])
                 if behind:
                     rest = text[m.end() + behind.end() :]
                     if found := self.numbers(rest):
@@ -303,7 +356,7 @@ def _blank(value: object) -> str:
 
 
 def _unit_behind(book: UnitBook, concept: str, rest: str) -> Unit | None:
-    rest = normal_unit(re.split(r"[;,!?\n]|\. ", rest + " ", maxsplit=1)[0][:40])
+    rest = normal_unit(re.split(r"[;,!?\n]|\. ", rest + " ", maxsplit=1)[0])
     return book.read(concept, rest, whole=False)[0] if rest else None
 
 
@@ -343,8 +396,9 @@ def bounded(book: UnitBook, concept: object, lower: object, upper: object, unit:
 def _unit_in_remark(book: UnitBook, concept: str, remark: str) -> Unit | None:
     """The longest unit that begins at a word of a remark; the word "in" before another unit is none."""
     found = []
+    remark = normal_unit(remark)
     for m in re.finditer(r"(?<!\w)[^\s(]", remark):
-        unit, end = book.read(concept, normal_unit(remark[m.start() : m.start() + 40].removesuffix(")")), whole=False)
+        unit, end = book.read(concept, remark, whole=False, start=m.start())
         if unit:
             found.append((m.start(), end, unit))
     if len(found) > 1:
