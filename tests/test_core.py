@@ -48,6 +48,14 @@ def one(spark, column):
         (lambda: T.lenient_json(F.lit('x ```json\n{"a": 1}\n``` y')), '{"a": 1}'),
         (lambda: T.lenient_json(F.lit("none")), None),
         (lambda: T.choice(F.lit("b"), F.array(F.lit("A"), F.lit("B"))), "B"),
+        (lambda: T.choice(F.lit("Computed score is 6. Therefore the best matching option is E.\nAnswer: E"), F.split(F.lit("ABCDE"), "")), "E"),
+        (lambda: T.choice(F.lit("The estimated stroke rate is 8.5 per 100 patient-years."), F.split(F.lit("ABCDE"), "")), None),
+        (lambda: T.choice(F.lit("Selected option: b; not option C"), F.split(F.lit("ABC"), "")), "B"),
+        (lambda: T.choice(F.lit("Answer: Z, or choice C"), F.split(F.lit("ABC"), "")), "C"),
+        (lambda: T.sanitize_question(F.lit("A man of 65.\nWhat is the rate?\n\nChoices:\nA. 1.9\n\nPlease compute the answer using the appropriate calculator.")), "A man of 65. What is the rate?"),
+        (lambda: T.sanitize_question(F.lit("Please compute the answer using the appropriate calculator now.\nRate?\nEnd your final answer with the format: Answer: <LETTER>.")), "Rate?"),
+        (lambda: T.sanitize_question(F.lit("A. one\nB. two")), "A. one B. two"),
+        (lambda: T.sanitize_question(F.lit(None).cast("string")), ""),
         (lambda: T.choice(F.lit("The answer is forty"), F.array(F.lit("A"), F.lit("F"))), None),
         (lambda: T.split_criteria(F.lit("- a one\n  more\n- b two\n\nc")), ["a one more", "b two", "c"]),
         (lambda: T.split_criteria(F.lit("age over 18; no other drug; can walk far")), ["age over 18", "no other drug", "can walk far"]),
@@ -290,6 +298,15 @@ def test_scope_falls_back(frame):
     assert {(r.k, r.fell_back) for r in relational.scoped(df, "k", scopes, "s", ["b"]).collect()} == {(1, True), (2, True)}
 
 
+def test_of_repeated_incoming_rows_the_last_in_order_counts(frame):
+    rows = [(1, "b", 2), (1, "a", 2), (1, "z", 1), (2, "x", None), (3, "y", 0)]
+    stored = frame([(3, "old", 9)], "k int, v string, o int")
+    for parts in (1, 3, 5):
+        new = frame(rows, "k int, v string, o int", parts)
+        assert sorted(map(tuple, relational.upsert(new, stored, "k", [F.col("o")]).collect())) == [(1, "b", 2), (2, "x", None), (3, "y", 0)]
+        assert sorted(map(tuple, relational.missing_rows(new, stored, "k", [F.col("o")]).collect())) == [(1, "b", 2), (2, "x", None)]
+
+
 def test_upsert_twice_is_once(frame):
     stored, new = frame([(1, "old"), (2, "old")], "k long, v string"), frame([(2, "new"), (3, "new")], "k long, v string")
     once = relational.upsert(new, stored, "k")
@@ -319,15 +336,58 @@ def test_term_polarity(frame):
 
 def test_score_rules(frame):
     compiled = rules.parse_rules("Each item is assigned 1 point if present:\n1. Age 65 years or older\n2. Male sex\n3. SBP < 90 mmHg (2 points)\n")
-    assert [(r.parameter, r.operator, r.value, r.points) for r in compiled] == [("age", ">=", 65.0, 1.0), ("male_sex", None, None, 1.0), ("sbp", "<", 90.0, 2.0)]
+    assert [(r.parameter, r.operator, r.value, r.points) for r in compiled] == [("age", ">=", 65.0, 1.0), ("sex", None, None, 1.0), ("sbp", "<", 90.0, 2.0)]
     assert rules.parse_rules("- Age over 5") is None and rules.parse_rules("") is None
     df = frame([("70", "yes", 85), (None, "no", None)], "age string, sex string, sbp int")
-    got = df.select(rules.score(compiled, {"age": F.col("age"), "male_sex": F.col("sex"), "sbp": F.col("sbp")}).alias("s")).collect()
+    got = df.select(rules.score(compiled, {"age": F.col("age"), "sex": F.col("sex"), "sbp": F.col("sbp")}).alias("s")).collect()
     assert sorted(r.s for r in got) == [0.0, 4.0]
 
 
+def test_rules_of_a_score_of_twelve_factors(spark):
+    """The published form of a deterioration score: every form of criterion, shared points."""
+    prose = """Each factor is assigned 1 point if present:
+1. Age ≥40 years
+2. Male sex
+3. Non-white ethnicity
+4. Oxygen saturations <93%
+5. Radiological severity score >3
+6. Neutrophil count > 8.0 x 10^9/L
+7. CRP at least 40 mg/L
+8. Albumin less than or equal to 34 g/L
+9. Creatinine 100 or more
+10. Diabetes mellitus
+11. Hypertension
+12. Chronic lung disease"""
+    compiled = rules.parse_rules(prose)
+    assert [r.parameter for r in compiled] == ["age", "sex", "non_white_ethnicity", "oxygen_saturation", "radiological_severity_score", "neutrophil_count", "crp", "albumin", "creatinine", "diabetes", "hypertension", "chronic_lung_disease"]
+    given = {"age": 45, "sex": "male", "non_white_ethnicity": True, "oxygen_saturation": 92, "radiological_severity_score": 4, "neutrophil_count": 7.5, "crp": 45, "albumin": 33, "creatinine": 105, "diabetes": True, "hypertension": False, "chronic_lung_disease": True}
+    assert one(spark, rules.score(compiled, {k: F.lit(v) for k, v in given.items()})) == 10.0
+    assert one(spark, rules.score(compiled, {})) == 0.0
+
+
+@pytest.mark.parametrize(
+    ("value", "want"), [(0.0, False), (0, False), (2.5, True), ("0.0", True), ("0", False), ("absent", False), (" ", False), (True, True), (False, False), (None, False), ("severe", True)]
+)
+def test_truth_of_values(spark, value, want):
+    assert one(spark, rules.truth(F.lit(value).cast("double") if isinstance(value, float) else F.lit(value))) is want
+
+
+def test_rules_of_sex_and_ethnicity(spark):
+    assert [one(spark, rules.male_like(F.lit(x))) for x in ("Male", "boy", "F", "woman", "yes", "", None)] == [True, True, False, False, True, False, False]
+    assert [one(spark, rules.non_white_like(F.lit(x))) for x in ("White", "caucasian ", "unknown", "Asian", "", None)] == [False, False, False, True, False, False]
+
+
+def test_parameters_of_prose():
+    told = "Inputs are serum sodium, the patient's age and/or CRP (mg/L, fasting).\n- Female: 2 points\nScore = 0.3 x albumin + 2.1 * ln(creatinine, base)"
+    assert structured.prose_parameters(told) == ["serum_sodium", "age", "crp", "sex", "albumin", "creatinine"]
+    assert structured.all_parameters("def f(x1, x2): pass", "- age\n- sodium level") == ["age", "sodium_level", "x1", "x2"]
+    assert structured.all_parameters("def f(age, ph): pass", "- sodium level") == ["age", "ph", "sodium_level"]
+    assert structured.prose_parameters(None) == [] and structured.canonical_parameter("C-reactive protein > 3") == "crp"
+
+
 def test_structured_inputs(spark):
-    assert list(structured.flatten_value({"a": {"b": [1, {"c": "x"}]}, "d": None})) == ["a.b[0]: 1", "a.b[1].c: x"]
+    assert list(structured.flatten_value({"a": {"b": [1, {"c": " x\n y"}]}, "d": None})) == ["a.b[1]: 1", "a.b[2].c: x y"]
+    assert list(structured.flatten_value(["u", {"v": [None, "w"]}])) == ["item[1]: u", "item[2].v[2]: w"]
     assert structured.signature("def f(a, *, b=1): pass") == ["a", "b"] and structured.signature("not python(") == []
 
 
@@ -422,6 +482,21 @@ def test_stage_is_built_once(spark, tmp_path):
     assert len(calls) == 1
 
 
+def test_events_of_windows_that_ended_are_dropped(spark, tmp_path):
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    at = lambda h, day=1: dt.datetime(2024, 1, day, h)
+
+    def run(rows):
+        spark.createDataFrame(rows, "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(source)
+        events = streams.read_stream(spark, source)
+        return {(r.window_start, r.kind): r.n for r in streams.counted_windows(events, sink, state, "ts", ["kind"], late="2 hours").collect()}
+
+    assert run([(at(5), "a"), (at(5), "a"), (at(6), None)]) == {(at(5), "a"): 2, (at(6), None): 1}
+    assert run([(at(5), "a"), (at(9), "b")]) == {(at(5), "a"): 3, (at(6), None): 1, (at(9), "b"): 1}  # late, but its window is still open
+    run([(at(12), "c")])
+    assert run([(at(5), "a"), (at(11), "c")]) == {(at(5), "a"): 3, (at(6), None): 1, (at(9), "b"): 1, (at(11), "c"): 1, (at(12), "c"): 1}  # the first is too late
+
+
 def test_stream_upsert_keeps_the_last_row(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (2, 1, "x")], "k long, o long, v string").write.parquet(str(source))

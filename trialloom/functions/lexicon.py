@@ -13,6 +13,8 @@ from trialloom.functions.text import normalize_whitespace
 NEGATION_CUES = ("no", "not", "without", "denies", "deny", "negative for", "absence of", "free of", "does not have", "doesn't have", "is not", "was not", "not currently", "not prescribed")
 SCOPE_BREAKS = ("but", "however", "although", "though", "whereas", "while", "continued", "continues", "presented", "presents")
 SCOPE = 80
+# What makes a clause a question, which negates nothing.
+QUESTIONS = ("what is", "estimated", "estimate", "patient-years", "based on these factors", "stroke rate")
 
 
 def keyword_pattern(keyword: str) -> str:
@@ -35,7 +37,8 @@ def _polarity(clause: Column, term: str) -> Column:
     cue = r"\b(?:" + "|".join(re.escape(c) for c in NEGATION_CUES) + r")\b"
     reach = rf"(?:(?!\b(?:{'|'.join(SCOPE_BREAKS)})\b)[^,;:()\[\]]){{0,{SCOPE}}}?"
     term = rf"(?:{term})"
-    negated = clause.rlike(rf"(?i){cue}{reach}{term}") | clause.rlike(rf"(?i){term}{reach}{cue}")
+    asked = clause.rlike(rf"(?i)\b(?:{'|'.join(QUESTIONS)})\b")
+    negated = ~asked & (clause.rlike(rf"(?i){cue}{reach}{term}") | clause.rlike(rf"(?i){term}{reach}{cue}"))
     return F.when(clause.rlike(rf"(?i){term}"), F.when(negated, "negative").otherwise("positive"))
 
 
@@ -44,7 +47,7 @@ def term_flags(df: DataFrame, key: str, text: str, terms: dict[str, str]) -> Dat
 
     ``terms`` maps a name to a pattern. Clauses end at . ; , and line ends; a
     clause is negative if a cue stands within 80 characters of the term with no
-    break between. Null and blank texts have no rows.
+    break between, unless it is worded like a question. Null and blank texts have no rows.
     """
     clauses = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"[.;\n,]+"), normalize_whitespace), lambda c: c != "")
     # Only clauses that hold a term are looked at further.

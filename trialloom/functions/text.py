@@ -175,15 +175,7 @@ def code_blocks(text: Column, language: str = "python") -> Column:
     return F.array_join(F.filter(F.transform(found, lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != ""), "\n\n")
 
 
-def excerpt(text: Column, max_chars: int = 280) -> Column:
-    """The text without blanks at its ends, cut with '...' beyond ``max_chars``."""
-    bare = F.regexp_replace(_filled(text), r"^\s+|\s+$", "")
-    cut = F.concat(F.regexp_replace(F.substring(bare, 1, max_chars - 3), r"\s+$", ""), F.lit("..."))
-    return F.when(F.length(bare) <= max_chars, bare).otherwise(cut)
-
-
-# Words that mean yes and no.
-YES = ("yes", "y", "true", "1", "present", "positive", "pos", "male", "m")
+# Words that mean no; any other word means yes.
 NO = ("no", "n", "false", "0", "absent", "negative", "neg", "female", "f")
 
 
@@ -249,28 +241,36 @@ def alignment(query: Column, candidate: Column, low_signal: tuple[str, ...] = ()
     return let(align_tokens(query), signature)
 
 
-# Patterns of a chosen answer letter, in order of trust.
-CHOICES = (
-    r"(?i)final answer\s*[:：]?\s*\(?([A-Z])\)?(?![A-Za-z])",
-    r"(?i)answer\s*(?:is|[:：])\s*\(?([A-Z])\)?(?![A-Za-z])",
-    r"(?i)choice\s*[:：]?\s*\(?([A-Z])\)?(?![A-Za-z])",
-    r"(?m)^\s*\(?([A-Z])\)?[.)]?\s*$",
-)
+# Words that a chosen letter stands behind, and the signs between, in order of trust.
+CHOICES = (("Answer", r"\s*:\s*"), ("Final choice", r"\s*:\s*"), ("Selected option", r"\s*:\s*"), ("option|choice", r"\s*"), ("option|choice", r"\s*[:=-]?\s*"))
 
 
 def choice(text: Column, available: Column) -> Column:
-    """The letter a reply settles on, if it is among the ``available`` ones; else null. No match by value."""
+    """The letter a reply settles on, if it is among the ``available`` ones; else null. No match by value.
+
+    A reply of one letter is that letter. Else each form is looked for in turn; the
+    first place it stands at counts, and if its letter isn't available the next form does.
+    """
     bare = F.upper(F.regexp_replace(_filled(text), r"^\s+|\s+$", ""))
     letters = F.transform(available, F.upper)
     allowed = lambda c: F.when(F.array_contains(letters, c), c)
-    return F.coalesce(F.when(F.length(bare) == 1, allowed(bare)), *[allowed(F.upper(F.regexp_extract(_filled(text), p, 1))) for p in CHOICES])
+    forms = [rf"(?i)\b(?:{words.replace(' ', chr(92) + 's+')}){signs}([A-Z])\b" for words, signs in CHOICES]
+    return F.coalesce(F.when(F.length(bare) == 1, allowed(bare)), *[allowed(F.upper(F.regexp_extract(_filled(text), p, 1))) for p in forms])
+
+
+# How lines begin that tell how to answer.
+INSTRUCTIONS = ("please compute the answer using the appropriate calculator", "end your final answer with the format", r"answer\s*:\s*<letter>")
 
 
 def sanitize_question(text: Column) -> Column:
-    """A question without its choices: cut at 'Choices:', option lines dropped, blanks collapsed."""
-    head = F.regexp_replace(_filled(text), r"(?is)\n\s*(choices|options)\s*[:：].*$", "")
-    lines = F.filter(F.split(head, r"[\r\n]+"), lambda line: (F.trim(line) != "") & ~line.rlike(r"^\s*\(?[A-Ha-h][.):、]\s"))
-    kept = normalize_whitespace(F.array_join(lines, " "))
+    """A question without its choices: cut at a line 'Choices:', option lines ('A. ...') and instructions dropped, blanks collapsed.
+
+    If nothing is left, the lines before 'Choices:' as they are.
+    """
+    flat = F.regexp_replace(_filled(text), "\r\n|\r", "\n")
+    head = F.regexp_replace(flat, r"(?is)(^|\n)[ \t]*choices[ \t]*:[ \t]*(\n.*)?$", "")
+    drop = rf"^\s*[A-Z]\.\s+\S|(?i)^\s*(?:{'|'.join(INSTRUCTIONS)})"
+    kept = normalize_whitespace(F.array_join(F.filter(F.split(head, "\n"), lambda line: ~line.rlike(drop)), " "))
     return F.when(kept == "", normalize_whitespace(head)).otherwise(kept)
 
 

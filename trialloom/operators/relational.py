@@ -14,11 +14,15 @@ def latest_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     """One row per key, the last in ``order`` (nulls first), with the number of others as ``n_duplicates``.
 
     Reduced by partial aggregation, so a key of any weight is no task of its own.
-    Null keys form one group; rows equal in ``order`` go by their other columns.
+    Null keys form one group; rows equal in ``order`` go by their other columns, unless one
+    of these is a map.
     """
-    rank = F.struct(*[F.struct(c.isNotNull().alias("given"), c.alias("value")).alias(f"o{i}") for i, c in enumerate(order)])
     row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
-    best = df.groupBy(*keys).agg(F.max_by(row, rank).alias("__row"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
+    rank = F.struct(F.lit(0).alias("o"), *[F.struct(c.isNotNull().alias("given"), c.alias("value")).alias(f"o{i}") for i, c in enumerate(order)])
+    unordered = any("map<" in (t := df.schema[c].dataType.simpleString()) or "variant" in t for c in df.columns if c not in keys)
+    # The row stands behind its rank in one value, so ties are decided and nothing is shuffled twice; maps have no order.
+    last = F.max_by(row, rank) if unordered else F.max(F.struct(rank.alias("rank"), row.alias("row")))["row"]
+    best = df.groupBy(*keys).agg(last.alias("__row"), (F.count(F.lit(1)) - 1).alias("n_duplicates"))
     return best.select(*[F.col(c) if c in keys else F.col("__row")[c].alias(c) for c in df.columns], "n_duplicates")
 
 
@@ -126,15 +130,23 @@ def position_slice(df: DataFrame, position: str, start: int = 0, stop: int | Non
     return rows if stop is None else rows.where(F.col(position) < stop)
 
 
-def missing_rows(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Incoming rows whose key isn't stored yet, one per key: what a resumed upsert has to write."""
-    return incoming.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def _one_per_key(df: DataFrame, key: str, order: list[Column] | None) -> DataFrame:
+    """The last row per key in ``order``, equal ones by their other columns, so that a repeated run keeps the same row."""
+    return latest_wins(df, [key], order or []).drop("n_duplicates")
 
 
-def upsert(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """The stored rows with incoming ones in place of those with the same key; applying it twice is applying it once."""
+def missing_rows(incoming: DataFrame, stored: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """Incoming rows whose key isn't stored yet, the last one per key in ``order``: what a resumed upsert has to write."""
+    return _one_per_key(incoming, key, order).join(stored.select(key), key, "left_anti")
+
+
+def upsert(incoming: DataFrame, stored: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """The stored rows with incoming ones in place of those with the same key; applying it twice is applying it once.
+
+    Of incoming rows with one key the last in ``order`` counts.
+    """
     kept = stored.join(incoming.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(incoming.dropDuplicates([key]))
+    return kept.unionByName(_one_per_key(incoming, key, order).select(*stored.columns))
 
 
 def recall_at(ranked: DataFrame, relevant: DataFrame, group: str, item: str, ks: list[int], rank: str = "rank") -> DataFrame:

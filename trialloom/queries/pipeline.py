@@ -243,7 +243,7 @@ def concepts(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE WHEN age > 0 AND age < 130 THEN age END AS age, CASE WHEN regexp_matches(lower(text), '\\b(female|woman|girl)\\b|女') THEN 'female' WHEN regexp_matches(lower(text), '\\b(male|man|boy)\\b|男') THEN 'male' END AS sex
-FROM (SELECT doc_id, text, TRY_CAST(nullif(regexp_extract(text, '(?i)\\b(\\d{1,3})\\s*[- ]?\\s*years?[- ]old\\b|(\\d{1,3})\\s*岁', 1), '') AS INT) AS age FROM documents)""")
+FROM (SELECT doc_id, text, TRY_CAST(coalesce(nullif(regexp_extract(text, '(?i)\\b(\\d{1,3})\\s*[- ]?\\s*years?[- ]old\\b|(\\d{1,3})\\s*岁', 1), ''), nullif(regexp_extract(text, '(?i)\\b(\\d{1,3})\\s*[- ]?\\s*years?[- ]old\\b|(\\d{1,3})\\s*岁', 2), '')) AS INT) AS age FROM documents)""")
 def age_sex(spark, sf_dir):
     age, sex = lexicon.age_sex(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", age.alias("age"), sex.alias("sex"))
@@ -252,16 +252,30 @@ def age_sex(spark, sf_dir):
 # Structured cases and score rules -------------------------------------------------------------
 
 
-@query("SELECT event_id, 'k: ' || CAST(json_extract(props, '$.k') AS VARCHAR) || '|list[0]: 1|list[1].deep: x' AS leaves FROM events")
+@query(
+    """SELECT event_id, concat_ws('|', 'k: ' || json_extract_string(props, '$.k'), 'list[1]: ' || event_type, 'list[2].deep: ' || user_id, CASE WHEN user_id % 3 = 0 THEN 'list[2].odd[1]: a b' END, 'value: ' || CAST(event_id % 7 AS VARCHAR)) AS leaves,
+concat_ws('|', 'item[1]: ' || event_type, 'item[2].id: ' || event_id) AS top FROM events"""
+)
 def flatten_inputs(spark, sf_dir):
-    nested = F.concat(F.regexp_replace("props", r"\}$", ""), F.lit(', "list": [1, {"deep": "x", "none": null}], "blank": " "}'))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(structured.flatten_json(nested), "|").alias("leaves"))
+    deep = F.concat(F.lit('{"deep": '), F.col("user_id").cast("string"), F.lit(', "odd": ['), F.when(F.col("user_id") % 3 == 0, F.lit('" a \\n  b "')).otherwise("null"), F.lit("]}"))
+    nested = F.concat(
+        F.regexp_replace("props", r"\}$", ""), F.lit(', "list": ["'), F.col("event_type"), F.lit('", '), deep, F.lit(', null], "blank": " ", "value": '), (F.col("event_id") % 7).cast("string"), F.lit("}")
+    )
+    top = F.concat(F.lit('["'), F.col("event_type"), F.lit('", {"id": '), F.col("event_id").cast("string"), F.lit(', "none": null}, ""]'))
+    joined = lambda c: F.array_join(structured.flatten_json(c), "|")
+    return table(spark, sf_dir, "events").select("event_id", joined(nested).alias("leaves"), joined(top).alias("top"))
 
 
-@query("SELECT p_partkey, 'size,brand,age' AS names, '' AS nothing FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'size_' || p_size || ',brand,age' ELSE 'brand' END AS names, concat_ws(',', 'x' || p_partkey || 'y', 'age', 'crp', CASE WHEN p_size % 2 = 0 THEN 'serum_sodium' END) AS told, '' AS nothing FROM part")
 def param_names(spark, sf_dir):
-    code = F.concat(F.lit("import math\ndef score_"), F.col("p_partkey").cast("string"), F.lit("(size, brand, *, age=4):\n    return size\ndef other(x):\n    return x\n"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(structured.parameter_names(code), ",").alias("names"), F.array_join(structured.parameter_names(F.col("p_name")), ",").alias("nothing"))
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    code = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("import math\ndef score_"), key, F.lit("(size_"), size, F.lit(", brand, *, age=4):\n    return 1\ndef other(x):\n    return x\n"))).otherwise("def f(brand):\n  return 1")
+    prose = F.concat(
+        F.lit("Parameters include x"), key, F.lit("y, the patient's age and C-reactive protein (mg/L).\n"), F.when(F.col("p_size") % 2 == 0, "- Serum sodium: 2 points\n- score: 1 point\n").otherwise("- \n"), F.lit("Risk = 2 x age + 3 * log(CRP)"),
+    )
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", F.array_join(structured.parameter_names(code), ",").alias("names"), F.array_join(structured.parameter_names(F.lit(""), prose), ",").alias("told"), F.array_join(structured.parameter_names(F.col("p_name")), ",").alias("nothing")
+    )
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, 1 AS n_kept FROM events")
@@ -282,20 +296,48 @@ PROSE = """The score adds points.
 - Retail price > 1500 (3 points)
 - Brand is present: 1 points
 * size less than 10: -1 points
+2. Weight 20 cm or more (4 points)
+"""
+PROSE_SHARED = """Each of these is assigned 2 points if it holds.
+1. Age ≥ 40 years
+2. Male sex
+3. Non-white ethnicity
+4. Total discount
+5. Quantity over 30 (5 points).
 """
 
 
-@query("SELECT p_partkey, CASE WHEN p_size >= 30 THEN 2.0 ELSE 0.0 END + CASE WHEN p_retailprice > 1500 THEN 3.0 ELSE 0.0 END + CASE WHEN p_brand <> '' THEN 1.0 ELSE 0.0 END - CASE WHEN p_size < 10 THEN 1.0 ELSE 0.0 END AS score FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size >= 30 THEN 2.0 ELSE 0.0 END + CASE WHEN p_retailprice > 1500 THEN 3.0 ELSE 0.0 END + CASE WHEN p_brand <> '' THEN 1.0 ELSE 0.0 END - CASE WHEN p_size < 10 THEN 1.0 ELSE 0.0 END + CASE WHEN p_partkey % 40 >= 20 THEN 4.0 ELSE 0.0 END AS score FROM part")
 def prose_score(spark, sf_dir):
     compiled = rules.parse_rules(PROSE)
-    values = {"size": F.col("p_size"), "retail_price": F.col("p_retailprice"), "brand_is_present": F.col("p_brand")}
+    values = {"size": F.col("p_size"), "retail_price": F.col("p_retailprice"), "brand_is_present": F.col("p_brand"), "weight": F.concat(F.lit("about "), (F.col("p_partkey") % 40).cast("string"), F.lit(" cm"))}
     return table(spark, sf_dir, "part").select("p_partkey", rules.score(compiled, values).alias("score"))
 
 
-@query("SELECT span_id, CASE WHEN trim(coalesce(value, '')) = '' THEN '36.8' ELSE value END AS value, CASE WHEN trim(coalesce(value, '')) = '' THEN 'value' ELSE '' END AS used FROM evidence_spans")
+@query(
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber * 10 >= 40 THEN 2.0 ELSE 0.0 END + CASE WHEN l_returnflag = 'A' THEN 2.0 ELSE 0.0 END
++ CASE WHEN l_linestatus = 'O' THEN 2.0 ELSE 0.0 END + CASE WHEN l_discount <> 0 THEN 2.0 ELSE 0.0 END + CASE WHEN l_quantity > 30 THEN 5.0 ELSE 0.0 END AS score FROM lineitem"""
+)
+def prose_score_shared(spark, sf_dir):
+    compiled = rules.parse_rules(PROSE_SHARED)
+    values = {
+        "age": F.col("l_linenumber") * 10, "sex": F.when(F.col("l_returnflag") == "A", "Man").when(F.col("l_returnflag") == "N", "girl"),
+        "non_white_ethnicity": F.when(F.col("l_linestatus") == "O", "Black").otherwise("Declined"), "total_discount": F.col("l_discount"), "quantity": F.col("l_quantity"),
+    }
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rules.score(compiled, values).alias("score"))
+
+
+@query(
+    """SELECT span_id, coalesce(nullif(trim(value), ''), '36.8') AS value, coalesce(nullif(trim(unit), ''), 'C') AS unit,
+array_to_string(list_filter([CASE WHEN trim(coalesce(unit, '')) = '' THEN 'unit' END, CASE WHEN trim(coalesce(value, '')) = '' THEN 'value' END], lambda x: x IS NOT NULL), ',') AS used,
+CASE WHEN trim(coalesce(normalized_concept, '')) = '' THEN 'missing_inputs' ELSE 'completed' END AS status FROM evidence_spans"""
+)
 def calc_defaults(spark, sf_dir):
-    filled, used = rules.with_defaults({"value": F.col("value")}, {"value": 36.8})
-    return table(spark, sf_dir, "evidence_spans").select("span_id", filled["value"].alias("value"), F.array_join(used, ",").alias("used"))
+    given = {"value": F.trim("value"), "unit": F.trim("unit"), "concept": F.col("normalized_concept")}
+    filled, used = rules.with_defaults(given, {"value": 36.8}, {"value": 1.0, "unit": "C"})
+    return table(spark, sf_dir, "evidence_spans").select(
+        "span_id", filled["value"].alias("value"), filled["unit"].alias("unit"), F.array_join(used, ",").alias("used"), rules.run_status(filled, ["value", "unit", "concept"]).alias("status")
+    )
 
 
 # Streams --------------------------------------------------------------------------------------
@@ -307,10 +349,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(spark, sf_dir):
-    counted = streams.windowed_counts(_events(spark, sf_dir), "ts", ["event_type"])
-    query_ = counted.writeStream.format("memory").outputMode("complete").queryName("counts_" + uuid.uuid4().hex).option("checkpointLocation", _folder(spark, "stream")).trigger(availableNow=True).start()
-    query_.awaitTermination()
-    return spark.table(query_.name).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    counted = streams.counted_windows(_events(spark, sf_dir), _folder(spark, "counts"), _folder(spark, "stream"), "ts", ["event_type"])
+    return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")

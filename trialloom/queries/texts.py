@@ -151,18 +151,25 @@ def negated_clauses(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, chr(65 + p_size % 4) AS said, CASE WHEN p_size % 4 < 2 THEN chr(65 + p_size % 4) END AS among_two, CAST(NULL AS VARCHAR) AS nothing FROM part"""
+    """SELECT p_partkey, CASE WHEN p_size % 6 = 5 THEN NULL WHEN p_size % 6 = 4 THEN 'B' ELSE chr(65 + p_size % 4) END AS said, CASE WHEN p_size % 6 = 4 THEN 'B' WHEN p_size % 6 < 5 AND p_size % 4 < 2 THEN chr(65 + p_size % 4) END AS among_two,
+CASE WHEN regexp_matches(p_name, '^[A-D]$') THEN p_name END AS nothing FROM part"""
 )
 def choice_extract(spark, sf_dir):
     letter = F.chr(F.lit(65) + F.col("p_size") % 4)
-    reply = F.concat(F.lit("The points add up. Final answer: ("), letter, F.lit(").\n"))
+    said = ("The points add up. Answer: @\n", "final choice : @", "Selected option: @.", "So option @ fits", "answer: Z, that is choice B", "The answer is (@), not 8.5")
+    reply = F.replace(F.get(F.array(*[F.lit(x) for x in said]), F.col("p_size") % 6), F.lit("@"), letter)
     letters = lambda s: F.split(F.lit(s), "")
     return table(spark, sf_dir, "part").select("p_partkey", T.choice(reply, letters("ABCD")).alias("said"), T.choice(reply, letters("AB")).alias("among_two"), T.choice(F.col("p_name"), letters("ABCD")).alias("nothing"))
 
 
-@query("SELECT p_partkey, 'What is ' || p_name || '?' AS question FROM part")
+@query(
+    """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'What is ' || p_name || '? B) of ' || p_size WHEN 1 THEN 'Is it ' || p_brand || '?' ELSE 'A. ' || p_name || ' B. x' END AS question FROM part"""
+)
 def sanitize_question(spark, sf_dir):
-    asked = F.concat(F.lit("What is\n "), F.col("p_name"), F.lit("?\nA. one\nB) two\nChoices: A or B\nAnswer with one letter."))
+    size = F.col("p_size").cast("string")
+    asked = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("What is\n "), F.col("p_name"), F.lit("?\nA. one\nB) of "), size, F.lit("\n choices :\nA. two\nwhatever")))
+    asked = asked.when(F.col("p_size") % 3 == 1, F.concat(F.lit("Please compute the answer using the appropriate calculator.\r\nIs it  "), F.col("p_brand"), F.lit("?\r\nEnd your final answer with the format: Answer: <LETTER>.\n  Answer : <letter>")))
+    asked = asked.otherwise(F.concat(F.lit("A. "), F.col("p_name"), F.lit("\nB. x")))
     return table(spark, sf_dir, "part").select("p_partkey", T.sanitize_question(asked).alias("question"))
 
 

@@ -16,7 +16,12 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) ->
 
 
 def windowed_counts(events: DataFrame, time: str, keys: list[str], window: str = "1 hour", late: str = "1 day") -> DataFrame:
-    """Number of events per window and key; events later than ``late`` behind the newest are dropped."""
+    """Number of events per window and key, for an append or update sink.
+
+    The state of a window ends once the newest event of the batches before is
+    ``late`` behind its end; events of a window that ended are dropped. In complete mode the
+    watermark would act on nothing and the state would never end.
+    """
     grouped = events.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count(F.lit(1)).alias("n"))
     return grouped.select(F.col("window.start").alias("window_start"), *keys, "n")
 
@@ -28,6 +33,22 @@ def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"
     return stream.sparkSession.read.parquet(sink)
 
 
+def counted_windows(events: DataFrame, sink: str, checkpoint: str, time: str, keys: list[str], window: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """(window_start, keys, n) of all windows so far: each batch appends the counts it changed, the last one of a window holds.
+
+    Every batch's changed counts go to files, under the batch's number, so a batch
+    that runs twice changes nothing. Nothing is gathered on the driver.
+    """
+    counts = windowed_counts(events, time, keys, window, late)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stored = events.sparkSession.read.parquet(sink)
+    return latest_wins(stored, ["window_start", *keys], [F.col("batch")]).drop("batch", "n_duplicates")
+
+
 def upsert_stream(stream: DataFrame, sink: str, checkpoint: str, key: str, order: list[str]) -> DataFrame:
     """The last row per key, kept by batches.
 
