@@ -196,7 +196,7 @@ WITH src AS (
     AND lower(flat) NOT IN ('n/a','n.a.','na','none','null','none given','not provided','unknown','tbd','to be determined','see protocol','[no text]')
 ), held AS (
   SELECT g.*, field_name = 'raw_text' AND (
-      regexp_matches(flat, '(\\[truncated\\]|\\[more\\]|\\[see full protocol\\]|\\(continued\\)|\\.\\.\\.|…)$')
+      regexp_matches(flat, '(\\[truncated\\]|\\[more\\]|\\[see full protocol\\]|\\(continued\\)|<cut>|<truncated>|<more>|\\.\\.\\.|…)$')
       OR EXISTS (SELECT 1 FROM given o WHERE o.nct_id = g.nct_id AND o.section_type = g.section_type AND o.field_name = 'raw_text'
                  AND length(o.flat) > length(g.flat) AND starts_with(o.flat, g.flat))) AS cut_off
   FROM given g
