@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trialloom.functions.text import BLANK
 from trialloom.operators import cases, relational
 from trialloom.queries.registry import Registry
 from trialloom.session import bounded_broadcast, spread, table
@@ -80,7 +81,13 @@ def term_variants(spark, sf_dir):
     return cases.variants(rows, "c_mktsegment", {"automobile": ("Cars", "Motor vehicles", "AUTOMOBILE")}).drop("c_mktsegment")
 
 
-@query()
+_FLAT = "trim(regexp_replace(coalesce(text, ''), '" + BLANK + "+', ' ', 'g'))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, {_FLAT} AS t FROM documents),
+m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(t, '([。！？；])( ?)', '\\1' || chr(1) || '\\2', 'g'), '([.!?;]) ', '\\1' || chr(1) || ' ', 'g'), chr(1)) AS a FROM f WHERE t <> ''),
+u AS (SELECT doc_id, unnest(a) AS part, generate_subscripts(a, 1) AS pos FROM m), o AS (SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (starts_with(part, ' '))::INT AS start_offset FROM u WHERE part <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS fragment_no, ltrim(part, ' ') AS fragment, start_offset, start_offset + length(ltrim(part, ' ')) AS end_offset FROM o""")
 def evidence_index(spark, sf_dir):
     return cases.fragments(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 

@@ -211,7 +211,12 @@ def chunk_fields(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "title", F.coalesce(filled, F.col("text")).alias("retrieval_text"), kind().alias("purpose"), eligibility.alias("eligibility"), F.col("text").alias("summary"))
 
 
-@query(_bm25_sql({"title": ("title", 2.8), "retrieval_text": ("text", 4.0), "purpose": (f"{_KIND}", 0.4)}))
+_FILLED = "coalesce(nullif(trim(regexp_replace(coalesce(embedding_text, ''), '" + T.BLANK + "+', ' ', 'g')), ''), text)"
+
+
+@query(_bm25_sql({
+    "title": ("title", 2.8), "retrieval_text": (_FILLED, 4.0), "purpose": (_KIND, 0.4), "eligibility": (f"CASE WHEN starts_with({_KIND}, 'eligibility') THEN text END", 0.8), "summary": ("text", 1.2),
+}))
 def bm25_chunks(spark, sf_dir):
     rows = chunk_fields(chunks(spark, sf_dir, "title", "text", "embedding_text"))
     return _found(ranking.bm25(rows, "chunk_id", ranking.CHUNK_WEIGHTS, _asked(spark, sf_dir), "span_id", "text"))
@@ -482,13 +487,7 @@ t AS (SELECT case_id, nct_id, max(w) FILTER (r = 1) + 0.35 * coalesce(max(w) FIL
 SELECT case_id, nct_id, rank, round(support, 9) AS support FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(support, 9) DESC, nct_id) AS rank FROM t) WHERE rank <= 10"""
 
 
-@query(f"""WITH {_HITS}, r AS (SELECT case_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM ranked GROUP BY ALL),
-co AS (SELECT case_id, split_part(chunk_id, '::', 1) AS nct_id, max(round(rrf, 9)) AS rrf FROM r GROUP BY ALL),
-pool AS (SELECT case_id, nct_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY rrf DESC, nct_id) AS cr FROM co) WHERE cr <= 20),
-fine AS (SELECT h.case_id, split_part(h.chunk_id, '::', 1) AS nct_id, h.chunk_id, {_KIND} AS kind, round(h.score, 9) AS w FROM hits h WHERE channel = 'bm25'),
-o AS (SELECT fine.*, row_number() OVER (PARTITION BY case_id, nct_id ORDER BY w DESC, kind, chunk_id) AS r FROM fine JOIN pool USING (case_id, nct_id)),
-t AS (SELECT case_id, nct_id, max(w) FILTER (r = 1) + 0.35 * coalesce(max(w) FILTER (r = 2), 0) + 0.2 * coalesce(max(w) FILTER (r = 3), 0) AS support FROM o GROUP BY ALL)
-SELECT case_id, nct_id, rank, round(support, 9) AS support FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(support, 9) DESC, nct_id) AS rank FROM t) WHERE rank <= 10""")
+@query(_two_stage_sql("'bm25'"))
 def two_stage(spark, sf_dir):
     """Of the fine stage, the aggregation of BM25 alone."""
     return _two_stage(spark, sf_dir, ["bm25"])

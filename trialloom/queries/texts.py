@@ -91,12 +91,20 @@ def digest(spark, sf_dir):
     return table(spark, sf_dir, "trial_chunks").select("chunk_id", T.digest(F.col("chunk_id"), F.col("text")).alias("digest"))
 
 
-@query()
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(CASE WHEN trim(chunk_id) = '' THEN '__empty__' ELSE trim(chunk_id) END))"
+
+
+@query(f"""SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE substr(h, 17, 1) WHEN '0' THEN '8' WHEN '4' THEN '8' WHEN '8' THEN '8' WHEN 'c' THEN '8' WHEN '1' THEN '9' WHEN '5' THEN '9' WHEN '9' THEN '9' WHEN 'd' THEN '9'
+WHEN '2' THEN 'a' WHEN '6' THEN 'a' WHEN 'a' THEN 'a' WHEN 'e' THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT chunk_id, {_SHA} AS h FROM trial_chunks)""")
 def uuid5(spark, sf_dir):
     return table(spark, sf_dir, "trial_chunks").select("chunk_id", T.uuid5(F.col("chunk_id")).alias("point_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT section_id, list_filter(string_split({_BLOCK('raw_text')}, chr(10) || chr(10)), lambda x: x <> '') AS a FROM eligibility_sections),
+walk AS (SELECT section_id, a, 1 AS i, 0 AS piece_no, a[1] AS piece FROM p WHERE len(a) > 0
+  UNION ALL SELECT section_id, a, i + 1, CASE WHEN length(piece) + 2 + length(a[i + 1]) <= 1400 THEN piece_no ELSE piece_no + 1 END,
+    CASE WHEN length(piece) + 2 + length(a[i + 1]) <= 1400 THEN piece || chr(10) || chr(10) || a[i + 1] ELSE a[i + 1] END FROM walk WHERE i < len(a))
+SELECT section_id, piece_no, arg_max(piece, i) AS piece FROM walk GROUP BY section_id, piece_no""")
 def pack_chunks(spark, sf_dir):
     pieces = T.pack(T.paragraphs(F.col("raw_text")), 1400)
     return table(spark, sf_dir, "eligibility_sections").select("section_id", F.posexplode(pieces).alias("piece_no", "piece"))
@@ -145,7 +153,8 @@ def coerce_values(spark, sf_dir):
     return table(spark, sf_dir, "evidence_spans").select("span_id", T.to_number(F.col("value")).alias("number"), T.to_bool(F.col("value")).alias("truth"))
 
 
-@query()
+@query(f"""SELECT DISTINCT doc_id, clause FROM (SELECT doc_id, unnest(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?。！？])\\s+', '\\1' || chr(10), 'g'), '[\\n\\r;]+'), lambda c: {_WS('c')})) AS clause FROM documents)
+WHERE clause <> '' AND regexp_matches(clause, '{T.NEGATION}')""")
 def negated_clauses(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", F.explode(T.negated_clauses(F.col("text"))).alias("clause"))
 
@@ -173,7 +182,15 @@ def sanitize_question(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.sanitize_question(asked).alias("question"))
 
 
-@query()
+_BULLET = "^\\s*(?:[-*•·]|\\(?\\d{1,3}[.)])\\s+"
+_ITEMS = f"""list_filter(list_transform(string_split(array_to_string(list_transform(regexp_split_to_array(coalesce(raw_text, ''), '\\r\\n|\\r|\\n'),
+  lambda l: CASE WHEN {_WS('l')} = '' THEN chr(1) WHEN regexp_matches(l, '{_BULLET}') THEN chr(1) || regexp_replace(l, '{_BULLET}', '') ELSE l END), chr(10)), chr(1)), lambda i: {_WS('i')}), lambda i: i <> '')"""
+
+
+@query(f"""WITH s AS (SELECT section_id, {_ITEMS} AS items, list_filter(list_transform(string_split(coalesce(raw_text, ''), ';'), lambda i: {_WS('i')}), lambda i: i <> '') AS parts FROM eligibility_sections),
+c AS (SELECT section_id, CASE WHEN len(items) <= 1 AND len(parts) > 1 AND len(list_filter(parts, lambda p: len(string_split(p, ' ')) < 3)) = 0 THEN parts ELSE items END AS a FROM s),
+u AS (SELECT section_id, unnest(a) AS item, generate_subscripts(a, 1) AS pos FROM c), f AS (SELECT section_id, arg_min(item, pos) AS item, min(pos) AS pos FROM u GROUP BY section_id, lower(item))
+SELECT section_id, row_number() OVER (PARTITION BY section_id ORDER BY pos) - 1 AS item_no, item FROM f""")
 def split_criteria(spark, sf_dir):
     return table(spark, sf_dir, "eligibility_sections").select("section_id", F.posexplode(T.split_criteria(F.col("raw_text"))).alias("item_no", "item"))
 
@@ -188,7 +205,14 @@ def align_tokens(spark, sf_dir):
     return table(spark, sf_dir, "trial_chunks").select("chunk_id", F.array_join(T.align_tokens(F.col("text")), " ").alias("words"))
 
 
-@query()
+_LOW = "['trial', 'study', 'patient']"
+_WEIGHT = lambda a: f"coalesce(list_sum(list_transform({a}, lambda w: CASE WHEN list_contains({_LOW}, w) THEN 0.15 ELSE 1.0 END)), 0)"
+_PAIRS = lambda a: f"CASE WHEN len({a}) < 2 THEN [] ELSE list_distinct(list_filter(list_transform(range(1, len({a})), lambda i: CASE WHEN {a}[i] <> {a}[i + 1] THEN {a}[i] || ' ' || {a}[i + 1] END), lambda p: p IS NOT NULL)) END"
+
+
+@query(f"""WITH w AS (SELECT chunk_id, {_WORDS('title')} AS q, {_WORDS('text')} AS o FROM trial_chunks), s AS (SELECT *, list_distinct(q) AS dq, list_filter(q, lambda w: NOT list_contains({_LOW}, w)) AS strong FROM w),
+b AS (SELECT *, {_PAIRS('strong')} AS pq, {_PAIRS('o')} AS po FROM s), t AS (SELECT chunk_id, {_WEIGHT('dq')} + len(pq) * 1.5 AS total, {_WEIGHT('list_intersect(dq, o)')} + len(list_intersect(pq, po)) * 1.5 AS met FROM b)
+SELECT chunk_id, round(CASE WHEN total > 0 THEN met / total * least(total / 4, 1.0) ELSE 0 END, 6) AS alignment FROM t""")
 def alignment(spark, sf_dir):
     return table(spark, sf_dir, "trial_chunks").select("chunk_id", F.round(T.alignment(F.col("title"), F.col("text"), ("trial", "study", "patient")), 6).alias("alignment"))
 
