@@ -15,6 +15,8 @@ from trialloom.session import bounded_broadcast, materialize
 
 #: Digits that scores are ranked by, so that the order of sums can't reorder ties.
 RANK_DIGITS = 9
+#: Terms of queries that are broadcast at once.
+QUERY_TERMS = 200_000
 #: Queries whose vectors are held by a task at once.
 QUERY_BLOCK = 512
 #: Rows a block of queries is held against at once.
@@ -43,6 +45,25 @@ def corpus_stats(documents: DataFrame, key: str, fields: list[str]) -> tuple[Dat
     return tokens, tokens.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avg_length"))
 
 
+def _postings(documents: DataFrame, key: str, fields: list[str], terms: DataFrame | None) -> DataFrame:
+    """(key, term, lengths, tf) of every document and asked term, both arrays by field; and one row with the term '' per document.
+
+    Everything is grouped by the key first, so a document's rows are made where the
+    document is; the rows without a term carry the lengths of all documents.
+    """
+    tokens = documents.where(F.col(key).isNotNull()).select(key, *[tokenize(F.col(f)).alias(f"__t{i}") for i, f in enumerate(fields)])
+    sizes = [f"__l{i}" for i in range(len(fields))]
+
+    entries = [F.struct(F.lit(i).alias("field"), F.col(f"__t{i}").alias("tokens")) for i in range(len(fields))]
+    listed = F.array(F.struct(F.lit(-1).alias("field"), F.array(F.lit("")).alias("tokens")), *entries)
+    rows = tokens.select(key, *[F.size(f"__t{i}").alias(sizes[i]) for i in range(len(fields))], F.explode(listed).alias("f"))
+    rows = rows.select(key, *sizes, "f.field", F.explode("f.tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, "term", "left_semi")
+    counted = rows.groupBy(key, "term", *sizes).agg(*[F.count(F.when(F.col("field") == i, 1)).cast("int").alias(f"__n{i}") for i in range(len(fields))])
+    return counted.select(key, "term", F.array(*sizes).alias("lengths"), F.array(*[f"__n{i}" for i in range(len(fields))]).alias("tf"))
+
+
 def bm25(
     documents: DataFrame,
     key: str,
@@ -61,32 +82,51 @@ def bm25(
     length / average length)); fields are weighted and added. Document counts and
     average lengths cover all documents, also those with an empty field.
     ``candidates`` (query_key, key, or key alone) restricts what is scored, never
-    the statistics. Negative weights count as 0.
+    the statistics. Negative weights count as 0; null keys and texts give no rows.
+    Keys must be unique.
 
-    The postings are cut to the queries' terms before they are shuffled, and
-    terms are joined to queries after counting; null keys and texts give no rows.
+    The postings are spread by document and meet the queries' terms there: in
+    blocks of at most ``QUERY_TERMS`` terms of whole queries, each broadcast, as many
+    blocks as there are. Pairs of query and document are added up where the document is and
+    never shuffled; with ``ranked`` on top, each partition passes on its best few per query.
     """
     fields = [f for f, w in weights.items() if w > 0]
-    tokens, stats = corpus_stats(documents.where(F.col(key).isNotNull()), key, fields)
     asked = queries.where(F.col(query_key).isNotNull()).select(query_key, F.explode(tokenize(F.col(query_text))).alias("term"))
     asked = materialize(asked.groupBy(query_key, "term").agg(F.count(F.lit(1)).alias("asked")))
-    terms = bounded_broadcast(asked.select("term").distinct(), 200_000)
-    postings = tokens.select(key, "field", "length", F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
-    postings = postings.groupBy("field", "term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
-    # The statistics have one row a field; df has one row a field and asked term.
-    postings = postings.join(F.broadcast(stats), "field")
-    postings = materialize(postings)
-    df = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.create_map(*[x for f in fields for x in (F.lit(f), F.lit(float(weights[f])))])
-    ratio = F.when(F.col("avg_length") > 0, F.col("length") / F.col("avg_length")).otherwise(1.0)
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = weight[F.col("field")] * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * ratio))
-    # One partial score per term and document, whatever the number of fields.
-    by_term = postings.join(bounded_broadcast(df, 400_000), ["field", "term"]).groupBy("term", key).agg(F.sum(part).alias("part"))
-    scored = by_term.join(asked, "term")
-    if candidates is not None:
-        scored = scored.join(candidates, [c for c in candidates.columns if c in (query_key, key)], "left_semi")
-    return scored.groupBy(query_key, key).agg(F.sum(F.col("asked") * F.col("part")).alias("score"))
+    terms = asked.select("term").unionByName(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    # With more terms than that nearly every word is asked for, and the postings are kept whole.
+    few = terms.limit(QUERY_TERMS + 1).count() <= QUERY_TERMS
+    postings = materialize(_postings(documents, key, fields, F.broadcast(terms) if few else None))
+    lengths = [F.avg(F.col("lengths")[i].cast("double")).alias(f"a{i}") for i in range(len(fields))]
+    stats = postings.where(F.col("term") == "").agg(F.count(F.lit(1)).alias("n"), *lengths).first()  # one row
+    held = postings.where(F.col("term") != "")
+    df = held.groupBy("term").agg(*[F.sum((F.col("tf")[i] > 0).cast("int")).alias(f"d{i}") for i in range(len(fields))])
+    part = F.lit(0.0)
+    for i, f in enumerate(fields):
+        average = float(stats[f"a{i}"] or 0.0)
+        idf = F.log(1 + (stats["n"] - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5))
+        ratio = F.col("lengths")[i] / F.lit(average) if average > 0 else F.lit(1.0)
+        tf = F.col("tf")[i]
+        part = part + F.when(tf > 0, F.lit(float(weights[f])) * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * ratio))).otherwise(0.0)
+    if candidates is not None and query_key not in candidates.columns:
+        held = held.join(candidates.select(key), key, "left_semi")
+    # The number of partitions is given, so that adaptive planning doesn't merge them: the work is in the pairs made of them.
+    spark = asked.sparkSession
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    held = held.join(bounded_broadcast(df, 2 * QUERY_TERMS), "term").select(key, "term", part.alias("part")).repartition(n_parts, key)
+
+    n_blocks = max(1, -(-asked.count() // QUERY_TERMS))
+    if n_blocks > 1:
+        held = materialize(held).repartition(n_parts, key)
+    scored: DataFrame | None = None
+    for block in range(n_blocks):
+        own = asked.where(F.pmod(F.xxhash64(query_key), F.lit(n_blocks)) == block) if n_blocks > 1 else asked
+        pairs = held.join(bounded_broadcast(own, 4 * QUERY_TERMS), "term")
+        if candidates is not None and query_key in candidates.columns:
+            pairs = pairs.join(candidates.select(query_key, key), [query_key, key], "left_semi")
+        scores = pairs.groupBy(query_key, key).agg(F.sum(F.col("asked") * F.col("part")).alias("score"))
+        scored = scores if scored is None else scored.unionByName(scores)
+    return scored
 
 
 def ranked(scores: DataFrame, query_key: str, key: str, k: int, score: str = "score") -> DataFrame:
