@@ -17,8 +17,10 @@ from trialloom.session import bounded_broadcast, materialize
 RANK_DIGITS = 9
 #: Terms of queries that are broadcast at once.
 QUERY_TERMS = 200_000
-#: Queries whose vectors are held by a task at once.
+#: Queries whose vectors meet a block of rows at once, about.
 QUERY_BLOCK = 512
+#: Most queries whose vectors are broadcast.
+BROADCAST_QUERIES = 32_768
 #: Rows a block of queries is held against at once.
 ROW_BLOCK = 2048
 
@@ -135,21 +137,39 @@ def ranked(scores: DataFrame, query_key: str, key: str, k: int, score: str = "sc
     return top_k(scores.where(F.col(score) > 0), [query_key], order, k)
 
 
-def _best_of_block(ids: list, matrix: np.ndarray, query_key: str, key: str, vector: str, k: int):
+def _packed(key: str, vector: str):
+    """Rows of one vector length as blocks: their keys and their vectors in a row of doubles."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for start in range(0, len(whole), ROW_BLOCK):
+                batch = whole.iloc[start : start + ROW_BLOCK]
+                sizes = batch[vector].map(len)
+                out = []
+                for size, rows in batch.groupby(sizes, sort=True):
+                    rows = rows.sort_values(key)  # rows of equal score then stand by key
+                    out.append((int(size), list(rows[key]), np.stack(list(rows[vector])).astype(np.float64).tobytes()))
+                yield pd.DataFrame(out, columns=["__dim", "__keys", "__rows"])
+
+    return run
+
+
+def _best_of_pairs(query_key: str, key: str, k: int):
+    """The ``k`` best rows of each query over the pairs of row block and query block in a partition."""
+
     def merged(kept: list[pd.DataFrame]) -> pd.DataFrame:
         return pd.concat(kept).sort_values(["score", key], ascending=[False, True]).groupby(query_key, sort=False).head(k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
-        for whole in batches:
-            for start in range(0, len(whole), ROW_BLOCK):
-                batch = whole.iloc[start : start + ROW_BLOCK].sort_values(key)  # rows of equal score then stand by key
-                keys = batch[key].to_numpy()
-                scores = np.round(np.stack(list(batch[vector])) @ matrix.T, RANK_DIGITS)
+        for batch in batches:
+            for size, keys, data, asked in zip(batch["__dim"], batch["__keys"], batch["__rows"], batch["__asked"], strict=True):
+                names = np.array([q["q"] for q in asked], dtype=object)
+                matrix = np.array([q["v"] for q in asked], dtype=np.float64)
+                scores = np.round(np.frombuffer(data, np.float64).reshape(-1, size) @ matrix.T, RANK_DIGITS)
                 order = np.argsort(-scores, axis=0, kind="stable")[:k]
                 best = np.take_along_axis(scores, order, axis=0)
-                names = np.repeat(np.array(ids, dtype=object), len(order))
-                kept.append(pd.DataFrame({query_key: names, key: keys[order.T.ravel()], "score": best.T.ravel()}))
+                kept.append(pd.DataFrame({query_key: np.repeat(names, len(order)), key: np.asarray(keys)[order.T.ravel()], "score": best.T.ravel()}))
                 if len(kept) >= 32:
                     kept = [merged(kept)]
         if kept:
@@ -161,38 +181,27 @@ def _best_of_block(ids: list, matrix: np.ndarray, query_key: str, key: str, vect
 def dense_top_k(base: DataFrame, key: str, vector: str, queries: DataFrame, query_key: str, query_vector: str, k: int) -> DataFrame:
     """The ``k`` vectors with the largest inner product for every query: (query_key, key, score, rank).
 
-    Exact: blocks of queries are held against every partition, each partition
-    keeps its ``k`` best per query, and these few rows are merged. Sums are made
-    in double precision and rounded to 9 digits; ties go to the smaller key.
-    Null keys and vectors, and vectors of another length, have no rows; repeated
-    rows are ranked each by itself.
+    Exact: blocks of ``ROW_BLOCK`` rows meet blocks of about ``QUERY_BLOCK`` queries, each
+    partition keeps its ``k`` best per query, and these few rows are merged. The
+    base is read once. Up to ``BROADCAST_QUERIES`` queries are broadcast; beyond, row
+    blocks are joined to query blocks by the number of the block. No vector passes
+    through the driver. Sums are made in double precision and rounded to 9 digits;
+    ties go to the smaller key. Null keys and vectors, and vectors of another length than a
+    query's, have no rows for it; repeated rows are ranked each by itself.
     """
     asked = queries.where(F.col(query_key).isNotNull() & F.col(query_vector).isNotNull()).select(F.col(query_key).alias("q"), F.col(query_vector).cast("array<double>").alias("v"))
+    n_asked = asked.count()
+    n_blocks = max(1, -(-n_asked // QUERY_BLOCK))
+    blocks = asked.groupBy(F.size("v").alias("__dim"), F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("__block")).agg(F.collect_list(F.struct("q", "v")).alias("__asked"))
+    key_type, q_type = base.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
     narrow = base.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias(vector))
-    q_type, key_type = queries.schema[query_key].dataType.simpleString(), base.schema[key].dataType.simpleString()
-    schema = f"`{query_key}` {q_type}, `{key}` {key_type}, score double"
-    block: list = []
-    parts: list[DataFrame] = []
-
-    def close() -> None:
-        for size in sorted({len(r.v) for r in block}):
-            same = [r for r in block if len(r.v) == size]
-            matrix = np.array([r.v for r in same])
-            fitting = narrow.where(F.size(vector) == size)
-            parts.append(fitting.mapInPandas(_best_of_block([r.q for r in same], matrix, query_key, key, vector, k), schema))
-        block.clear()
-
-    for row in asked.toLocalIterator():  # one block at a time
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            close()
-    close()
-    if not parts:
-        return base.sparkSession.createDataFrame([], schema + ", rank int")
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return top_k(merged, [query_key], [F.col("score").desc(), F.col(key).asc()], k)
+    packed = narrow.mapInPandas(_packed(key, vector), f"__dim int, __keys array<{key_type}>, __rows binary")
+    if n_asked <= BROADCAST_QUERIES:
+        pairs = packed.join(F.broadcast(blocks), "__dim")
+    else:
+        pairs = packed.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, ["__dim", "__block"])
+    found = pairs.select("__dim", "__keys", "__rows", "__asked").mapInPandas(_best_of_pairs(query_key, key, k), f"`{query_key}` {q_type}, `{key}` {key_type}, score double")
+    return top_k(found, [query_key], [F.col("score").desc(), F.col(key).asc()], k)
 
 
 def matches(names: Column, query_tokens: Column, query_text: Column) -> Column:
