@@ -497,6 +497,19 @@ def test_events_of_windows_that_ended_are_dropped(spark, tmp_path):
     assert run([(at(5), "a"), (at(11), "c")]) == {(at(5), "a"): 3, (at(6), None): 1, (at(9), "b"): 1, (at(11), "c"): 1, (at(12), "c"): 1}  # the first is too late
 
 
+def test_zips_of_many_members_are_read_by_ranges(spark, frame, tmp_path, monkeypatch):
+    rows = [(f"d{i % 3}/n{i:03}.{'XML' if i % 2 else 'xml'}", bytes([i % 251]) * i) for i in range(120)] + [("read.me", b"x"), (None, b"y"), ("z.xml", None)]
+    assert archives.write_zips(frame(rows, "name string, data binary", 2), str(tmp_path / "zips"), "name", "data") == 2
+    (tmp_path / "zips" / "broken.zip").write_bytes(b"no zip")
+    whole = archives.zip_members(spark, str(tmp_path / "zips")).collect()
+    monkeypatch.setattr(archives, "RANGE_BYTES", 64)
+    parts = archives.zip_members(spark, str(tmp_path / "zips")).collect()
+    for got in (whole, parts):
+        assert sorted((r.member_path, bytes(r.member_bytes)) for r in got if not r.error) == sorted((n, d) for n, d in rows[:120])
+        assert [r.path.endswith("broken.zip") for r in got if r.error] == [True]
+    assert archives.scan_zips(spark, str(tmp_path / "zips")).count() == 120
+
+
 def test_stream_upsert_keeps_the_last_row(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (2, 1, "x")], "k long, o long, v string").write.parquet(str(source))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions.text import normalize_block
@@ -52,25 +52,39 @@ def split_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     return narrow.mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
+PARTS = "inclusion string, exclusion string, n_inclusion int, n_exclusion int"
+
+
+def _parts(texts: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text in texts:
+        found = sections_of(text) if text else []
+        bodies = {kind: [body for k, _, body, *_ in found if k == kind] for kind in HEADINGS}
+        rows.append(("\n\n".join(bodies["inclusion"]), "\n\n".join(bodies["exclusion"]), len(bodies["inclusion"]), len(bodies["exclusion"])))
+    return pd.DataFrame(rows, columns=["inclusion", "exclusion", "n_inclusion", "n_exclusion"])
+
+
+def section_parts(text: Column) -> Column:
+    """The sections of a normalized text joined by kind, with their numbers, as one struct: a pass over the column, no join."""
+    return F.pandas_udf(_parts, PARTS)(text)
+
+
 def section_status(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, inclusion_text, exclusion_text, unsplit_text, parse_status, warnings) of every text.
+    """(key, inclusion_text, exclusion_text, unsplit_text, parse_status, warnings) of every row.
 
-    The status is empty, unsplit, inclusion_only, exclusion_only or parsed. Keys
-    must be unique.
+    The status is empty, unsplit, inclusion_only, exclusion_only or parsed. Keys may
+    be null or repeated; each row is judged by itself.
     """
-    parts = split_sections(df, key, text)
-    joined = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("section_type") == kind, F.struct("section_no", "raw_text")))), lambda s: s["raw_text"]), "\n\n")
-    count = lambda kind: F.count(F.when(F.col("section_type") == kind, 1))
-    per = parts.groupBy(key).agg(joined("inclusion").alias("i"), joined("exclusion").alias("e"), count("inclusion").alias("ni"), count("exclusion").alias("ne"))
-    wide = df.select(key, normalize_block(F.col(text)).alias("__text")).join(per, key, "left")
-    ni, ne = F.coalesce("ni", F.lit(0)), F.coalesce("ne", F.lit(0))
+    flat = df.select(key, normalize_block(F.col(text)).alias("__text"))
+    wide = flat.withColumn("__p", section_parts(F.col("__text")))
+    ni, ne = F.col("__p.n_inclusion"), F.col("__p.n_exclusion")
     status = F.when(F.col("__text") == "", "empty").when((ni > 0) & (ne > 0), "parsed").when(ni > 0, "inclusion_only").when(ne > 0, "exclusion_only").otherwise("unsplit")
     warnings = F.array_compact(F.array(
         F.when(status == "empty", F.lit("eligibility_text_empty")), F.when(status == "unsplit", F.lit("eligibility_section_headings_not_found")),
         F.when(ni > 1, F.lit("multiple_inclusion_sections")), F.when(ne > 1, F.lit("multiple_exclusion_sections")),
         F.when(status == "inclusion_only", F.lit("exclusion_section_heading_not_found")), F.when(status == "exclusion_only", F.lit("inclusion_section_heading_not_found")),
     ))
-    blocks = lambda c: F.coalesce(normalize_block(F.col(c)), F.lit(""))
-    return wide.select(key, blocks("i").alias("inclusion_text"), blocks("e").alias("exclusion_text"), F.when(status == "unsplit", F.col("__text")).otherwise("").alias("unsplit_text"), status.alias("parse_status"), warnings.alias("warnings"))
-
-
+    return wide.select(
+        key, normalize_block(F.col("__p.inclusion")).alias("inclusion_text"), normalize_block(F.col("__p.exclusion")).alias("exclusion_text"),
+        F.when(status == "unsplit", F.col("__text")).otherwise("").alias("unsplit_text"), status.alias("parse_status"), warnings.alias("warnings"),
+    )

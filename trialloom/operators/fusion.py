@@ -8,22 +8,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trialloom.operators.ranking import RANK_DIGITS, top_k
 
 
-def min_max(rows: DataFrame, group: list[str], score: str = "score", out: str = "norm", relative: float = 1e-9) -> DataFrame:
+def min_max(rows: DataFrame, group: list[str], score: str = "score", out: str = "norm", relative: float = 1e-9, short: bool = False) -> DataFrame:
     """Scores of each group scaled to 0..1; where all are equal, 1 if positive, else 0.
 
     ``relative`` is how close counts as equal, as a part of the larger value; 0
-    asks for equality. Null scores count as 0.
+    asks for equality. Null scores count as 0. Groups of any size are reduced by
+    partial aggregation and joined back; ``short`` says that groups are bounded (lists
+    of k items), and reads their bounds in a window over the rows, which are made once.
     """
     value = F.coalesce(F.col(score).cast("double"), F.lit(0.0))
-    bounds = rows.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+    if short:
+        over = Window.partitionBy(*group)
+        wide = rows.withColumns({"__low": F.min(value).over(over), "__high": F.max(value).over(over)})
+    else:
+        bounds = rows.groupBy(*[F.col(g).alias(f"__{g}") for g in group]).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
+        wide = rows.join(bounds, _same(group), "left")
     low, high = F.col("__low"), F.col("__high")
     equal = (high - low) <= relative * F.greatest(F.abs(low), F.abs(high))
     scaled = F.when(equal, F.when(high > 0, 1.0).otherwise(0.0)).otherwise((value - low) / (high - low))
-    return rows.join(bounds, _same(group), "left").select(*rows.columns, scaled.alias(out))
+    return wide.select(*rows.columns, scaled.alias(out))
 
 
 def _same(group: list[str]) -> Column:
@@ -37,18 +45,22 @@ def _by_channel(channels: list[str], channel: str, value: str) -> list[Column]:
     return [F.max(F.when(F.col(channel) == c, F.col(value))).alias(f"{value}_{c}") for c in channels]
 
 
-def fuse(rows: DataFrame, group: list[str], item: str, channels: list[str], weights: dict[str, float] | None = None, mode: str = "weighted", compat: bool = True, relative: float = 1e-9) -> DataFrame:
+def fuse(rows: DataFrame, group: list[str], item: str, channels: list[str], weights: dict[str, float] | None = None, mode: str = "weighted", compat: bool = True, relative: float = 1e-9, short: bool = False) -> DataFrame:
     """(group, item, n_channels, score) of every item of any channel, as a full outer merge.
 
     ``weighted``: the weighted sum of normalized scores over the weights of the
     channels with rows in the group. ``sum``: their plain sum. ``structured``: the
     plain sum, and with ``compat`` the raw score of the first channel on top.
-    Merging is one aggregation, so no channel is joined to another.
+    Merging is one aggregation, so no channel is joined to another. ``short`` says that
+    channels are lists of bounded length (see ``min_max``).
     """
     weights = weights or dict.fromkeys(channels, 1.0)
-    normed = min_max(rows.where(F.col("channel").isin(channels)), [*group, "channel"], relative=relative)
+    normed = min_max(rows.where(F.col("channel").isin(channels)), [*group, "channel"], relative=relative, short=short)
     merged = normed.groupBy(*group, item).agg(*_by_channel(channels, "channel", "norm"), *_by_channel(channels, "channel", "score"), F.countDistinct("channel").cast("int").alias("n_channels"))
-    if mode == "weighted":
+    if mode == "weighted" and short:
+        there = [F.max(F.col(f"norm_{c}").isNotNull().cast("int")).over(Window.partitionBy(*group)) * float(max(weights.get(c, 0.0), 0.0)) for c in channels]
+        merged = merged.withColumn("__active", sum(there[1:], there[0]))
+    elif mode == "weighted":
         total = F.lit(0.0)
         for c in channels:
             total = total + F.max((F.col("channel") == c).cast("int")) * float(max(weights.get(c, 0.0), 0.0))

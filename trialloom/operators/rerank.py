@@ -134,7 +134,7 @@ def retrieve(group: str, item: str, catalog: DataFrame, bm25: Callable[[], DataF
     if len(parts) == 1:
         scored = names.withColumnRenamed("own", "score")
     else:
-        scored = fusion.fuse(rows, [group], item, ["bm25", "vector"], mode="structured").select(group, item, "score").join(names.drop("own"), [group, item])
+        scored = fusion.fuse(rows, [group], item, ["bm25", "vector"], mode="structured", short=True).select(group, item, "score").join(names.drop("own"), [group, item])
     wide = scored.join(catalog, item, "left")
     order = [F.round("score", RANK_DIGITS).desc(), F.desc("n_channels"), F.lower(F.coalesce("title", F.lit(""))), F.col(item)]
     return top_k(wide, [group], order, k).drop("n_channels")

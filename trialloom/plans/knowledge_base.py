@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialloom.functions import text as T
-from trialloom.functions.sections import section_status
+from trialloom.functions.sections import section_parts
 from trialloom.operators.nested import local_name, parse_xml
 from trialloom.operators.relational import latest_wins
 
@@ -154,8 +154,8 @@ def record_chunks(records: DataFrame, max_chars: int = CHUNK_CHARS) -> DataFrame
     Six kinds: the overview whole, the others packed paragraph by paragraph; each
     chunk begins with the record's context. Kinds without text have none.
     """
-    split = section_status(records.select("nct_id", "eligibility_text"), "nct_id", "eligibility_text").select("nct_id", "inclusion_text", "exclusion_text")
-    wide = records.join(split, "nct_id", "left")
+    wide = records.withColumn("__split", section_parts(T.normalize_block(F.col("eligibility_text"))))
+    wide = wide.withColumn("inclusion_text", F.col("__split.inclusion")).withColumn("exclusion_text", F.col("__split.exclusion"))
     packed = lambda c: T.pack(T.paragraphs(c), max_chars)
     bodies = {
         "overview": ("overview", F.filter(F.array(T.normalize_block(overview_text())), lambda t: t != "")),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 
 import pandas as pd
@@ -16,18 +15,13 @@ from trialloom.operators import relational
 from trialloom.plans import knowledge_base as kb
 from trialloom.queries.registry import Registry
 from trialloom.queries.retrieval import chunks
-from trialloom.session import checkpoint_dir, materialize, spread, table
+from trialloom.session import materialize, shared_folder, spread, table
 from trialloom.sources import archives, files
 from trialloom.streaming import streams
 
 query = Registry()
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # Archives and XML -----------------------------------------------------------------------------
 
 
@@ -53,6 +47,18 @@ def scan_zip_xml(spark, sf_dir):
     return members.select("source_id", "member_path", F.length("member_bytes").cast("bigint").alias("n_bytes"), F.sha2("member_bytes", 256).alias("sha"))
 
 
+@query("SELECT source_id, source_member_path AS member_path, octet_length(xml_bytes) AS n_bytes, sha256(xml_bytes) AS sha FROM trial_xml_sources WHERE xml_bytes IS NOT NULL")
+def scan_zip_files(spark, sf_dir):
+    """All sources written to zips of many members in the shared folder and read from there by offset."""
+    rows = table(spark, sf_dir, "trial_xml_sources").where(F.col("xml_bytes").isNotNull())
+    named = F.concat(F.col("source_id").cast("string"), F.lit("/"), F.regexp_replace("source_member_path", r"(?i)(\.xml)?$", ".xml"), F.lit("|"), F.col("source_member_path"), F.lit(".XML"))
+    folder = shared_folder(spark, "zips")
+    archives.write_zips(rows.select(named.alias("name"), "xml_bytes").repartition(4), folder, "name", "xml_bytes")
+    members = archives.zip_members(spark, folder).where(F.col("error").isNull())
+    path = F.regexp_replace(F.get(F.split("member_path", r"\|"), 1), r"\.XML$", "")
+    return members.select(F.get(F.split("member_path", "/"), 0).cast("bigint").alias("source_id"), path.alias("member_path"), F.length("member_bytes").cast("bigint").alias("n_bytes"), F.sha2("member_bytes", 256).alias("sha"))
+
+
 @query("SELECT source_id, TRUE AS readable, 2 AS n_entries, 1 AS n_xml FROM trial_xml_sources WHERE xml_bytes IS NOT NULL UNION ALL SELECT source_id, FALSE, NULL, NULL FROM trial_xml_sources WHERE xml_bytes IS NOT NULL")
 def archive_inspect(spark, sf_dir):
     zips = _zips(spark, sf_dir)
@@ -136,7 +142,7 @@ def calc_catalog(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
 def sink_jsonl(spark, sf_dir):
-    folder = _folder(spark, "jsonl")
+    folder = shared_folder(spark, "jsonl")
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
     files.write_jsonl(rows, folder, ["c_mktsegment"])
     read = files.read_jsonl(spark, f"{folder}/*", "c_custkey bigint, c_name string, c_acctbal double")
@@ -145,7 +151,7 @@ def sink_jsonl(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, CAST(n_nationkey % 3 AS BIGINT) AS n_tags FROM nation")
 def tsv_index(spark, sf_dir):
-    folder = _folder(spark, "tsv")
+    folder = shared_folder(spark, "tsv")
     tags = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), F.col("n_nationkey") % 3)
     files.write_tsv(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", tags.alias("tags")), folder)
     return files.read_tsv(spark, folder, ("tags",), ("n_nationkey",)).select("n_nationkey", "n_name", F.size("tags").cast("bigint").alias("n_tags"))
@@ -154,13 +160,15 @@ def tsv_index(spark, sf_dir):
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def record_blocks(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    blocks = files.format_blocks(rows, "s_suppkey").groupBy((F.col("s_suppkey") % 7).alias("file")).agg(F.array_join(F.collect_list("block"), "\n").alias("text"))
-    return files.parse_blocks(blocks, "text", "s_suppkey bigint, s_name string, s_acctbal double")
+    folder = shared_folder(spark, "blocks")
+    files.format_blocks(rows, "s_suppkey").select("block").write.text(folder)  # one file per task
+    written = spark.read.text(folder, wholetext=True)
+    return files.parse_blocks(written, "value", "s_suppkey bigint, s_name string, s_acctbal double")
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS case_id, '{}' AS expected, o_orderpriority AS notes FROM orders")
 def eval_cases(spark, sf_dir):
-    folder = _folder(spark, "cases")
+    folder = shared_folder(spark, "cases")
     case = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("case_id"), F.struct(F.col("o_totalprice").alias("price")).alias("structured_case"), F.col("o_orderpriority").alias("notes")))
     lines = table(spark, sf_dir, "orders").select(F.explode(F.array(F.lit("# a remark"), F.lit("  "), case)).alias("value"))
     lines.write.text(folder)
@@ -169,7 +177,7 @@ def eval_cases(spark, sf_dir):
 
 @query("SELECT count(*) AS n_rows, count(DISTINCT o_custkey) AS n_topics, count(DISTINCT o_orderkey) AS n_docs, round(avg(CASE WHEN o_orderkey % 4 IN (1, 2) THEN 1.0 ELSE 0.0 END), 4) AS positive_fraction FROM orders")
 def qrels_file(spark, sf_dir):
-    folder = _folder(spark, "qrels")
+    folder = shared_folder(spark, "qrels")
     line = F.concat_ws(" ", F.col("o_custkey").cast("string"), F.lit("0"), F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 4).cast("string"))
     table(spark, sf_dir, "orders").select(F.explode(F.array(line, F.lit("odd line"))).alias("value")).write.text(folder)
     return files.qrels_profile(files.read_qrels(spark, folder))
@@ -177,7 +185,7 @@ def qrels_file(spark, sf_dir):
 
 @query("SELECT n_nationkey AS number, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'glaucoma' END AS template, CASE WHEN n_nationkey % 2 = 0 THEN 'case of ' || n_name ELSE '' END AS text, CASE WHEN n_nationkey % 2 = 1 THEN n_name END AS nation FROM nation")
 def topics_stats(spark, sf_dir):
-    folder = _folder(spark, "topics")
+    folder = shared_folder(spark, "topics")
     key, name = F.col("n_nationkey").cast("string"), F.col("n_name")
     free = F.concat(F.lit('<topic number="'), key, F.lit('">\n case  of '), name, F.lit("\n</topic>"))
     filled = F.concat(F.lit('<topic number="'), key, F.lit('" template="glaucoma"><field name="nation">'), name, F.lit("</field></topic>"))
@@ -349,19 +357,19 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_counts(spark, sf_dir):
-    counted = streams.counted_windows(_events(spark, sf_dir), _folder(spark, "counts"), _folder(spark, "stream"), "ts", ["event_type"])
+    counted = streams.counted_windows(_events(spark, sf_dir), shared_folder(spark, "counts"), shared_folder(spark, "stream"), "ts", ["event_type"])
     return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def stream_latest(spark, sf_dir):
-    rows = streams.upsert_stream(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), _folder(spark, "latest"), _folder(spark, "stream"), "user_id", ["ts", "event_id"])
+    rows = streams.upsert_stream(_events(spark, sf_dir).select("user_id", "event_id", "ts", "value"), shared_folder(spark, "latest"), shared_folder(spark, "stream"), "user_id", ["ts", "event_id"])
     return rows.drop("ts")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_upsert(spark, sf_dir):
-    sink, checkpoint = _folder(spark, "upsert"), _folder(spark, "stream")
+    sink, checkpoint = shared_folder(spark, "upsert"), shared_folder(spark, "stream")
     events = _events(spark, sf_dir).select("event_id", "user_id", "event_type", "ts")
     streams.upsert_stream(events, sink, checkpoint, "event_id", ["ts"])
     return streams.upsert_stream(events, sink, checkpoint, "event_id", ["ts"]).drop("ts")

@@ -65,7 +65,7 @@ SELECT case_id, nct_id, rank, n_items, round(CAST(support AS DOUBLE), 6) AS supp
 FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(support + coverage + gain - loss, 9) DESC, n_items DESC, nct_id) AS rank FROM s) WHERE rank <= 10""")
 def trial_rerank(spark, sf_dir):
     """Support, coverage, matched and ruled-out terms of the ten best trials of each case, from the given hits."""
-    fused = fusion.min_max(ranked_hits(spark, sf_dir), ["case_id", "channel"]).groupBy("case_id", "chunk_id").agg(F.sum("norm").alias("score"))
+    fused = fusion.min_max(ranked_hits(spark, sf_dir), ["case_id", "channel"], short=True).groupBy("case_id", "chunk_id").agg(F.sum("norm").alias("score"))
     loaded = chunks(spark, sf_dir, "nct_id", "title", "rank_weight", "text")
     rows = fused.join(loaded.select("chunk_id", "rank_weight", "text"), "chunk_id", "left").withColumn("kind", kind()).withColumn("nct_id", _trial())
     best = rerank.best_items(rows, ["case_id"], "nct_id", "chunk_id", "kind", F.col("score") * _weight(), "text")
@@ -211,7 +211,7 @@ def two_stage_texts(spark, sf_dir):
     coarse = ranking.top_k(fused, ["span_id"], [F.round("rrf", 9).desc(), F.lower(F.coalesce("title", F.lit(""))), F.col("chunk_id")], 4 * POOL, "place")
 
     def trials(rows: DataFrame, stage: str) -> DataFrame:
-        normed = fusion.min_max(rows, ["span_id"]).withColumn("kind", kind()).withColumn("nct_id", _trial())
+        normed = fusion.min_max(rows, ["span_id"], short=True).withColumn("kind", kind()).withColumn("nct_id", _trial())
         best = rerank.best_items(normed, ["span_id"], "nct_id", "chunk_id", "kind", F.col("norm") * _weight())
         return rerank.rerank(best, {}, {}, F.lit(""), F.array().cast("array<string>"), stage) if stage == "coarse" else best.withColumn("support", rerank.support()).withColumn("score", F.col("support") + rerank.coverage(F.col("types"), stage))
 

@@ -51,9 +51,13 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.where(F.col("score").isNotNull() & ~F.isnan("score")).groupBy("case_id", "channel", "chunk_id").agg(F.max(F.col("score") + 0.0).alias("score"))
 
 
-def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 best chunks of each case and channel."""
-    return ranking.top_k(hits(spark, sf_dir), ["case_id", "channel"], [F.round("score", 9).desc(), F.col("chunk_id").asc()], 50)
+#: Depth of a channel's list ahead of fusion: the usual limit of hits of the fine stage.
+DEPTH = 50
+
+
+def ranked_hits(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
+    """The ``depth`` best chunks of each case and channel: a channel's list, as a retriever asked for so many gives it."""
+    return ranking.top_k(hits(spark, sf_dir), ["case_id", "channel"], [F.round("score", 9).desc(), F.col("chunk_id").asc()], depth)
 
 
 @query(f"WITH {_HITS} SELECT case_id, channel, chunk_id, rank FROM ranked")
@@ -70,7 +74,7 @@ normed AS (
 
 @query(f"WITH {_HITS}, {_NORM} SELECT case_id, channel, chunk_id, round(norm, 6) AS norm FROM normed", name="minmax")
 def minmax(spark, sf_dir):
-    return fusion.min_max(ranked_hits(spark, sf_dir), ["case_id", "channel"]).select("case_id", "channel", "chunk_id", F.round("norm", 6).alias("norm"))
+    return fusion.min_max(ranked_hits(spark, sf_dir), ["case_id", "channel"], short=True).select("case_id", "channel", "chunk_id", F.round("norm", 6).alias("norm"))
 
 
 _WIDE = """
@@ -83,26 +87,26 @@ active AS (SELECT case_id, 0.5 * max(CAST(channel = 'bm25' AS INT)) + 0.5 * max(
 
 @query(f"WITH {_HITS}, {_NORM}, {_WIDE} SELECT case_id, chunk_id, n_channels, round((0.5 * coalesce(nb, 0) + 0.5 * coalesce(nd, 0)) / w, 6) AS score FROM wide JOIN active USING (case_id)")
 def fuse_weighted(spark, sf_dir):
-    fused = fusion.fuse(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id", CHANNELS, dict.fromkeys(CHANNELS, 0.5))
+    fused = fusion.fuse(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id", CHANNELS, dict.fromkeys(CHANNELS, 0.5), short=True)
     return fused.withColumn("score", F.round("score", 6)).withColumn("n_channels", F.col("n_channels").cast("bigint"))
 
 
 @query(f"WITH {_HITS}, {_NORM}, {_WIDE} SELECT case_id, chunk_id, n_channels, round(coalesce(sb, sd) + coalesce(nb, 0) + coalesce(nd, 0), 6) AS score FROM wide")
 def fuse_structured(spark, sf_dir):
-    fused = fusion.fuse(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id", CHANNELS, mode="structured")
+    fused = fusion.fuse(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id", CHANNELS, mode="structured", short=True)
     return fused.withColumn("score", F.round("score", 6)).withColumn("n_channels", F.col("n_channels").cast("bigint"))
 
 
 @query(f"WITH {_HITS}, {_NORM}, {_WIDE} SELECT case_id, chunk_id, n_channels, round(coalesce(nb, 0) + coalesce(nd, 0), 6) AS score FROM wide")
 def fuse_full_outer(spark, sf_dir):
-    fused = fusion.fuse(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id", CHANNELS, mode="sum")
+    fused = fusion.fuse(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id", CHANNELS, mode="sum", short=True)
     return fused.withColumn("score", F.round("score", 6)).withColumn("n_channels", F.col("n_channels").cast("bigint"))
 
 
 @query(f"""WITH {_HITS}, {_NORM}, {_WIDE}
 SELECT case_id, chunk_id, rank FROM (SELECT case_id, chunk_id, row_number() OVER (PARTITION BY case_id ORDER BY round(coalesce(nb, 0) + coalesce(nd, 0), 9) DESC, n_channels DESC, {_KIND}, chunk_id) AS rank FROM wide) WHERE rank <= 10""")
 def fuse_ordered(spark, sf_dir):
-    fused = fusion.fuse(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id", CHANNELS, mode="sum")
+    fused = fusion.fuse(ranked_hits(spark, sf_dir), ["case_id"], "chunk_id", CHANNELS, mode="sum", short=True)
     placed = ranking.top_k(fused, ["case_id"], [F.round("score", 9).desc(), F.desc("n_channels"), kind(), F.col("chunk_id")], K)
     return placed.select("case_id", "chunk_id", F.col("rank").cast("bigint").alias("rank"))
 

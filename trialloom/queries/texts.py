@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialloom.functions import text as T
 from trialloom.queries.registry import Registry
 from trialloom.session import spread, table
+from trialloom.sources import files
 
 query = Registry()
 
@@ -220,8 +221,8 @@ def alignment(spark, sf_dir):
 @query(
     """SELECT doc_id, line_no, column_no FROM (
   SELECT doc_id, u.line_no, instr(lower(u.line), 'diabet') AS column_no FROM documents,
-    LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no) u) WHERE column_no > 0"""
+    LATERAL (SELECT unnest(regexp_split_to_array(text, '\\r\\n|[\\r\\n]')) AS line, generate_subscripts(regexp_split_to_array(text, '\\r\\n|[\\r\\n]'), 1) AS line_no) u) WHERE column_no > 0"""
 )
 def text_grep(spark, sf_dir):
-    lines = _documents(spark, sf_dir).where(F.lower("text").contains("diabet")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.select("doc_id", (F.col("at") + 1).cast("bigint").alias("line_no"), F.instr(F.lower("line"), "diabet").cast("bigint").alias("column_no")).where("column_no > 0")
+    found = files.matching_lines(_documents(spark, sf_dir), ["doc_id"], "text", "diabet", ignore_case=True)
+    return found.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("column_no").cast("bigint").alias("column_no"))

@@ -7,7 +7,10 @@ side was counted.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,18 +54,40 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage; a temporary one only in local mode."""
+    """The shared folder for cut lineage; a temporary one, removed at the end, only in local mode.
+
+    Checkpoints are removed once nothing refers to their rows any more.
+    """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="trialloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
+        # Read from the context's own settings whenever a checkpoint is made.
+        context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return folder
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share; it is removed when this process ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Removes a folder as long as the session lives; a stopped one leaves it to the owner of the shared folder."""
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - at the end of a process there is nobody to tell
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder: partitions and their order stay as they are."""
     checkpoint_dir(df.sparkSession)

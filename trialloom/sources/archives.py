@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import io
+import re
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialloom.session import materialize
+
+#: Compressed bytes of the members that a task reads at once, about.
+RANGE_BYTES = 64 << 20
 SOURCE_FIELDS = ["xml_bytes", "source_corpus", "source_archive", "source_member_path", "input_path"]
 # Directories that name a corpus.
 CORPUS_DIRS = {"corpus_2023": "totrials_2023", "corpus_2021_2022": "totrials_2021_2022"}
@@ -47,10 +54,90 @@ def explode_zip(df: DataFrame, keys: list[str], content: str, suffix: str = ".xm
     return df.where(F.col(content).isNotNull()).select(*keys, content).mapInPandas(run, schema)
 
 
-def scan_zips(spark: SparkSession, path: str) -> DataFrame:
-    """The XML members of every zip below a path, as source documents."""
+def _open(path: str):
+    """(file system, path within it) of a local path or a URI such as Spark lists."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The XML members of each archive in ranges of about ``RANGE_BYTES``, from its directory alone."""
+    for batch in batches:
+        for path in batch["path"]:
+            ranges: list[tuple[str, list[str], str | None]] = []
+            try:
+                system, inner = _open(path)
+                with system.open_input_file(inner) as file, zipfile.ZipFile(file) as archive:
+                    held, size = [], 0
+                    for info in sorted(archive.infolist(), key=lambda i: i.filename):
+                        if info.filename.lower().endswith(".xml"):
+                            held.append(info.filename)
+                            size += info.compress_size
+                            if size >= RANGE_BYTES:
+                                ranges.append((path, held, None))
+                                held, size = [], 0
+                    if held:
+                        ranges.append((path, held, None))
+            except (zipfile.BadZipFile, OSError, ValueError) as bad:
+                ranges.append((path, [], f"{type(bad).__name__}: {bad}"))
+            yield pd.DataFrame(ranges, columns=["path", "names", "error"])
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["path", "member_path", "member_bytes", "error"]
+    for batch in batches:
+        for path, names, error in batch.itertuples(index=False, name=None):
+            if error:
+                yield pd.DataFrame([(path, None, None, error)], columns=columns)
+                continue
+            system, inner = _open(path)
+            with system.open_input_file(inner) as file, zipfile.ZipFile(file) as archive:
+                for name in names:
+                    try:
+                        row = (path, name, archive.read(name), None)
+                    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, ValueError, zlib.error) as bad:
+                        row = (path, name, None, f"{type(bad).__name__}: {bad}")
+                    yield pd.DataFrame([row], columns=columns)
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(path, member_path, member_bytes, error) of the XML members of every zip below a path, of any size.
+
+    No archive is held as a whole: a first pass reads the directories and parts
+    them into ranges of members, which are spread over the cores and read by
+    offset. An archive or member that can't be read is a row with an error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    members = explode_zip(files.select("path", "content"), ["path"], "content").where(F.col("error").isNull())
+    ranges = materialize(files.select("path").mapInPandas(_listed, "path string, names array<string>, error string"))
+    spread_out = ranges.repartition(max(spark.sparkContext.defaultParallelism, min(ranges.count(), 100_000)), F.xxhash64("path", F.get("names", F.lit(0))))
+    return spread_out.mapInPandas(_read, "path string, member_path string, member_bytes binary, error string")
+
+
+def write_zips(df: DataFrame, folder: str, name: str, content: str) -> int:
+    """The rows as members of zips in a folder, one zip per partition, written as they come; the number of zips."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        written = 0
+        target = f"{folder.rstrip('/')}/part-{uuid.uuid4().hex}.zip"
+        system, inner = _open(target)
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(inner) as file, zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as archive:
+            for batch in batches:
+                for member, data in zip(batch[name], batch[content], strict=True):
+                    archive.writestr(member, bytes(data))
+                    written += 1
+        if not written:
+            system.delete_file(inner)
+        yield pd.DataFrame({"n": [int(written > 0)]})
+
+    rows = df.where(F.col(name).isNotNull() & F.col(content).isNotNull()).select(name, content)
+    return int(rows.mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
+def scan_zips(spark: SparkSession, path: str) -> DataFrame:
+    """The XML members of every zip below a path, as source documents; what can't be read is left out."""
+    members = zip_members(spark, path).where(F.col("error").isNull())
     return members.select(
         F.col("member_bytes").alias("xml_bytes"), corpus_of(F.col("path")).alias("source_corpus"), F.element_at(F.split("path", "/"), -1).alias("source_archive"),
         F.col("member_path").alias("source_member_path"), F.col("path").alias("input_path"),

@@ -134,8 +134,16 @@ def read_topics(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_number").alias("number"), F.coalesce("_template", F.lit("")).alias("template"), flat(F.col("_VALUE")).alias("text"), fields.alias("fields"))
 
 
+def matching_lines(df: DataFrame, keys: list[str], text: str, query: str, ignore_case: bool = False) -> DataFrame:
+    """(keys, line_no, column_no, line) of every line of a text column that holds ``query``, counted from 1; null texts have none."""
+    same = F.lower if ignore_case else (lambda c: c)
+    wanted = F.lit(query.lower() if ignore_case else query)
+    lines = df.where(F.contains(same(F.col(text)), wanted)).select(*keys, F.posexplode(F.split(text, r"\r\n|[\r\n]")).alias("at", "line"))
+    found = F.instr(same(F.col("line")), query.lower() if ignore_case else query)
+    return lines.where(F.contains(same(F.col("line")), wanted)).select(*keys, (F.col("at") + 1).alias("line_no"), found.alias("column_no"), F.rtrim("line").alias("line"))
+
+
 def grep(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """(path, line_no, column_no, line) of every line of the files below a path that holds a text, counted from 1."""
+    """(path, line_no, column_no, line) of every line of the files below a path that holds a text."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = files.where(F.contains("value", F.lit(query))).select("path", F.posexplode(F.split("value", r"\r\n|[\r\n]")).alias("at", "line"))
-    return lines.where(F.contains("line", F.lit(query))).select("path", (F.col("at") + 1).alias("line_no"), F.instr("line", query).alias("column_no"), F.rtrim("line").alias("line"))
+    return matching_lines(files, ["path"], "value", query)
