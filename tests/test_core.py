@@ -8,9 +8,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from trialloom.functions import lexicon, rules, sections, structured
+from trialloom.functions import lexicon, retrieval_text, rules, sections, structured, taxonomy
 from trialloom.functions import text as T
-from trialloom.operators import cases, fusion, nested, positions, ranking, relational, units
+from trialloom.operators import cases, evaluation, fusion, nested, positions, ranking, relational, units
 from trialloom.plans import knowledge_base as kb
 from trialloom.plans.stages import stage
 from trialloom.queries.problems import ALIASES, STUDY
@@ -71,6 +71,54 @@ def test_text_functions(spark, column, want):
     assert one(spark, column()) == want
 
 
+# Taxonomy and search texts --------------------------------------------------------------------
+
+
+def test_taxonomy_rules(spark):
+    def of(text, specialty=None):
+        found = taxonomy.classify(F.lit(text).cast("string"), F.lit(specialty).cast("string"))
+        row = spark.range(1).select(*[v.alias(k) for k, v in found.items()]).first()
+        return [list(row[k]) for k in ("clinical_domains", "patient_segments", "protocol_buckets", "calculator_families")]
+
+    assert of(None) == [[], [], [], ["risk_score"]]
+    assert of("A 0 year-old and a 70-year-old") == [[], ["neonatal"], [], ["risk_score"]]
+    assert of("Severity of sepsis in an 80-year-old") == [["infectious_disease"], ["older_adult"], ["admission_triage"], ["severity_score"]]
+    assert of("chance", "Pediatrics and General Surgery") == [["surgery_perioperative"], ["pediatric", "surgical_candidate"], ["perioperative_management"], ["treatment_selection"]]
+    assert of("Bleeding; stem-cell  transplant")[1:3] == [["transplant_patient"], ["monitoring_followup"]]
+
+
+def test_query_channels(spark):
+    of = lambda stage, intent: one(spark, taxonomy.query_channel(F.lit(stage).cast("string"), F.lit(intent).cast("string")))
+    assert [of(*x) for x in (("case_summary_x", ""), (None, "case_summary_dense"), ("problem_anchor_1", "odd"), ("risk_hint", ""), ("risk_seed_2", None), ("x", "clinical_question"), ("Coarse_Question", ""), ("", "calculator_classification"), ("", "protocol_matching"), (None, None))] == [
+        "case_summary", "case_summary", "problem_anchor", "risk_hint", "risk_hint", "case_summary", "case_summary", "calculator_category", "protocol_mapping", "general",
+    ]
+
+
+def test_metrics_of_cases(frame):
+    cases = frame([("a", ["t1", "t9"], ["Gout "], None), ("b", None, ["gout"], "boom"), ("c", ["t1"], None, None)], "k string, must array<string>, conditions array<string>, error string").selectExpr("*", "array('t2') acceptable", "cast(null as array<string>) interventions")
+    candidates = frame([("a", "t1", 3, "acute GOUT", True), ("a", "t2", 11, "gout", None), ("a", "t9", 15, None, False), ("c", "t2", 1, "x", None)], "k string, t string, rank int, text string, is_open boolean")
+    criteria = frame([("a", "t1", "met", 0), ("a", "t1", " Unknown", 0), ("a", "t2", "unknown", None), ("c", "t2", None, None)], "k string, t string, label string, questions int")
+    metrics = evaluation.case_metrics(cases, candidates, criteria, "k", "t")
+    out = {r.k: r for r in metrics.collect()}
+    a = out["a"]
+    assert (a.n_candidates, a.must_hits_10, a.must_hits_20, a.recall_10, a.recall_20, a.acceptable_hits_10, a.condition_matches_10, a.open_10, a.n_met, a.n_unknown) == (3, 1, 2, 0.5, 1.0, 0, 1, 1, 1, 2)
+    assert a.failure_buckets == ["too_many_unknowns", "missing_questions_empty_despite_unknowns"]
+    assert out["b"].failure_buckets == ["protocol_exception", "no_candidates"] and out["b"].recall_10 is None
+    assert out["c"].failure_buckets == ["must_retrieve_miss", "no_recruiting_trials_top10", "criteria_parse_empty"]
+    total = {r["item"]: r.value for r in evaluation.summary(metrics, ["n_candidates", "recall_20"]).collect()}
+    assert total["case_count"] == 3 and total["failed_case_count"] == 1 and total["mean_n_candidates"] == pytest.approx(4 / 3) and total["mean_recall_20"] == pytest.approx(1 / 3) and total["bucket_no_candidates"] == 1
+    empty = {r["item"]: r.value for r in evaluation.summary(metrics.limit(0), ["recall_20"]).collect()}
+    assert empty == {"case_count": 0.0, "failed_case_count": 0.0, "completed_case_count": 0.0, "mean_recall_20": 0.0}
+
+
+def test_search_texts_of_nothing(spark):
+    none = F.lit(None).cast("array<string>")
+    labels = dict.fromkeys(("clinical_domains", "patient_segments", "protocol_buckets", "calculator_families"), none)
+    assert one(spark, retrieval_text.calculator_text({}, labels, none)) == "" and one(spark, retrieval_text.trial_text({}, {})) == ""
+    text = one(spark, retrieval_text.calculator_text({"title": F.lit(" A  b "), "utility": F.lit("Use. It.")}, labels | {"calculator_families": F.array(F.lit("risk_score"), F.lit("x_y"))}, F.array(*[F.lit(str(i)) for i in range(20)])))
+    assert text == "title: A b\ncalculator family: risk prediction, x y\ninputs: " + ", ".join(map(str, range(12))) + "\ndecision focus: Use."
+
+
 # Positions ------------------------------------------------------------------------------------
 
 

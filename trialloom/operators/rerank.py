@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trialloom.functions.text import normalize_whitespace
 from trialloom.operators import fusion
@@ -138,3 +139,31 @@ def retrieve(group: str, item: str, catalog: DataFrame, bm25: Callable[[], DataF
     wide = scored.join(catalog, item, "left")
     order = [F.round("score", RANK_DIGITS).desc(), F.desc("n_channels"), F.lower(F.coalesce("title", F.lit(""))), F.col(item)]
     return top_k(wide, [group], order, k).drop("n_channels")
+
+
+def parameter_rerank(rows: DataFrame, group: str, item: str, names: DataFrame, terms: DataFrame, channels: tuple[str, str] = ("bm25", "vector")) -> DataFrame:
+    """(group, item, rank, score, overlap, ratio, channels) of all items of two channels' lists, by the parameters they share with a case.
+
+    Two points a shared parameter, 1.5 times the share of the item's parameters
+    that are shared, .75 a channel, and in each channel its place from the end of the list (1 for the
+    first) and .35 times its score over the list's best. Placed by score,
+    channels, overlap, rank in each channel, first appearance over both, title and item. ``rows``
+    has group, item, channel, rank and score of lists of bounded length; ``names`` item, title and an array
+    ``parameters``; ``terms`` group and an array ``terms``. Names are compared in
+    lower case with blanks and dashes as '_'; a null array counts as empty.
+    """
+    flat = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda t: F.regexp_replace(F.lower(F.trim(t)), r"[\s_-]+", "_")), lambda t: t != "")
+    over = Window.partitionBy(group, "channel")
+    kept = rows.where(F.col("channel").isin(*channels)).withColumns({"__size": F.count(F.lit(1)).over(over), "__top": F.max(F.coalesce("score", F.lit(0.0))).over(over)})
+    signal = (F.col("__size") - F.col("rank") + 1) / F.col("__size") + F.when(F.col("__top") > 0, F.coalesce("score", F.lit(0.0)) / F.col("__top") * 0.35).otherwise(0.0)
+    ranks = [F.coalesce(F.min(F.when(F.col("channel") == c, F.col("rank"))), F.lit(1_000_000_000)).alias(f"__r{i}") for i, c in enumerate(channels)]
+    per = kept.groupBy(group, item).agg(F.sum(signal).alias("__signal"), F.countDistinct("channel").alias("n_channels"), F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("channels"), *ranks)
+    wide = per.join(names.select(item, "title", flat(F.col("parameters")).alias("__own")), item, "left").join(terms.select(group, flat(F.col("terms")).alias("__asked")), group, "left")
+    own, asked = (F.coalesce(c, F.array().cast("array<string>")) for c in ("__own", "__asked"))
+    overlap = F.size(F.filter(own, lambda p: F.array_contains(asked, p)))
+    wide = wide.withColumn("overlap", overlap).withColumn("ratio", F.coalesce(F.try_divide(overlap, F.nullif(F.size(F.array_distinct(own)), F.lit(0))), F.lit(0.0)))
+    wide = wide.withColumn("score", F.col("overlap") * 2.0 + F.col("ratio") * 1.5 + F.col("n_channels") * 0.75 + F.col("__signal"))
+    first = F.least(F.struct("__r0", F.lit(0)), F.struct(F.col("__r1").alias("__r0"), F.lit(1)))
+    order = [F.round("score", RANK_DIGITS).desc(), F.desc("n_channels"), F.desc("overlap"), F.col("__r0"), F.col("__r1"), first, F.lower(F.coalesce("title", F.lit(""))), F.col(item)]
+    placed = wide.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return placed.select(group, item, "rank", "score", "overlap", "ratio", "channels")

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.functions import lexicon, rules, sections, structured
+from trialloom.functions import retrieval_text as texts
+from trialloom.functions import taxonomy as taxonomies
 from trialloom.functions import text as T
 from trialloom.operators import relational
 from trialloom.plans import knowledge_base as kb
@@ -257,6 +259,62 @@ def age_sex(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", age.alias("age"), sex.alias("sex"))
 
 
+_SPECIALTY = ("Pediatrics", "General Surgery", "Emergency Medicine", "Oncology; geriatrics", "Intensive Care")
+_AT = "list_extract([" + ", ".join(f"'{x}'" for x in _SPECIALTY) + "], CAST(doc_id % 7 + 1 AS INT))"
+
+
+def _flat_sql(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{T.BLANK}+', ' ', 'g'))"
+
+
+def _first_sql(x: str) -> str:
+    sentence = f"coalesce(nullif(regexp_extract({_flat_sql(x)}, '^(.*?[.!?])( |$)', 1), ''), {_flat_sql(x)})"
+    return f"CASE WHEN length({sentence}) <= 220 THEN {sentence} ELSE regexp_replace(substring({sentence}, 1, 217), '[ ,;:]+$', '') || '...' END"
+
+
+def _found_sql(mapping: dict[str, tuple[str, ...]]) -> str:
+    cases = ", ".join(f"CASE WHEN regexp_matches(t, '{'|'.join(lexicon.keyword_pattern(k) for k in words)}') THEN '{label}' END" for label, words in mapping.items())
+    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH s AS (SELECT doc_id, lower(concat_ws(' ', trim(coalesce(text, '')), coalesce({_AT}, ''))) AS t, lower(coalesce({_AT}, '')) AS sp FROM documents),
+l AS (SELECT doc_id, {_found_sql(taxonomies.DOMAINS)} AS d, {_found_sql(taxonomies.SEGMENTS)} AS p, {_found_sql(taxonomies.BUCKETS)} AS b, {_found_sql(taxonomies.FAMILIES)} AS f,
+  [{', '.join(f"CASE WHEN contains(sp, '{w}') THEN '{x}' END" for w, x in taxonomies.SPECIALTIES)}] AS a, TRY_CAST(nullif(regexp_extract(t, '{taxonomies.AGE}', 1), '') AS INT) AS age FROM s),
+g AS (SELECT doc_id, d, list_filter(p || a || [CASE WHEN age < 1 THEN 'neonatal' WHEN age < 18 THEN 'pediatric' WHEN age >= 65 THEN 'older_adult' END], lambda x: x IS NOT NULL) AS p, b, CASE WHEN len(f) = 0 THEN ['risk_score'] ELSE f END AS f FROM l)
+SELECT doc_id, array_to_string(list_sort(d), ',') AS clinical_domains, array_to_string(list_sort(list_distinct(p)), ',') AS patient_segments, CASE WHEN len(b) > 0 THEN array_to_string(list_sort(b), ',') ELSE coalesce({', '.join(f"CASE WHEN list_contains(f, '{x}') THEN '{y}' END" for x, y in taxonomies.FAMILY_BUCKETS)}, '') END AS protocol_buckets, array_to_string(list_sort(f), ',') AS calculator_families FROM g""")
+def taxonomy_full(spark, sf_dir):
+    """Four kinds of labels of every document, a specialty by its number."""
+    special = F.get(F.array(*[F.lit(x) for x in _SPECIALTY]), (F.col("doc_id") % 7).cast("int"))
+    found = taxonomies.classify(F.col("text"), special)
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[F.array_join(F.array_sort(v), ",").alias(k) for k, v in found.items()])
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'risk_hint' WHEN 'signup' THEN 'problem_anchor' WHEN 'purchase' THEN CASE WHEN user_id % 2 = 0 THEN 'case_summary' ELSE 'protocol_mapping' END ELSE 'general' END AS channel FROM events""")
+def query_channel(spark, sf_dir):
+    kind = F.col("event_type")
+    stage = F.when(kind == "click", "Risk_Hint_3").when(kind == "signup", " x").when((kind == "purchase") & (F.col("user_id") % 2 == 0), "coarse_question ")
+    intent = F.when(kind == "signup", "PROBLEM_anchor").when((kind == "purchase") & (F.col("user_id") % 2 == 1), "protocol_matching").otherwise("none")
+    return table(spark, sf_dir, "events").select("event_id", taxonomies.query_channel(stage, intent).alias("channel"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_flat_sql('title')} AS t, {_first_sql('text')} AS s, source FROM documents), l AS (SELECT doc_id, t, s FROM d)
+SELECT doc_id, concat_ws(chr(10), CASE WHEN t <> '' THEN 'title: ' || t END, CASE WHEN s <> '' THEN 'primary task: ' || s END, CASE WHEN trim(coalesce(source, '')) <> '' THEN 'specialty: ' || {_flat_sql('source')} END, CASE WHEN doc_id % 2 = 0 THEN 'clinical domain: heart valve' END,
+  'calculator family: risk prediction, odd family', CASE WHEN doc_id % 3 = 0 THEN 'protocol focus: screening and diagnosis' END, 'inputs: age, x' || doc_id, CASE WHEN s <> '' THEN 'decision focus: ' || s ELSE 'decision focus: Use it.' END) AS calculator,
+  concat_ws(chr(10), CASE WHEN t <> '' THEN 'title: ' || t END, CASE WHEN t <> '' THEN 'conditions: ' || t || ', Gout' ELSE 'conditions: Gout' END, CASE WHEN {_flat_sql('source')} <> '' THEN 'study profile: ' || {_flat_sql('source')} || '; II' ELSE 'study profile: II' END, CASE WHEN {_flat_sql('text')} <> '' THEN 'summary: ' || {_flat_sql('text')} END) AS trial FROM l JOIN documents USING (doc_id)""")
+def retrieval_text(spark, sf_dir):
+    """Search texts of calculators and trials made of the documents' fields."""
+    strings = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    none = F.lit(None).cast("array<string>")
+    labels = {
+        "clinical_domains": F.when(F.col("doc_id") % 2 == 0, strings("heart_valve")), "patient_segments": none, "calculator_families": strings("risk_score", "odd_family"),
+        "protocol_buckets": F.when(F.col("doc_id") % 3 == 0, strings("screening_diagnosis")),
+    }
+    fields = {"title": F.col("title"), "purpose": F.col("text"), "specialty": F.col("source"), "interpretation": F.col("text"), "utility": F.lit("Use it. Often.")}
+    calculator = texts.calculator_text(fields, labels, F.array(F.lit("age"), F.concat(F.lit("x"), F.col("doc_id").cast("string"))))
+    trial = texts.trial_text({"title": F.col("title"), "study_type": F.col("source"), "phase": F.lit("II"), "brief_summary": F.col("text")}, {"conditions": F.array("title", F.lit("Gout"), "title", F.lit(" ")), "keywords": none})
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "title", "text", "source")).select("doc_id", calculator.alias("calculator"), trial.alias("trial"))
+
+
 # Structured cases and score rules -------------------------------------------------------------
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.functions import text as T
-from trialloom.operators import fusion, ranking, relational, rerank
+from trialloom.operators import evaluation, fusion, ranking, relational, rerank
 from trialloom.queries.registry import Registry
-from trialloom.queries.retrieval import _CHUNKS, _FILLED, _HITS, _KIND, _NORM, chunk_fields, chunks, kind, ranked_hits
+from trialloom.queries.retrieval import _CHUNKS, _FILLED, _HITS, _KIND, _NORM, DEPTH, chunk_fields, chunks, hits, kind, ranked_hits
 from trialloom.queries.texts import duck_tokens
 from trialloom.session import spread, table
 
@@ -61,7 +61,7 @@ m AS (SELECT best.*, coalesce(conditions, []) AS conditions,
   list_filter({_LIST(RULED_OUT)}, lambda t: {_IN('t', 'texts')}) AS mx FROM best LEFT JOIN t USING (nct_id) LEFT JOIN p USING (case_id)),
 s AS (SELECT case_id, nct_id, n_items, s1 + 0.35 * s2 + 0.2 * s3 AS support, {_FINE} AS coverage, 0.08 * least(len(mc), 3) + 0.06 * least(len(mi), 3) + 0.07 * least(len(mn), 2) AS gain,
   CASE WHEN len(conditions) > 0 AND len(mc) = 0 THEN 0.55 ELSE 0 END + CASE WHEN len(mi) = 0 THEN 0.9 ELSE 0 END + CASE WHEN len(conditions) > 0 AND (len(mc) = 0 OR len(mi) = 0) THEN 0.45 ELSE 0 END + 0.45 * least(len(mx), 2) AS loss FROM m)
-SELECT case_id, nct_id, rank, n_items, round(CAST(support AS DOUBLE), 6) AS support, round(CAST(coverage AS DOUBLE), 6) AS coverage, round(CAST(gain AS DOUBLE), 6) AS gain, round(CAST(loss AS DOUBLE), 6) AS loss, round(round(CAST(support + coverage + gain - loss AS DOUBLE), 9), 6) AS score
+SELECT case_id, nct_id, rank, n_items, round(CAST(support AS DOUBLE), 6) AS support, round(CAST(coverage AS DOUBLE), 6) AS coverage, round(CAST(gain AS DOUBLE), 6) AS gain, round(CAST(loss AS DOUBLE), 6) AS loss, round(CAST(support + coverage + gain - loss AS DOUBLE), 9) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(support + coverage + gain - loss, 9) DESC, n_items DESC, nct_id) AS rank FROM s) WHERE rank <= 10""")
 def trial_rerank(spark, sf_dir):
     """Support, coverage, matched and ruled-out terms of the ten best trials of each case, from the given hits."""
@@ -77,7 +77,7 @@ def trial_rerank(spark, sf_dir):
     profile = {"conditions": F.col("conditions"), **{k: _texts(v) for k, v in ASKED.items()}}
     scored = rerank.rerank(wide, profile, {"conditions": F.array(F.coalesce("title", F.lit("")))}, F.col("texts"), _texts(RULED_OUT))
     placed = ranking.top_k(scored, ["case_id"], [F.round("score", 9).desc(), F.desc("n_items"), F.col("nct_id")], K)
-    return placed.withColumn("score", F.round("score", 9)).select("case_id", "nct_id", _long("rank"), _long("n_items"), *_rounded("support", "coverage", "gain", "loss", "score"))
+    return placed.withColumn("score", F.round("score", 9)).select("case_id", "nct_id", _long("rank"), _long("n_items"), *_rounded("support", "coverage", "gain", "loss"), "score")
 
 
 @query(f"""WITH h AS (SELECT case_id, coalesce(purpose, '') AS purpose, channel, chunk_id, max(score + 0.0) AS score FROM (SELECT *, row_number() OVER (PARTITION BY hit_id ORDER BY ingested_at DESC) AS rn FROM chunk_hits)
@@ -220,3 +220,72 @@ def two_stage_texts(spark, sf_dir):
     fine = ranking.ranked(ranking.bm25(fields, "chunk_id", ranking.CHUNK_WEIGHTS, spans.select("span_id", "text"), "span_id", "text", candidates=within), "span_id", "chunk_id", 40)
     found = ranking.top_k(trials(fine.join(shown, "chunk_id", "left"), "fine"), ["span_id"], [F.round("score", 9).desc(), F.col("nct_id")], K)
     return found.select("span_id", "nct_id", _long("rank"), *_rounded("support", "score"))
+
+
+_TERMS = {0: ("Eligibility text", "primary-outcome measures"), 1: ("interventions", "ARM groups", "brief_summary")}
+_KEYED = "list_filter(list_transform(coalesce({0}, []), lambda t: regexp_replace(lower(trim(t)), '[\\s_-]+', '_', 'g')), lambda t: t <> '')"
+_ODD = "(ascii(right(case_id, 1)) % 2 = 1)"
+
+
+@query(f"""WITH {_HITS}, c AS ({_CHUNKS}), k AS (SELECT *, count(*) OVER w AS size, max(score) OVER w AS top FROM ranked WHERE channel IN ('bm25', 'dense') WINDOW w AS (PARTITION BY case_id, channel)),
+p AS (SELECT case_id, chunk_id, sum((size - rank + 1) / CAST(size AS DOUBLE) + CASE WHEN top > 0 THEN score / top * 0.35 ELSE 0 END) AS signal, count(*) AS n, string_agg(channel, ',' ORDER BY channel) AS channels,
+  coalesce(min(rank) FILTER (channel = 'bm25'), 1000000000) AS r0, coalesce(min(rank) FILTER (channel = 'dense'), 1000000000) AS r1 FROM k GROUP BY ALL),
+w AS (SELECT p.*, lower(coalesce(title, '')) AS title, {_KEYED.format("source_fields")} AS own, CASE WHEN {_ODD} THEN {_KEYED.format(_LIST(_TERMS[1]))} ELSE {_KEYED.format(_LIST(_TERMS[0]))} END AS asked FROM p LEFT JOIN c USING (chunk_id)),
+o AS (SELECT *, len(list_filter(own, lambda x: list_contains(asked, x))) AS overlap FROM w),
+s AS (SELECT *, CASE WHEN len(own) = 0 THEN 0.0 ELSE CAST(overlap AS DOUBLE) / len(list_distinct(own)) END AS ratio FROM o), t AS (SELECT *, overlap * 2.0::DOUBLE + ratio * 1.5::DOUBLE + n * 0.75::DOUBLE + signal AS score FROM s)
+SELECT case_id, chunk_id, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, n DESC, overlap DESC, r0, r1, least(r0 * 2, r1 * 2 + 1), title, chunk_id) AS rank, round(score, 9) AS score, overlap, round(ratio, 6) AS ratio, channels FROM t""")
+def param_rerank(spark, sf_dir):
+    """The pool of both channels of each case, by the source fields that chunks share with a case's terms."""
+    rows = ranked_hits(spark, sf_dir)
+    names = chunks(spark, sf_dir, "title", "source_fields").select("chunk_id", "title", F.col("source_fields").alias("parameters"))
+    terms = rows.select("case_id").distinct().select("case_id", F.when(F.ascii(F.right("case_id", F.lit(1))) % 2 == 1, _texts(_TERMS[1])).otherwise(_texts(_TERMS[0])).alias("terms"))
+    out = rerank.parameter_rerank(rows, "case_id", "chunk_id", names, terms, ("bm25", "dense")).withColumn("score", F.round("score", 9))
+    return out.select("case_id", "chunk_id", _long("rank"), "score", *_rounded("ratio"), _long("overlap"), "channels")
+
+
+# Evaluation -----------------------------------------------------------------------------------
+
+_MEANS = ["n_candidates", "condition_matches_10", "intervention_matches_10", "open_10", "n_assessed", "n_criteria", "n_unknown", "n_questions", "recall_10", "recall_20"]
+_EVAL = f"""WITH {_HITS}, best AS (SELECT case_id, split_part(chunk_id, '::', 1) AS nct_id, max(score) AS score FROM ranked WHERE channel = 'bm25' GROUP BY ALL),
+cand AS (SELECT case_id, nct_id, row_number() OVER (PARTITION BY case_id ORDER BY round(score, 9) DESC, nct_id) AS rank FROM best), titles AS (SELECT nct_id, min(title) AS text FROM ({_CHUNKS}) GROUP BY nct_id),
+must AS (SELECT case_id, list(DISTINCT split_part(chunk_id, '::', 1)) AS must FROM hits WHERE channel = 'hybrid' AND score > 0.5 GROUP BY case_id),
+cases AS (SELECT c.case_id, must, CASE WHEN {_ODD.replace('case_id', 'c.case_id')} THEN ['fibrosis', ' '] END AS conditions, ['IN'] AS interventions, CASE WHEN ends_with(c.case_id, '7') THEN 'timed out' END AS error FROM (SELECT DISTINCT case_id FROM chunk_hits UNION SELECT DISTINCT case_id FROM evidence_spans) c LEFT JOIN must USING (case_id)),
+crit AS (SELECT case_id, source AS item, CASE WHEN span_id % 5 = 0 THEN NULL WHEN value IS NULL OR trim(value) = '' THEN 'unknown' WHEN unit IS NULL THEN 'not_met' ELSE 'met' END AS label, CASE WHEN span_id % 3 = 0 THEN 1 ELSE 0 END AS questions FROM evidence_spans),
+f AS (SELECT cand.case_id, count(*) AS n_candidates, count(DISTINCT CASE WHEN rank <= 10 AND list_contains(must, nct_id) THEN nct_id END) AS must_hits_10, count(DISTINCT CASE WHEN rank <= 20 AND list_contains(must, nct_id) THEN nct_id END) AS must_hits_20,
+  0 AS acceptable_hits_10, sum((rank <= 10 AND conditions IS NOT NULL AND contains(lower(coalesce(text, '')), 'fibrosis'))::INT) AS condition_matches_10, sum((rank <= 10 AND contains(lower(coalesce(text, '')), 'in'))::INT) AS intervention_matches_10,
+  sum((rank <= 10 AND right(nct_id, 1) IN ('1', '2', '3'))::INT) AS open_10 FROM cand JOIN cases USING (case_id) LEFT JOIN titles USING (nct_id) GROUP BY ALL),
+j AS (SELECT case_id, count(DISTINCT item) AS n_assessed, count(label) AS n_criteria, sum((coalesce(label, '') = 'met')::INT) AS n_met, sum((coalesce(label, '') = 'not_met')::INT) AS n_not_met, sum((coalesce(label, '') = 'unknown')::INT) AS n_unknown, sum(questions) AS n_questions FROM crit GROUP BY ALL),
+m AS (SELECT cases.case_id, coalesce(error, '') AS error, coalesce(len(must), 0) AS n_must, conditions IS NOT NULL AS wants, {', '.join(f'coalesce({x}, 0) AS {x}' for x in ('n_candidates', 'must_hits_10', 'must_hits_20', 'acceptable_hits_10', 'condition_matches_10', 'intervention_matches_10', 'open_10', 'n_assessed', 'n_criteria', 'n_met', 'n_not_met', 'n_unknown', 'n_questions'))} FROM cases LEFT JOIN f USING (case_id) LEFT JOIN j USING (case_id)),
+e AS (SELECT *, CASE WHEN n_must > 0 THEN CAST(must_hits_10 AS DOUBLE) / n_must END AS recall_10, CASE WHEN n_must > 0 THEN CAST(must_hits_20 AS DOUBLE) / n_must END AS recall_20, list_filter([CASE WHEN error <> '' THEN 'protocol_exception' END, CASE WHEN n_candidates = 0 THEN 'no_candidates' END, CASE WHEN n_must > 0 AND must_hits_20 = 0 THEN 'must_retrieve_miss' END,
+  CASE WHEN wants AND n_candidates > 0 AND condition_matches_10 = 0 THEN 'wrong_condition_top10' END, CASE WHEN n_candidates > 0 AND open_10 = 0 THEN 'no_recruiting_trials_top10' END, CASE WHEN n_candidates > 0 AND n_assessed = 0 THEN 'eligibility_not_assessed' END, CASE WHEN n_assessed > 0 AND n_criteria = 0 THEN 'criteria_parse_empty' END,
+  CASE WHEN n_unknown > n_met + n_not_met THEN 'too_many_unknowns' END, CASE WHEN n_unknown > 0 AND n_questions = 0 THEN 'missing_questions_empty_despite_unknowns' END], lambda x: x IS NOT NULL) AS buckets FROM m)"""
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_hits(spark, sf_dir)
+    best = found.where("channel = 'bm25'").groupBy("case_id", _trial().alias("nct_id")).agg(F.max("score").alias("score"))
+    placed = ranking.top_k(best, ["case_id"], [F.round("score", 9).desc(), F.col("nct_id")], DEPTH)
+    titles = chunks(spark, sf_dir, "nct_id", "title").groupBy("nct_id").agg(F.min("title").alias("text"))
+    candidates = placed.join(titles, "nct_id", "left").withColumn("is_open", F.right("nct_id", F.lit(1)).isin("1", "2", "3"))
+    must = hits(spark, sf_dir).where("channel = 'hybrid' AND score > 0.5").groupBy("case_id").agg(F.collect_set(_trial()).alias("must"))
+    spans = table(spark, sf_dir, "evidence_spans").select("span_id", "case_id", "source", "value", "unit")
+    named = table(spark, sf_dir, "chunk_hits").select("case_id").union(spans.select("case_id")).distinct()
+    cases = named.join(must, "case_id", "left").select(
+        "case_id", "must", F.array().cast("array<string>").alias("acceptable"), F.when(F.ascii(F.right("case_id", F.lit(1))) % 2 == 1, _texts(("fibrosis", " "))).alias("conditions"), _texts(("IN",)).alias("interventions"),
+        F.when(F.col("case_id").endswith("7"), "timed out").alias("error"),
+    )
+    label = F.when(F.col("span_id") % 5 != 0, F.when(F.trim(F.coalesce("value", F.lit(""))) == "", "unknown").when(F.col("unit").isNull(), "not_met").otherwise("met"))
+    criteria = spans.select("case_id", F.col("source").alias("nct_id"), label.alias("label"), (F.col("span_id") % 3 == 0).cast("int").alias("questions"))
+    return evaluation.case_metrics(cases, candidates, criteria, "case_id", "nct_id")
+
+
+@query(f"{_EVAL} SELECT case_id, n_candidates, must_hits_10, must_hits_20, condition_matches_10, intervention_matches_10, open_10, n_assessed, n_criteria, n_met, n_not_met, n_unknown, n_questions, round(recall_10, 6) AS recall_10, round(recall_20, 6) AS recall_20, array_to_string(buckets, ',') AS failure_buckets FROM e")
+def eval_metrics(spark, sf_dir):
+    whole = [c for c in ("n_candidates", "must_hits_10", "must_hits_20", "condition_matches_10", "intervention_matches_10", "open_10", "n_assessed", "n_criteria", "n_met", "n_not_met", "n_unknown", "n_questions")]
+    return _metrics(spark, sf_dir).select("case_id", *[_long(c) for c in whole], *_rounded("recall_10", "recall_20"), F.array_join("failure_buckets", ",").alias("failure_buckets"))
+
+
+@query(f"""{_EVAL} SELECT item, round(value, 6) AS value FROM (SELECT 'case_count' AS item, CAST(count(*) AS DOUBLE) AS value FROM e UNION ALL SELECT 'failed_case_count', CAST(sum((error <> '')::INT) AS DOUBLE) FROM e UNION ALL SELECT 'completed_case_count', CAST(sum((error = '')::INT) AS DOUBLE) FROM e
+UNION ALL {' UNION ALL '.join(f"SELECT 'mean_{x}', avg(coalesce(CAST({x} AS DOUBLE), 0)) FROM e" for x in _MEANS)} UNION ALL SELECT 'bucket_' || u.b, CAST(count(*) AS DOUBLE) FROM e, LATERAL (SELECT unnest(buckets) AS b) u GROUP BY ALL)""")
+def eval_summary(spark, sf_dir):
+    return evaluation.summary(_metrics(spark, sf_dir), _MEANS).withColumn("value", F.round("value", 6))

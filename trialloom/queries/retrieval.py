@@ -167,16 +167,6 @@ def merge_primary(spark, sf_dir):
     return merged.select("case_id", "chunk_id", F.col("score").alias("first_score"), F.array_join(F.array_sort("listed"), ",").alias("channels"))
 
 
-@query(f"""WITH {_HITS}, pool AS (SELECT case_id, channel, count(*) AS size, max(score) AS top FROM ranked WHERE channel IN ('bm25', 'dense') GROUP BY ALL)
-SELECT case_id, chunk_id, round(sum(0.75 + (size - rank + 1) / CAST(size AS DOUBLE) + CASE WHEN top > 0 THEN 0.35 * score / top ELSE 0 END), 9) AS score
-FROM ranked JOIN pool USING (case_id, channel) GROUP BY ALL""")
-def param_rerank(spark, sf_dir):
-    rows = ranked_hits(spark, sf_dir).where(F.col("channel").isin(CHANNELS))
-    pool = rows.groupBy("case_id", "channel").agg(F.count(F.lit(1)).alias("size"), F.max("score").alias("top"))
-    part = 0.75 + (F.col("size") - F.col("rank") + 1) / F.col("size") + F.when(F.col("top") > 0, F.col("score") / F.col("top") * 0.35).otherwise(0.0)
-    return rows.join(pool, ["case_id", "channel"]).groupBy("case_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"))
-
-
 # BM25 ---------------------------------------------------------------------------------------
 
 _T = duck_tokens
@@ -250,7 +240,18 @@ def corpus_stats(spark, sf_dir):
     return df.withColumn("field", F.lit("text")).join(F.broadcast(stats), "field").select("term", "df", "n_docs", F.round("avg_length", 6).alias("avg_length"))
 
 
-@query()
+_NAME = "lower(trim(regexp_replace(n, '\\s+', ' ', 'g')))"
+_HIT = f"""coalesce(n IS NOT NULL AND CASE WHEN regexp_matches({_NAME}, '^[a-z0-9]+$') THEN list_contains(qt, {_NAME})
+  ELSE len({_T(_NAME)}) > 0 AND (contains(lower(text), {_NAME}) OR len(list_filter({_T(_NAME)}, lambda x: NOT list_contains(qt, x))) = 0) END, FALSE)"""
+
+
+@query(f"""WITH c AS ({_CHUNKS}), f AS (SELECT chunk_id, 'title' AS field, 3.8 AS w, {_T('title')} AS t FROM c UNION ALL SELECT chunk_id, 'text', 1.2, {_T('text')} FROM c),
+st AS (SELECT field, count(*) AS n, avg(len(t)) AS av FROM f GROUP BY field), p AS (SELECT chunk_id, field, w, len(t) AS dl, u.term, count(*) AS tf FROM f, LATERAL (SELECT unnest(t) AS term) u GROUP BY ALL),
+df AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL), a AS (SELECT span_id, text, {_T('text')} AS qt FROM evidence_spans WHERE span_id % 100 = 0),
+q AS (SELECT span_id, u.term, count(*) AS qc FROM a, LATERAL (SELECT unnest(qt) AS term) u GROUP BY ALL),
+s AS (SELECT span_id, chunk_id, sum(w * qc * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * CASE WHEN av > 0 THEN dl / av ELSE 1 END))) AS score FROM q JOIN p USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY ALL),
+r AS (SELECT span_id, chunk_id, score + len(list_filter([title], lambda n: {_HIT})) + 0.35 * len(list_filter(coalesce(source_fields, []), lambda n: {_HIT})) AS score FROM s JOIN (SELECT chunk_id, title, source_fields FROM c) USING (chunk_id) JOIN a USING (span_id))
+SELECT span_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""")
 def bm25_params(spark, sf_dir):
     """Chunk names found in a query raise its BM25 score: 1 per title hit, .35 per source field hit."""
     asked = _asked(spark, sf_dir)
@@ -422,13 +423,6 @@ def failure_buckets(spark, sf_dir):
     return table(spark, sf_dir, "evidence_spans").select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT count(*) AS n_cases, round(avg(n), 6) AS mean_hits, round(avg(coalesce(s, 0)), 6) AS mean_best, sum(CASE WHEN s IS NULL THEN 1 ELSE 0 END) AS n_failed
-FROM (SELECT case_id, count(*) AS n, max(CASE WHEN isnan(score) THEN NULL ELSE score END) AS s FROM chunk_hits GROUP BY case_id)""")
-def eval_summary(spark, sf_dir):
-    per = table(spark, sf_dir, "chunk_hits").groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(~F.isnan("score"), F.col("score"))).alias("s"))
-    return per.agg(F.count(F.lit(1)).alias("n_cases"), F.round(F.avg("n"), 6).alias("mean_hits"), F.round(F.avg(F.coalesce("s", F.lit(0.0))), 6).alias("mean_best"), F.sum(F.col("s").isNull().cast("int")).alias("n_failed"))
-
-
 @query(f"""WITH c AS ({_CHUNKS}), f AS (SELECT nct_id, u.f AS f, min({_KIND} || chunk_id) AS o FROM c, LATERAL (SELECT unnest(source_fields) AS f) u GROUP BY ALL)
 SELECT nct_id, string_agg(f, ',' ORDER BY f) AS fields FROM f GROUP BY nct_id""")
 def dept_merge(spark, sf_dir):
