@@ -103,10 +103,9 @@ def _cut(sources: DataFrame, targets: dict[str, float] | None) -> tuple[DataFram
         wanted = F.when(F.col("source").isNotNull(), wanted)
     sources = sources.withColumn("__wanted", F.coalesce(wanted, F.lit(0.0)))
     got = sources.agg(F.sum("held").alias("all"), F.min(F.when((F.col("held") > 0) & (F.col("__wanted") > 0), F.col("held") / F.col("__wanted"))).alias("reach")).first()
-    if targets:
-        sources = sources.withColumn("__cut", F.least(F.col("held").cast("double"), F.col("__wanted") * float(got["reach"] or 0.0)))
-    else:
-        sources = sources.withColumn("__cut", F.col("held").cast("double"))
+    if not targets:
+        return sources.drop("__wanted").withColumn("__cut", F.col("held").cast("double")), int(got["all"] or 0), 0
+    sources = sources.withColumn("__cut", F.least(F.col("held").cast("double"), F.col("__wanted") * float(got["reach"] or 0.0)))
     inside = sources.agg(F.sum("__cut")).first()[0] or 0.0
     return sources.drop("__wanted"), int(inside), int(got["all"] or 0) - int(inside)
 
