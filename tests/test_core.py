@@ -581,6 +581,25 @@ def test_case_columns(spark):
     assert one(spark, cases.contained(F.array(F.lit("Lung"), F.lit("x"), F.lit(None)), F.array(F.lit("lung cancer"), F.lit(""), F.lit(None)))) == ["Lung"]
 
 
+def test_problem_anchors_and_summaries(spark):
+    of = lambda *problems: one(spark, cases.problem_anchors(F.array(*[F.lit(p) for p in problems]).cast("array<string>")))
+    assert of("Found to be anaplastic astrocytoma of the conus; headache, MRI") == [
+        "anaplastic astrocytoma of the conus", "anaplastic astrocytoma of the conus glioma", "anaplastic astrocytoma of the conus spinal tumor", "MRI", "MRI magnetic resonance imaging", "anaplastic astrocytoma of the conus; headache, MRI",
+        "anaplastic astrocytoma of the conus; headache, MRI glioma", "anaplastic astrocytoma of the conus; headache, MRI spinal tumor",
+    ]
+    assert of("fever", None, " - ", "Glioma", "GLIOMA", "found to be ") == ["Glioma", "found to be"]
+    assert one(spark, cases.problem_anchors(F.lit(None).cast("array<string>"))) == []
+    assert [one(spark, cases.anchor_score(F.lit(t))) for t in ("glioma", "spinal pain after surgery", "x " * 17, "")] == [3.0, 7.0, -0.5, 0.0]
+    assert one(spark, cases.case_summary(F.array(F.lit("severe back pain"), F.lit("glioma of the cord"), F.lit("back PAIN"), F.lit("radiation")), 2)) == "primary problem: severe back pain; glioma of the cord"
+    assert one(spark, cases.case_summary(F.array(F.lit("word")))) == ""
+
+
+def test_negation_by_hand(frame):
+    rows = [(1, "No sign of diabetes. diabetes"), (2, "no fever (diabetes)"), (3, "not seen although diabetes"), (4, "What is the risk without diabetes"), (5, f"no {'x' * 90} diabetes"), (6, "diabetes was not found"), (7, "note on diabetes")]
+    out = {r.k: (r.positive, r.negative) for r in lexicon.term_flags(frame(rows, "k long, t string"), "k", "t", {"d": r"\bdiabetes\b"}).collect()}
+    assert out == {1: (True, True), 2: (True, False), 3: (True, False), 4: (True, False), 5: (True, False), 6: (False, True), 7: (True, False)}
+
+
 def test_intervals_with_missing_and_swapped_bounds(frame):
     rows = [("a", 0.9, 0.7), ("a", None, 0.9), ("b", float("nan"), None), (None, 0.1, 0.2)]
     out = {r.g: (r.n, round(r.mean_lower, 6), round(r.mean_upper, 6), r.band) for r in cases.interval_bounds(frame(rows, "g string, lo double, hi double"), ["g"], "lo", "hi").collect()}

@@ -162,11 +162,13 @@ def age_years(text: Column) -> Column:
 
 def lenient_json(text: Column) -> Column:
     """The JSON in a reply: a fenced block, else the whole text, else from the first bracket to the last; null without any."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    inner = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
-    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    candidates = [F.nullif(bare(c), F.lit("")) for c in (fenced, text, inner)]
-    return F.coalesce(*[F.when(F.try_parse_json(c).isNotNull(), c) for c in candidates])
+    bare = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+
+    def first_that_parses(t: Column) -> Column:
+        candidates = F.array(bare(F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1)), bare(t), bare(F.regexp_extract(t, r"(?s)(\{.*\}|\[.*\])", 1)))
+        return F.get(F.filter(candidates, lambda c: F.try_parse_json(c).isNotNull()), F.lit(0))
+
+    return let(text, first_that_parses)
 
 
 def code_blocks(text: Column, language: str = "python") -> Column:

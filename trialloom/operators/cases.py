@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.functions.text import dedupe, normalize_whitespace
+from trialloom.functions.text import dedupe, normalize_whitespace, token_count
 
 
 def merge_maps(base: Column, over: Column) -> Column:
@@ -26,8 +26,69 @@ def anchors(text: Column, least: int = 2, most: int = 14) -> Column:
     return dedupe(F.filter(parts, lambda p: sized(p).between(least, most)))
 
 
+# How a problem text may begin without saying anything, in order.
+LEADING = (r"patient (?:is|was) a [^,;]+ with (?:a history of )?", "patient initially presented with ", "mri showed ", "found to be ", "the tumor is located in ")
+# Words that call for another name behind the text, unless it stands there.
+ALIASES = ((("astrocytoma",), "glioma", "glioma"), (("spinal cord", "spinal", "conus"), "spinal tumor", "spinal tumor"), (("avastin",), "bevacizumab", "bevacizumab"), (("mri",), "magnetic resonance imaging", "magnetic resonance imaging"))
+# Single words that are anchors, and words that raise an anchor's score by 3, 2 and 1.5.
+SINGLE = ("astrocytoma", "avastin", "bevacizumab", "glioma", "hypertension", "mri", "radiation")
+RAISING = (
+    (3.0, ("astrocytoma", "glioma", "glioblastoma", "meningioma", "tumor", "tumour", "neoplasm", "malignan", "metasta", "spinal", "conus", "cord")),
+    (2.0, ("radiation", "radiotherapy", "chemotherapy", "temozolomide", "bevacizumab", "avastin", "surgery", "resection", "steroid")),
+    (1.5, ("compression", "paralysis", "weakness", "retention", "numbness", "pain", "progressive")),
+)
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(normalize_whitespace(F.regexp_replace(F.coalesce(text, F.lit("")), "(?i)</?topic[^>]*>", " ")), "^[ ,-]+|[ ,-]+$", "")
+
+
+def _without_lead(text: Column) -> Column:
+    """``text`` without the first opening of ``LEADING`` that stands there, unless nothing is left."""
+    out = text
+    for lead in reversed(LEADING):
+        rest = F.regexp_replace(F.regexp_replace(text, f"(?i)^{lead}", ""), "^[ ,-]+|[ ,-]+$", "")
+        out = F.when((rest != "") & (rest != text), rest).otherwise(out)
+    return out
+
+
+def problem_anchors(problems: Column, most: int = 8) -> Column:
+    """Up to ``most`` search texts of a list of problems, each once in any case, in order.
+
+    A problem's fragments of 2 to 14 words come first, then the problem itself if
+    it has at most 14, each without its opening and followed by its other names.
+    Single words count only if they are listed. A null list gives an empty array.
+    """
+    single = lambda t: F.lower(t).isin(*SINGLE)
+    named = lambda t: F.array_compact(F.array(t, *[F.when(F.greatest(F.lit(False), *[F.contains(F.lower(t), F.lit(w)) for w in words], F.lit(False)) & ~F.contains(F.lower(t), F.lit(without)), F.concat(t, F.lit(f" {name}"))) for words, without, name in ALIASES]))
+    fits = lambda t: token_count(t).between(2, 14) | single(t)
+    whole = lambda p: F.filter(F.array(_without_lead(p)), lambda t: (token_count(p) <= 14) & ((token_count(t) >= 2) | single(t)))
+
+    def of_problem(problem: Column) -> Column:
+        parts = F.transform(F.split(problem, r"(?i),|;|\band\b|\bcomplicated by\b|\bwhere\b"), lambda f: _without_lead(_bare(f)))
+        return F.flatten(F.transform(F.concat(F.filter(parts, fits), whole(problem)), named))
+
+    return F.slice(dedupe(F.flatten(F.transform(F.transform(F.coalesce(problems, F.array().cast("array<string>")), _bare), of_problem))), 1, most)
+
+
+def anchor_score(text: Column) -> Column:
+    """What an anchor counts: 3, 2 and 1.5 for words of disease, treatment and complication, .5 for 2 to 10 words, -.5 above 16."""
+    lowered, words = F.lower(text), token_count(text)
+    total = F.when(words.between(2, 10), 0.5).when(words > 16, -0.5).otherwise(0.0)
+    for points, listed in RAISING:
+        total = total + F.when(F.greatest(*[F.contains(lowered, F.lit(w)) for w in listed]), points).otherwise(0.0)
+    return total
+
+
+def case_summary(problems: Column, most: int = 5) -> Column:
+    """'primary problem: ' and the best anchors of a case in their order, joined by '; '; '' without any."""
+    scored = F.transform(problem_anchors(problems, 24), lambda t: F.struct(t.alias("text"), anchor_score(t).alias("score")))
+    picked = pick_anchors(scored, max(most, 1))
+    return F.when(F.size(picked) > 0, F.concat(F.lit("primary problem: "), F.array_join(picked, "; "))).otherwise("")
+
+
 def pick_anchors(scored: Column, most: int = 5) -> Column:
-    """Up to ``most`` texts of an array of (text, score), best first, none within one picked before; in their first order.
+    """Up to ``most`` texts of an array of (text, score), best first, none that holds or is held by one picked before; in their first order.
 
     Ties go to the earlier one.
     """
@@ -35,7 +96,7 @@ def pick_anchors(scored: Column, most: int = 5) -> Column:
     none = F.array().cast("array<struct<o:double,i:int,text:string>>")
 
     def add(taken: Column, s: Column) -> Column:
-        within = F.exists(taken, lambda t: F.contains(F.lower(t["text"]), F.lower(s["text"])))
+        within = F.exists(taken, lambda t: F.contains(F.lower(t["text"]), F.lower(s["text"])) | F.contains(F.lower(s["text"]), F.lower(t["text"])))
         return F.when((F.size(taken) < most) & ~within, F.concat(taken, F.array(s))).otherwise(taken)
 
     picked = F.aggregate(F.array_sort(numbered), none, add)

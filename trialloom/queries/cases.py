@@ -12,28 +12,45 @@ from trialloom.session import bounded_broadcast, spread, table
 query = Registry()
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS segment, c_mktsegment AS name, 2 + CAST(c_custkey % 2 = 0 AS INT) AS n FROM customer")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' WHEN c_custkey % 5 = 0 THEN NULL ELSE 'old' END AS segment, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS name,
+CASE WHEN c_custkey % 5 = 0 THEN 0 ELSE 2 END + CASE WHEN c_custkey % 2 <> 0 THEN 0 WHEN c_custkey % 5 = 0 THEN 2 ELSE 1 END AS n FROM customer""")
 def case_build(spark, sf_dir):
-    base = F.create_map(F.lit("segment"), F.lit("old"), F.lit("name"), F.col("c_mktsegment"))
+    base = F.when(F.col("c_custkey") % 5 != 0, F.create_map(F.lit("segment"), F.lit("old"), F.lit("name"), F.col("c_mktsegment")))
     over = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("segment"), F.lit("new"), F.lit("extra"), F.lit("x")))
     merged = table(spark, sf_dir, "customer").select("c_custkey", cases.merge_maps(base, over).alias("m"))
     return merged.select("c_custkey", F.col("m")["segment"].alias("segment"), F.col("m")["name"].alias("name"), F.size("m").alias("n"))
 
 
-@query("SELECT p_partkey, p_brand || ' of ' || p_type || '|' || 'size ' || p_size AS anchors FROM part")
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_brand || ' of ' || p_type || '|size ' || p_size WHEN 1 THEN 'pain ' || p_size || '|loss of ' || p_name ELSE '' END AS anchors FROM part""")
 def anchors(spark, sf_dir):
-    text = F.concat(F.col("p_brand"), F.lit(" of  "), F.col("p_type"), F.lit(" and size "), F.col("p_size").cast("string"), F.lit("; word, size "), F.col("p_size").cast("string"))
+    size = F.col("p_size").cast("string")
+    text = F.when(F.col("p_size") % 3 == 0, F.concat(F.col("p_brand"), F.lit(" of  "), F.col("p_type"), F.lit(" and size "), size, F.lit("; word, SIZE "), size))
+    text = text.when(F.col("p_size") % 3 == 1, F.concat(F.lit("pain "), size, F.lit(" complicated by loss of  "), F.col("p_name"), F.lit(" where one"))).otherwise("one, two;three")
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(cases.anchors(text), "|").alias("anchors"))
 
 
-@query("SELECT p_partkey, 'chronic pain of ' || p_size || '|size ' || p_size AS summary FROM part")
-def case_summary(spark, sf_dir):
+def _problems():
     size = F.col("p_size").cast("string")
-    scored = F.array(
-        F.struct(F.lit("pain").alias("text"), F.lit(1.0).alias("score")), F.struct(F.concat(F.lit("chronic pain of "), size).alias("text"), F.lit(3.0).alias("score")),
-        F.struct(F.concat(F.lit("size "), size).alias("text"), F.lit(2.0).alias("score")), F.struct(F.lit("zebra").alias("text"), F.lit(0.0).alias("score")),
+    forms = (
+        F.array(F.concat(F.lit("Patient is a 40-year-old with a history of spinal cord pain "), size, F.lit(", MRI and fever"))), F.array(F.concat(F.lit("<topic x>mri showed  mass of "), size, F.lit("</topic>")), F.lit("glioma"), F.lit("word")),
+        F.array(F.concat(F.lit("low back pain grade "), size), F.lit("Chronic pain"), F.lit("- radiation, "), F.lit("chronic PAIN")), F.lit(None).cast("array<string>"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(cases.pick_anchors(scored, 2), "|").alias("summary"))
+    out = forms[3]
+    for i in (2, 1, 0):
+        out = F.when(F.col("p_size") % 4 == i, forms[i]).otherwise(out)
+    return out
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'spinal cord pain ' || p_size || '|spinal cord pain ' || p_size || ' spinal tumor|MRI|MRI magnetic resonance imaging'
+WHEN 1 THEN 'mass of ' || p_size || '|glioma' WHEN 2 THEN 'low back pain grade ' || p_size || '|Chronic pain|radiation' ELSE '' END AS anchors FROM part""")
+def problem_anchors(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(cases.problem_anchors(_problems()), "|").alias("anchors"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'primary problem: spinal cord pain ' || p_size || '; MRI magnetic resonance imaging' WHEN 1 THEN 'primary problem: mass of ' || p_size || '; glioma'
+WHEN 2 THEN 'primary problem: low back pain grade ' || p_size || '; Chronic pain' ELSE '' END AS summary FROM part""")
+def case_summary(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", cases.case_summary(_problems(), 2).alias("summary"))
 
 
 @query("""WITH b AS (SELECT feature_name, CASE WHEN isnan(lower_bound) THEN NULL ELSE lower_bound END AS lo, CASE WHEN isnan(upper_bound) THEN NULL ELSE upper_bound END AS hi FROM interval_inputs),
@@ -75,10 +92,10 @@ def match_terms(spark, sf_dir):
     return table(spark, sf_dir, "trial_chunks").select("chunk_id", F.array_join(cases.contained(terms, F.col("source_fields")), ",").alias("matched"))
 
 
-@query("SELECT c_custkey, c_mktsegment AS variant FROM customer UNION ALL SELECT c_custkey, u.v FROM customer, LATERAL (SELECT unnest(['Cars', 'Motor vehicles']) AS v) u WHERE c_mktsegment = 'AUTOMOBILE'")
+@query("SELECT c_custkey, c_mktsegment AS variant FROM customer UNION ALL SELECT c_custkey, 'Machines' FROM customer WHERE c_mktsegment = 'MACHINERY' UNION ALL SELECT c_custkey, u.v FROM customer, LATERAL (SELECT unnest(['Cars', 'Motor vehicles']) AS v) u WHERE c_mktsegment = 'AUTOMOBILE'")
 def term_variants(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    return cases.variants(rows, "c_mktsegment", {"automobile": ("Cars", "Motor vehicles", "AUTOMOBILE")}).drop("c_mktsegment")
+    return cases.variants(rows, "c_mktsegment", {"automobile": ("Cars", "Motor vehicles", "AUTOMOBILE"), "Machinery": ("machinery ", "Machines", " MACHINES")}).drop("c_mktsegment")
 
 
 _FLAT = "trim(regexp_replace(coalesce(text, ''), '" + BLANK + "+', ' ', 'g'))"

@@ -108,12 +108,15 @@ def split_sections(spark, sf_dir):
     return sections.split_sections(rows, "source_id", "eligibility_text")
 
 
-@query("""SELECT event_id, 'a ' || event_id AS inclusion_text, CASE WHEN event_id % 2 = 0 THEN 'b' ELSE '' END AS exclusion_text,
-CASE WHEN event_id % 2 = 0 THEN 'parsed' ELSE 'inclusion_only' END AS parse_status FROM events""")
+@query("""SELECT event_id, CASE WHEN user_id % 5 IN (0, 1) THEN 'a ' || event_id WHEN user_id % 5 = 4 THEN 'a ' || event_id || '.' || chr(10) || chr(10) || 'c' ELSE '' END AS inclusion_text, CASE WHEN user_id % 5 IN (0, 2) THEN event_type ELSE '' END AS exclusion_text,
+CASE user_id % 5 WHEN 0 THEN 'parsed' WHEN 1 THEN 'inclusion_only' WHEN 2 THEN 'exclusion_only' WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 'empty' ELSE 'unsplit' END ELSE 'inclusion_only' END AS parse_status,
+CASE user_id % 5 WHEN 1 THEN 'exclusion_section_heading_not_found' WHEN 2 THEN 'inclusion_section_heading_not_found' WHEN 3 THEN CASE WHEN event_id % 2 = 0 THEN 'eligibility_text_empty' ELSE 'eligibility_section_headings_not_found' END WHEN 4 THEN 'multiple_inclusion_sections,exclusion_section_heading_not_found' ELSE '' END AS warnings FROM events""")
 def section_status(spark, sf_dir):
-    text = F.concat(F.lit("Inclusion Criteria:\n\n- a "), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, "\n\nKey exclusion criteria\n- b").otherwise(""))
+    a, kind, n = F.concat(F.lit("- a "), F.col("event_id").cast("string")), F.col("event_type"), F.col("user_id") % 5
+    text = F.when(n == 0, F.concat(F.lit("Inclusion Criteria:\n\n"), a, F.lit("\n\nKey exclusion  criteria\n- "), kind)).when(n == 1, F.concat(F.lit("Criteria for inclusion: "), a)).when(n == 2, F.concat(F.lit("Patients will be excluded if: "), kind))
+    text = text.when(n == 3, F.when(F.col("event_id") % 2 == 0, " \n").otherwise(F.concat(F.lit("Adults with "), kind))).otherwise(F.concat(F.lit("INCLUSION CRITERIA "), a, F.lit(". Main Inclusion Criteria: c")))
     rows = table(spark, sf_dir, "events").select("event_id", text.alias("t"))
-    return sections.section_status(rows, "event_id", "t").select("event_id", "inclusion_text", "exclusion_text", "parse_status")
+    return sections.section_status(rows, "event_id", "t").select("event_id", "inclusion_text", "exclusion_text", "parse_status", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query("SELECT parse_status, u.w AS warning, count(*) AS n FROM eligibility_sections LEFT JOIN LATERAL (SELECT unnest(warnings) AS w) u ON TRUE GROUP BY ALL")
@@ -239,7 +242,17 @@ def term_detect(spark, sf_dir):
     return lexicon.term_flags(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", TERMS).select("doc_id", "term")
 
 
-@query()
+_CUES = "\\b(?:" + "|".join(c.replace("'", "''") for c in lexicon.NEGATION_CUES) + ")\\b"
+_BROKEN = f"regexp_replace(c, '(?i)[,;:()\\[\\]]|\\b(?:{'|'.join(lexicon.SCOPE_BREAKS)})\\b', chr(1), 'g')"
+
+
+def _negation_sql(name: str, term: str) -> str:
+    reach = f"[^\\x01]{{0,{lexicon.SCOPE}}}?"
+    negated = f"(NOT regexp_matches(c, '(?i)\\b(?:{'|'.join(lexicon.QUESTIONS)})\\b') AND (regexp_matches({_BROKEN}, '(?i){_CUES}{reach}(?:{term})') OR regexp_matches({_BROKEN}, '(?i)(?:{term}){reach}{_CUES}')))"
+    return f"SELECT doc_id, '{name}' AS term, bool_or(NOT n) AS positive, bool_or(n) AS negative FROM (SELECT doc_id, {negated} AS n FROM clauses WHERE regexp_matches(c, '(?i){term}')) GROUP BY doc_id"
+
+
+@query("WITH clauses AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(text, '[.;\\n,]+'), lambda p: trim(regexp_replace(p, '" + T.BLANK + "+', ' ', 'g')))) AS c FROM documents) " + " UNION ALL ".join(_negation_sql(n, p) for n, p in TERMS.items()))
 def negation_flags(spark, sf_dir):
     return lexicon.term_flags(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", TERMS)
 

@@ -111,13 +111,14 @@ def pack_chunks(spark, sf_dir):
     return table(spark, sf_dir, "eligibility_sections").select("section_id", F.posexplode(pieces).alias("piece_no", "piece"))
 
 
-@query("SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS DATE) AS full_date, CAST(date_trunc('month', o_orderdate) AS DATE) AS month_date, CAST(o_orderdate AS DATE) AS iso_date, CAST(NULL AS DATE) AS no_date FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderdate AS DATE) WHEN 1 THEN CAST(date_trunc('month', o_orderdate) AS DATE) WHEN 2 THEN CAST(o_orderdate AS DATE) WHEN 3 THEN CAST(o_orderdate AS DATE) END AS day FROM orders"""
+)
 def parse_dates(spark, sf_dir):
-    at = F.col("o_orderdate")
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", T.parse_partial_date(F.date_format(at, "MMMM d, yyyy")).alias("full_date"), T.parse_partial_date(F.date_format(at, "MMMM yyyy")).alias("month_date"),
-        T.parse_partial_date(F.date_format(at, "yyyy-MM-dd")).alias("iso_date"), T.parse_partial_date(F.lit("N/A")).alias("no_date"),
-    )
+    at, n = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    text = F.when(n == 0, F.date_format(at, " MMMM d,  yyyy")).when(n == 1, F.lower(F.date_format(at, "MMMM yyyy"))).when(n == 2, F.date_format(at, "yyyy-MM-dd")).when(n == 3, F.upper(F.date_format(at, "MMMM dd, yyyy")))
+    text = text.when(n == 4, F.concat(F.lit("Octember 3, "), F.date_format(at, "yyyy"))).otherwise("N/A")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.parse_partial_date(text).alias("day"))
 
 
 @query(
@@ -130,19 +131,22 @@ def age_years(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS fenced_k, CAST(json_extract(props, '$.k') AS BIGINT) AS plain_k, CAST(json_extract(props, '$.k') AS BIGINT) AS inner_k, CAST(NULL AS VARCHAR) AS none FROM events"""
+    """SELECT event_id, CASE user_id % 5 WHEN 3 THEN event_id WHEN 4 THEN NULL ELSE CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE user_id % 5 WHEN 3 THEN 'array' WHEN 4 THEN 'none' ELSE 'object' END AS kind FROM events"""
 )
 def lenient_json(spark, sf_dir):
-    forms = {"fenced_k": ("Reply:\n```json\n", "\n```\nDone."), "plain_k": (" ", " "), "inner_k": ("The result is ", " as asked.")}
-    k = lambda c: F.get_json_object(T.lenient_json(c), "$.k").cast("bigint")
-    return table(spark, sf_dir, "events").select(
-        "event_id", *[k(F.concat(F.lit(a), F.col("props"), F.lit(b))).alias(n) for n, (a, b) in forms.items()], T.lenient_json(F.lit("no json")).alias("none")
-    )
+    number, at = F.col("event_id").cast("string"), F.col("user_id") % 5
+    reply = F.when(at == 0, F.concat(F.lit("Reply:\n```json\n"), "props", F.lit("\n```\nor {1}"))).when(at == 1, F.concat(F.lit(" \n"), "props", F.lit(" "))).when(at == 2, F.concat(F.lit("```\nno\n``` The result is "), "props", F.lit(" as asked.")))
+    reply = reply.when(at == 3, F.concat(F.lit('so [{"k": '), number, F.lit("}, 2] it is"))).otherwise(F.concat(F.lit("k} is "), number, F.lit(" {")))
+    found = T.lenient_json(reply)
+    k = F.coalesce(F.get_json_object(found, "$.k"), F.get_json_object(found, "$[0].k")).cast("bigint")
+    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.when(found.isNull(), "none").when(found.startswith("["), "array").otherwise("object").alias("kind"))
 
 
-@query("SELECT event_id, 'x = ' || event_id || chr(10) || chr(10) || 'y = 2' AS code, '' AS nothing FROM events")
+@query("""SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '' ELSE concat_ws(chr(10) || chr(10), 'x = ' || event_id, CASE WHEN user_id % 3 = 1 THEN 'y = "' || event_type || '"' || chr(10) || '  z' END) END AS code, '' AS nothing FROM events""")
 def code_blocks(spark, sf_dir):
-    reply = F.concat(F.lit("Try\n```python\nx = "), F.col("event_id").cast("string"), F.lit("\n```\nthen\n```Python\n y = 2 \n``` or ```sql\nz\n```"))
+    first = F.concat(F.lit("Try\n```python\nx = "), F.col("event_id").cast("string"), F.lit("\n```\nthen "))
+    second = F.when(F.col("user_id") % 3 == 1, F.concat(F.lit('```Python y = "'), F.col("event_type"), F.lit('"\n  z \n``` or '))).otherwise("``` python\n```python \n``` ")
+    reply = F.when(F.col("user_id") % 3 == 0, F.lit("```sql\nz\n``` ``python x``")).otherwise(F.concat(first, second, F.lit("```sql\nz\n```")))
     return table(spark, sf_dir, "events").select("event_id", T.code_blocks(reply).alias("code"), T.code_blocks(F.col("props")).alias("nothing"))
 
 
