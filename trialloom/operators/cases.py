@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trialloom.functions.text import dedupe, normalize_whitespace, token_count
 
@@ -87,6 +88,60 @@ def case_summary(problems: Column, most: int = 5) -> Column:
     return F.when(F.size(picked) > 0, F.concat(F.lit("primary problem: "), F.array_join(picked, "; "))).otherwise("")
 
 
+def first_filled(sources: dict[str, Column]) -> tuple[Column, Column]:
+    """(value, name) of the first source, in order, whose text isn't blank; nulls without any."""
+    filled = {name: normalize_whitespace(c.cast("string")) for name, c in sources.items()}
+    value = F.coalesce(*[F.nullif(c, F.lit("")) for c in filled.values()])
+    return value, F.coalesce(*[F.when(c != "", F.lit(name)) for name, c in filled.items()])
+
+
+def problem_list(seed: Column, inputs: Column, text: Column, most: int = 8) -> Column:
+    """Up to ``most`` problems of a case: those given, else its filled inputs as 'name: value', else the parts of its text.
+
+    A text is parted at line ends, if it has any, else at full stops, else at
+    semicolons; without a part left in it, its first 240 characters are the one problem. ``inputs`` is a
+    map of texts; blank and 'false' ones don't count. Nothing at all gives an empty array.
+    """
+    none = F.array().cast("array<string>")
+    given = F.filter(F.transform(F.coalesce(seed, none), lambda p: F.trim(F.coalesce(p, F.lit("")))), lambda p: p != "")
+    kept = F.map_filter(F.coalesce(inputs, F.create_map().cast("map<string,string>")), lambda _, v: ~F.lower(F.trim(F.coalesce(v, F.lit("")))).isin("", "false"))
+    named = F.transform(F.map_entries(kept), lambda e: F.concat(F.replace(e["key"], F.lit("_"), F.lit(" ")), F.lit(": "), e["value"]))
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    parts = lambda at: F.filter(F.transform(F.split(bare, at), lambda p: F.regexp_replace(p, "^[ -]+|[ -]+$", "")), lambda p: p != "")
+    listed = [F.when(F.contains(bare, F.lit(sign)) & (F.size(parts(at)) > 0), parts(at)) for sign, at in (("\n", "\n"), (".", r"\."), (";", ";"))]
+    told = F.coalesce(*listed, F.when(bare != "", F.array(F.substring(bare, 1, 240))), none)
+    return F.slice(F.when(F.size(given) > 0, given).when(F.size(named) > 0, named).otherwise(told), 1, most)
+
+
+def readiness(n_inputs: Column, n_intervals: Column, n_problems: Column, n_hints: Column) -> Column:
+    """'ready' with an interval or four inputs, 'partial' with two inputs, problems or hints, else 'insufficient'; nulls count as 0."""
+    n_inputs, n_intervals, n_problems, n_hints = (F.coalesce(c, F.lit(0)) for c in (n_inputs, n_intervals, n_problems, n_hints))
+    return F.when((n_intervals >= 1) | (n_inputs >= 4), "ready").when((n_inputs >= 2) | (n_problems >= 2) | (n_hints >= 2), "partial").otherwise("insufficient")
+
+
+def query_set(df: DataFrame, key: str, summary: Column, problems: Column, hints: Column, most_problems: int = 16, most_hints: int = 8) -> DataFrame:
+    """(key, priority, stage, intent, text) of a case's search queries: its summary, its problems, its hints, in that order.
+
+    Problems come without their openings, from two words or if they are listed, each
+    once. A text that stands earlier in the set, in any case, is left out;
+    priorities count what is kept. Null lists count as empty.
+    """
+    none = F.array().cast("array<string>")
+    single = lambda t: F.lower(t).isin(*SINGLE)
+    bare = F.transform(F.coalesce(problems, none), lambda p: _without_lead(_bare(p)))
+    kept = F.slice(dedupe(F.filter(bare, lambda t: (token_count(t) >= 2) | single(t))), 1, most_problems)
+    hinted = F.slice(F.filter(F.transform(F.coalesce(hints, none), lambda h: F.trim(F.coalesce(h, F.lit("")))), lambda h: h != ""), 1, most_hints)
+    entry = lambda stage, intent, text: F.struct(stage.alias("stage"), F.lit(intent).alias("intent"), text.alias("text"))
+    numbered = lambda array, stage, intent: F.transform(array, lambda t, i: entry(F.concat(F.lit(stage), (i + 1).cast("string")), intent, t))
+    head = F.filter(F.array(F.trim(F.coalesce(summary, F.lit("")))), lambda t: t != "")
+    listed = F.concat(F.transform(head, lambda t: entry(F.lit("case_summary_dense"), "case_summary_dense", t)), numbered(kept, "problem_anchor_", "problem_anchor"), numbered(hinted, "risk_hint_", "risk_hint_seed"))
+    rows = df.select(key, F.posexplode(listed).alias("at", "q")).select(key, "at", "q.*")
+    first = rows.groupBy(key, F.lower(normalize_whitespace(F.col("text"))).alias("__t")).agg(F.min(F.struct("at", "stage", "intent", "text")).alias("q"))
+    # A case has some 25 queries at most.
+    order = F.row_number().over(Window.partitionBy(key).orderBy("q.at"))
+    return first.select(key, order.alias("priority"), "q.stage", "q.intent", "q.text")
+
+
 def pick_anchors(scored: Column, most: int = 5) -> Column:
     """Up to ``most`` texts of an array of (text, score), best first, none that holds or is held by one picked before; in their first order.
 

@@ -53,6 +53,41 @@ def case_summary(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", cases.case_summary(_problems(), 2).alias("summary"))
 
 
+@query("""SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_name END, CASE WHEN s_suppkey % 2 = 0 THEN 'nation ' || s_nationkey END, CAST(s_acctbal AS VARCHAR)) AS value,
+CASE WHEN s_suppkey % 3 = 0 THEN 'name' WHEN s_suppkey % 2 = 0 THEN 'nation' ELSE 'balance' END AS source FROM supplier""")
+def first_filled(spark, sf_dir):
+    sources = {"none": F.lit(None).cast("string"), "name": F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).otherwise(" "), "nation": F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("nation  "), F.col("s_nationkey").cast("string"))), "balance": F.col("s_acctbal")}
+    value, source = cases.first_filled(sources)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", value.alias("value"), source.alias("source"))
+
+
+@query("""SELECT event_id, CASE user_id % 6 WHEN 0 THEN event_type || '|b' WHEN 1 THEN 'event type: ' || event_type || '|n: ' || user_id WHEN 2 THEN event_type || ' x|y; z.' WHEN 3 THEN 'one ' || user_id || '|two; three' WHEN 4 THEN event_type || '|' || user_id ELSE CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END END AS problems FROM events""")
+def problem_list(spark, sf_dir):
+    kind, user, n = F.col("event_type"), F.col("user_id").cast("string"), F.col("user_id") % 6
+    seed = F.when(n == 0, F.array(F.concat(F.lit(" "), kind), F.lit(None), F.lit(" "), F.lit("b"))).when(n == 2, F.array(F.lit(" ")))
+    inputs = F.when(n < 2, F.create_map(F.lit("event_type"), kind, F.lit("blank"), F.lit(" "), F.lit("no"), F.lit("False"), F.lit("n"), user))
+    text = F.when(n == 2, F.concat(F.lit("- "), kind, F.lit(" x -\n\n - y; z."))).when(n == 3, F.concat(F.lit("one "), user, F.lit(". two; three."))).when(n == 4, F.concat(kind, F.lit("; "), user)).when((n == 5) & (F.col("event_id") % 2 == 0), F.concat(F.lit(" "), kind))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(cases.problem_list(seed, inputs, text), "|").alias("problems"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 = 6 OR p_size % 5 >= 4 THEN 'ready' WHEN p_size % 5 >= 2 OR p_size % 3 >= 2 OR p_size % 11 >= 9 THEN 'partial' ELSE 'insufficient' END AS status FROM part")
+def readiness(spark, sf_dir):
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", cases.readiness(size % 5, F.when(size % 7 == 6, 1), size % 3, F.when(size % 11 >= 9, 2).otherwise(1)).alias("status"))
+
+
+@query("""WITH q AS (SELECT p_partkey, u.o, u.stage, u.intent, u.text FROM part, LATERAL (SELECT unnest([
+  {'o': 1, 'stage': 'case_summary_dense', 'intent': 'case_summary_dense', 'text': CASE WHEN p_size % 2 = 0 THEN p_name END}, {'o': 2, 'stage': 'problem_anchor_1', 'intent': 'problem_anchor', 'text': 'pain of ' || p_type}, {'o': 3, 'stage': 'problem_anchor_2', 'intent': 'problem_anchor', 'text': 'Glioma'},
+  {'o': 4, 'stage': 'risk_hint_1', 'intent': 'risk_hint_seed', 'text': CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_name END}, {'o': 5, 'stage': 'risk_hint_2', 'intent': 'risk_hint_seed', 'text': 'risk ' || p_size}], recursive := true)) u WHERE u.text IS NOT NULL)
+SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY o) AS priority, stage, intent, text FROM q""")
+def query_set(spark, sf_dir):
+    problems = F.array(F.concat(F.lit("Found to be pain of  "), F.col("p_type")), F.lit("word"), F.lit("Glioma"), F.lit(None), F.lit("GLIOMA"))
+    hints = F.array(F.col("p_name"), F.lit(" "), F.concat(F.lit("risk "), F.col("p_size").cast("string")), F.lit("glioma"))
+    out = cases.query_set(table(spark, sf_dir, "part"), "p_partkey", F.when(F.col("p_size") % 2 == 0, F.upper("p_name")), problems, hints)
+    # The summary is the name in upper case here, so a hint with the name falls away beside it.
+    return out.select("p_partkey", F.col("priority").cast("bigint").alias("priority"), "stage", "intent", F.when(F.col("intent") == "case_summary_dense", F.lower("text")).otherwise(F.col("text")).alias("text"))
+
+
 @query("""WITH b AS (SELECT feature_name, CASE WHEN isnan(lower_bound) THEN NULL ELSE lower_bound END AS lo, CASE WHEN isnan(upper_bound) THEN NULL ELSE upper_bound END AS hi FROM interval_inputs),
 c AS (SELECT feature_name, least(coalesce(lo, hi), coalesce(hi, lo)) AS a, greatest(coalesce(lo, hi), coalesce(hi, lo)) AS b FROM b WHERE lo IS NOT NULL OR hi IS NOT NULL),
 m AS (SELECT feature_name, count(*) AS n, avg(a) AS ma, avg(b) AS mb FROM c GROUP BY ALL)
