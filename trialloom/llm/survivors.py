@@ -166,6 +166,7 @@ def estimate_trust(
         return copies, copied
 
     trust = Trust(sources, list(prior), *judged(prior, None), n_false)
+    before = list(prior)  # the accuracies of the round before the last
     for done in range(1, rounds + 1):
         if not masks:
             break
@@ -181,8 +182,10 @@ def estimate_trust(
             said = sum(k for m, k in claims.items() if m >> s & 1)
             right = sum(x for m, x in truth.items() if m >> s & 1)
             found = min(0.99, max(0.01, (right + strength * prior[s]) / (said + strength)))
-            accuracy.append(found if done <= 10 else (found + trust.accuracy[s]) / 2)  # halved steps end a swing between two states
+            turned = (found - trust.accuracy[s]) * (trust.accuracy[s] - before[s]) < 0
+            accuracy.append((found + trust.accuracy[s]) / 2 if done > 10 and turned else found)  # halved steps end a swing between two states
         moved = max(abs(a - b) for a, b in zip(accuracy, trust.accuracy, strict=True))
+        before = trust.accuracy
         trust = Trust(sources, accuracy, *judged(accuracy, truth), n_false, done, moved < SETTLED)
         if trust.settled:
             break
