@@ -168,8 +168,10 @@ def test_only_the_copier_depends_on_its_original_and_the_truth_survives(frame):
     assert right > 0.9 and right > majority
 
 
-def test_trust_equals_a_plain_restatement(frame):
-    """Claim by claim, without masks and profiles."""
+@pytest.mark.parametrize("local", [20_000, 0])
+def test_trust_equals_a_plain_restatement(frame, monkeypatch, local):
+    """Claim by claim, without masks and profiles; sums on the driver and by Spark."""
+    monkeypatch.setattr(survivors, "LOCAL_PROFILES", local)
     rows = _claimed(60, 9)
     fused = _fuse(frame(rows, CLAIMS), policy="posterior", min_records=1)
     names = ["one", "two", "three", "four"]

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ CUT_MARKS = r"(?i)(\[\s*(truncated|more|see full [a-z ]+|continued|cut|cut off|a
 
 #: Most sources that are told apart; a source is one bit of a mask.
 MAX_SOURCES = 12
+#: Distinct profiles of items (which sources share values) that are summed up on the driver; more are by Spark.
+LOCAL_PROFILES = 20_000
 #: A change of all accuracies below this ends the estimation.
 SETTLED = 1e-3
 
@@ -115,6 +119,38 @@ def copying(true: float, false: float, differ: float, a: float, b: float, own_a:
     return first, second, min(1.0, max(0.0, (agreed - expected) / (1 - expected)))
 
 
+def _believed(profiles: DataFrame, n_false: int) -> Callable[[dict[int, float]], dict[int, float]]:
+    """A function from the weight of each mask to the expected number of true values among those with it.
+
+    The same sums either way: over few distinct profiles on the driver, where a
+    round takes no job, over more of them as an aggregation.
+    """
+    if profiles.limit(LOCAL_PROFILES + 1).count() <= LOCAL_PROFILES:
+        rows = profiles.collect()  # at most LOCAL_PROFILES
+        items = np.array([r["items"] for r in rows], dtype=np.float64)
+        flat = [(i, p["mask"], p["k"]) for i, r in enumerate(rows) for p in r["profile"]]
+        of, mask, k = (np.array(x) for x in zip(*flat, strict=True)) if flat else (np.zeros(0, dtype=np.int64),) * 3
+        rest = np.maximum(n_false + 1 - np.bincount(of, weights=k, minlength=len(rows)), 0.0)
+
+        def local(weight: dict[int, float]) -> dict[int, float]:
+            w = k * np.array([weight[m] for m in mask.tolist()])
+            part = items[of] * w / (np.bincount(of, weights=w, minlength=len(rows)) + rest)[of]
+            return {m: float(part[mask == m].sum()) for m in weight}
+
+        return local
+
+    def distributed(weight: dict[int, float]) -> dict[int, float]:
+        listed = F.create_map(*[x for m, w in weight.items() for x in (F.lit(m), F.lit(w))])
+        total = F.aggregate("profile", F.lit(0.0), lambda acc, p: acc + p.k * F.element_at(listed, p["mask"]))
+        size = F.aggregate("profile", F.lit(0), lambda acc, p: acc + p.k.cast("int"))
+        rest = F.greatest(F.lit(n_false + 1) - size, F.lit(0))
+        rows = profiles.select("items", F.explode("profile").alias("p"), (total + rest).alias("total"))
+        part = F.col("items") * F.col("p.k") * F.element_at(listed, F.col("p.mask")) / F.col("total")
+        return {r.mask: float(r.truth) for r in rows.groupBy("p.mask").agg(F.sum(part).alias("truth")).collect()}  # at most 2^MAX_SOURCES rows
+
+    return distributed
+
+
 def estimate_trust(
     values: DataFrame, item: list[str], sources: list[str], prior: list[float] | None = None, rounds: int = 60, n_false: int = 10, copy_rate: float = 0.8, strength: float = 10.0,
 ) -> tuple[Trust, list[int]]:
@@ -127,8 +163,8 @@ def estimate_trust(
     ``SETTLED``; ``Trust.settled`` says whether that was reached within ``rounds``.
 
     An item matters only by how often each mask occurs among its values, and
-    equal such profiles are counted together, so each round is one small
-    aggregation. The driver gets sums per mask of sources, at most 2^MAX_SOURCES.
+    equal such profiles are counted together: a round sums over these. The
+    driver gets sums per mask of sources, at most 2^MAX_SOURCES, and profiles up to ``LOCAL_PROFILES``.
     """
     n = len(sources)
     prior = prior or prior_accuracies(n)
@@ -141,6 +177,8 @@ def estimate_trust(
     both = profiles.select("items", F.aggregate("profile", F.lit(0).cast("long"), lambda acc, p: acc.bitwiseOR(p["mask"])).alias("mask"))
     together = {r.mask: float(r.n) for r in both.groupBy("mask").agg(F.sum("items").alias("n")).collect()}  # at most 2^MAX_SOURCES rows
 
+    believed = _believed(profiles, n_false)
+
     def judged(accuracy: list[float], truth: dict[int, float] | None) -> tuple[list[list[float]], list[list[float]]]:
         copies, copied = ([[0.0] * n for _ in range(n)] for _ in range(2))
         right = truth or dict.fromkeys(claims, 0.0)
@@ -170,13 +208,7 @@ def estimate_trust(
     for done in range(1, rounds + 1):
         if not masks:
             break
-        weight = F.create_map(*[x for m in masks for x in (F.lit(m), F.lit(math.exp(min(trust.score(m), 300.0))))])
-        total = F.aggregate("profile", F.lit(0.0), lambda acc, p: acc + p.k * F.element_at(weight, p["mask"]))
-        size = F.aggregate("profile", F.lit(0), lambda acc, p: acc + p.k.cast("int"))
-        rest = F.greatest(F.lit(n_false + 1) - size, F.lit(0))
-        rows = profiles.select("items", F.explode("profile").alias("p"), (total + rest).alias("total"))
-        part = F.col("items") * F.col("p.k") * F.element_at(weight, F.col("p.mask")) / F.col("total")
-        truth = {r.mask: float(r.truth) for r in rows.groupBy("p.mask").agg(F.sum(part).alias("truth")).collect()}  # at most 2^MAX_SOURCES rows
+        truth = believed({m: math.exp(min(trust.score(m), 300.0)) for m in masks})
         accuracy = []
         for s in range(n):
             said = sum(k for m, k in claims.items() if m >> s & 1)
