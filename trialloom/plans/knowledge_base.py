@@ -96,6 +96,14 @@ def latest_records(records: DataFrame, priority: Column, archive: str, member_pa
     return latest_wins(ranked, ["nct_id"], order).drop("__priority")
 
 
+# Labels of the lines of chunk texts, and titles of the lists in them.
+LABELS = {
+    "title": "title: ", "acronym": "acronym: ", "profile": "study profile: ", "conditions": "conditions: ", "condition_mesh": "condition mesh terms: ", "interventions": "interventions: ",
+    "intervention_mesh": "intervention mesh terms: ", "summary": "summary: ", "nct_id": "nct_id: ", "chunk_type": "chunk type: ", "overall_status": "overall status: ",
+}
+TITLES = {"primary": "Primary outcomes", "secondary": "Secondary outcomes", "references": "References", "interventions": "Interventions", "arm": "Arm groups"}
+
+
 def _line(label: str, value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value))
 
@@ -105,15 +113,15 @@ def _listed(label: str, column: str) -> Column:
 
 
 def _profile(*columns: str) -> Column:
-    return _line("study profile: ", F.concat_ws("; ", *[F.nullif(F.col(c), F.lit("")) for c in columns]))
+    return _line(LABELS["profile"], F.concat_ws("; ", *[F.nullif(F.col(c), F.lit("")) for c in columns]))
 
 
 def overview_text() -> Column:
     """The overview of a record, one line per filled field."""
     return F.concat_ws(
-        "\n", _line("title: ", F.col("display_title")), _line("acronym: ", F.col("acronym")), _profile("study_type", "phase", "primary_purpose", "overall_status"),
-        _listed("conditions: ", "conditions"), _listed("condition mesh terms: ", "condition_mesh_terms"), _listed("interventions: ", "interventions"),
-        _listed("intervention mesh terms: ", "intervention_mesh_terms"), _line("summary: ", F.col("brief_summary")),
+        "\n", _line(LABELS["title"], F.col("display_title")), _line(LABELS["acronym"], F.col("acronym")), _profile("study_type", "phase", "primary_purpose", "overall_status"),
+        _listed(LABELS["conditions"], "conditions"), _listed(LABELS["condition_mesh"], "condition_mesh_terms"), _listed(LABELS["interventions"], "interventions"),
+        _listed(LABELS["intervention_mesh"], "intervention_mesh_terms"), _line(LABELS["summary"], F.col("brief_summary")),
     )
 
 
@@ -132,19 +140,19 @@ def _titled(title: str, rows: Column) -> Column:
 
 def outcomes_text() -> Column:
     kind = lambda k: _rows({"measure": f"{k}_outcome_measures", "description": f"{k}_outcome_descriptions", "time_frame": f"{k}_outcome_time_frames"})
-    return F.concat_ws("\n", _titled("Primary outcomes", kind("primary")), _titled("Secondary outcomes", kind("secondary")), _titled("References", F.col("reference_citations")))
+    return F.concat_ws("\n", _titled(TITLES["primary"], kind("primary")), _titled(TITLES["secondary"], kind("secondary")), _titled(TITLES["references"], F.col("reference_citations")))
 
 
 def arms_text() -> Column:
     interventions = _rows({"name": "interventions", "type": "intervention_types", "description": "intervention_descriptions"})
     arms = _rows({"label": "arm_group_labels", "type": "arm_group_types", "description": "arm_group_descriptions"})
-    return F.concat_ws("\n", _titled("Interventions", interventions), _titled("Arm groups", arms))
+    return F.concat_ws("\n", _titled(TITLES["interventions"], interventions), _titled(TITLES["arm"], arms))
 
 
 def _context(kind: Column) -> Column:
     return F.concat_ws(
-        "\n", F.concat(F.lit("title: "), F.col("display_title")), _line("nct_id: ", F.col("nct_id")), F.concat(F.lit("chunk type: "), kind), _line("overall status: ", F.col("overall_status")),
-        _profile("study_type", "phase", "primary_purpose"), _listed("conditions: ", "conditions"), _listed("interventions: ", "interventions"),
+        "\n", F.concat(F.lit(LABELS["title"]), F.col("display_title")), _line(LABELS["nct_id"], F.col("nct_id")), F.concat(F.lit(LABELS["chunk_type"]), kind), _line(LABELS["overall_status"], F.col("overall_status")),
+        _profile("study_type", "phase", "primary_purpose"), _listed(LABELS["conditions"], "conditions"), _listed(LABELS["interventions"], "interventions"),
     )
 
 
