@@ -40,3 +40,34 @@ def test_latest_in_place_is_latest_wins(frame):
     want = sorted(map(str, relational.latest_wins(rows, ["k"], [F.col("o")]).drop("n_duplicates").collect()))
     for most in (500_000, 1):
         assert sorted(map(str, relational.latest_in_place(rows, "k", [F.col("o")], most).collect())) == want
+
+
+def test_names_in_queries_raise_only_their_scores(spark, tmp_path, monkeypatch):
+    """Queries without a name in them never reach the pairs; both kinds rank as by hand."""
+    import datetime
+
+    from trialloom.queries import retrieval
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(f"N{i}::outcomes::0", "Heart Study" if i % 4 else "Liver", f"heart w{i % 5} w{i % 7} pain", ["pain", "text_field"] if i % 3 else None, at) for i in range(40)]
+    spark.createDataFrame(rows, "chunk_id string, title string, text string, source_fields array<string>, loaded_at timestamp").write.parquet(f"{tmp_path}/trial_chunks.parquet")
+    spans = [(100, "w1 w2"), (200, "pain in w3"), (300, "study of heart w4"), (400, None), (500, "w6 pai"), (7, "pain")]
+    spark.createDataFrame(spans, "span_id long, text string").write.parquet(f"{tmp_path}/evidence_spans.parquet")
+    texts = {s: t for s, t in spans if t and s % 100 == 0}
+    docs = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows], "chunk_id string, title string, text string")
+    base = ranking.bm25(docs, "chunk_id", {"title": 3.8, "text": 1.2}, spark.createDataFrame(list(texts.items()), "q long, t string"), "q", "t").collect()
+    by = {r[0]: r for r in rows}
+
+    def bonus(text, row):
+        words = text.split()
+        title = all(w in words for w in row[1].lower().split())
+        return title + 0.35 * (row[3] is not None and "pain" in words)
+
+    want = set()
+    for q in texts:
+        scored = sorted((-round(r.score + bonus(texts[q], by[r.chunk_id]), 9), r.chunk_id) for r in base if r.q == q)[:10]
+        want |= {(q, c, n, round(-x, 6)) for n, (x, c) in enumerate(scored, 1)}
+    paired, pairs = [], ranking.bm25
+    monkeypatch.setattr(ranking, "bm25", lambda d, k, w, asked, *a, **b: paired.extend(r.span_id for r in asked.collect()) or pairs(d, k, w, asked, *a, **b))
+    got = retrieval.bm25_params(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == want and sorted(paired) == [200, 300]
