@@ -71,3 +71,31 @@ def test_names_in_queries_raise_only_their_scores(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ranking, "bm25", lambda d, k, w, asked, *a, **b: paired.extend(r.span_id for r in asked.collect()) or pairs(d, k, w, asked, *a, **b))
     got = retrieval.bm25_params(spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == want and sorted(paired) == [200, 300]
+
+
+@pytest.mark.parametrize("blocks", ["one", "many"])
+def test_pools_of_parents_and_queries_alike(frame, monkeypatch, blocks):
+    """Each query within its own parents, with statistics of all documents kept from a search before; queries of the same terms all have their rows."""
+    random.seed(5)
+    text = lambda n: " ".join(f"w{random.randint(0, 12)}" for _ in range(n))
+    docs = [(f"d{i:03}", text(random.randint(0, 8)), f"P{i % 17}" if i % 10 else None) for i in range(300)]
+    asked = [(i, text(4)) for i in range(20)] + [(30, "w1 w2 w2"), (31, "W2-w1 w2"), (32, "w1 w2"), (33, None), (34, "zzz")]
+    pools = [(q, f"P{(q * j) % 19}") for q, _ in asked for j in (1, 2, 5)] + [(30, "P1"), (30, "P1"), (99, "P1"), (31, None), (None, "P2")]
+    if blocks == "many":
+        for name, value in {"BLOCK": 20, "PROBE": 30, "ASKED_ROWS": 40, "LOOKUPS": 7}.items():
+            monkeypatch.setattr(search, name, value)
+    d, q, p = frame(docs, "id string, t string, p string"), frame(asked, "q long, text string"), frame(pools, "q long, p string")
+    rows = lambda df: {(r.q, r.id, r["rank"]): r.score for r in df.collect()}
+    counts = search.Counts()
+    for candidates, own in ((None, {}), (p.join(d, "p").select("q", "id").distinct(), {"parent": "p", "pool": p})):
+        want = rows(ranking.ranked(ranking.bm25(d, "id", {"t": 1.5}, q, "q", "text", candidates=candidates), "q", "id", 4))
+        got = rows(search.bm25_top_k(d, "id", {"t": 1.5}, q, "q", "text", 4, counts=counts, **own))
+        assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert own or {k[1:] for k in got if k[0] == 30} == {k[1:] for k in got if k[0] == 31}
+
+
+def test_two_stages_never_list_pairs(spark, monkeypatch):
+    from trialloom.queries import rerank
+
+    monkeypatch.setattr(ranking, "bm25", lambda *a, **o: pytest.fail("lists all pairs"))
+    assert rerank.two_stage_texts(spark, "/root/testdata/sf0.001").count() > 0
