@@ -77,3 +77,39 @@ def test_dense_and_bm25_give_the_same_whatever_the_blocks(frame, monkeypatch, bl
     scores = ranking.bm25(frame(texts, "d long, t string"), "d", {"t": 1.0}, frame(questions, "q long, t string"), "q", "t")
     assert {(r.q, r.d) for r in scores.collect()} == {(q, d) for q, a in questions for d, t in texts if set(a.split()) & set(t.split())}
     assert scores.count() == scores.select("q", "d").distinct().count()
+
+
+def test_terms_across_the_texts_of_a_trial(spark, tmp_path):
+    """Conditions that stand across the joints of a trial's best texts, odd ones, and hits without a chunk, against the SQL."""
+    import datetime
+    import random
+
+    from tests.test_queries import plain
+    from trialloom import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    random.seed(11)
+    at = datetime.datetime(2024, 1, 1)
+    words = ["heart", "Failure", "a", "weak", " ", "\t", "x", "insulin", "stroke", "prevention"]
+    text = lambda: random.choice([None, "", " ", *[" ".join(random.choices(words, k=random.randint(1, 4))) for _ in range(9)]])
+    kinds = ["overview", "eligibility_inclusion", "outcomes", "arms_interventions"]
+    ids = [f"N{t}::{k}::0" for t in range(12) for k in kinds]
+    chunks = [(c, c.split("::")[0], random.choice([None, "", "Heart", "weak  Heart failure", "other"]), text(), random.choice([None, 0.0, 1.0, 0.83]), at) for c in ids if random.random() < 0.9]
+    chunks += [(c, n, t, "insulin heart", 1.0, datetime.datetime(2024, 1, 2)) for c, n, t, *_ in chunks[:5]]
+    hits = [(i, f"case-{i % 30}", random.choice(["bm25", "dense", "hybrid"]), random.choice(ids), random.random() * 9, at) for i in range(900)]
+    concepts = ["heart_failure", "a_weak_heart", "heart__failure", "_weak", "weak_", "_", "failure\nheart", "Failure", "x_a", "  ", None]
+    spans = [(i, f"case-{i % 29}", random.choice(concepts)) for i in range(70)]
+    for name, rows, schema in (
+        ("trial_chunks", chunks, "chunk_id string, nct_id string, title string, text string, rank_weight double, loaded_at timestamp"),
+        ("chunk_hits", hits, "hit_id long, case_id string, channel string, chunk_id string, score double, ingested_at timestamp"),
+        ("evidence_spans", spans, "span_id long, case_id string, normalized_concept string"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    duck = duckdb.connect()
+    duck.execute("SET timezone = 'UTC'")
+    for name in ("trial_chunks", "chunk_hits", "evidence_spans"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = queries.QUERIES["trial_rerank"](spark, str(tmp_path))
+    relation = duck.sql(queries.SQL["trial_rerank"])
+    places = [relation.columns.index(c) for c in df.columns]
+    assert sorted(tuple(plain(x) for x in r) for r in df.collect()) == sorted(tuple(plain(row[i]) for i in places) for row in relation.fetchall())
