@@ -99,3 +99,37 @@ def test_two_stages_never_list_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(ranking, "bm25", lambda *a, **o: pytest.fail("lists all pairs"))
     assert rerank.two_stage_texts(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_two_stages_take_every_span(spark, tmp_path):
+    """Spans of any id, alike, twice under one id, without a text, a concept or an id, against the SQL."""
+    import datetime
+
+    from tests.test_queries import plain
+    from trialloom import queries
+
+    duckdb = pytest.importorskip("duckdb")
+    random.seed(17)
+    at = datetime.datetime(2024, 1, 1)
+    text = lambda n: " ".join(f"w{random.randint(0, 30)}" for _ in range(n))
+    kinds = ["overview", "eligibility_inclusion", "outcomes", "arms_interventions"]
+    ids = [f"N{t}::{k}::{n}" for t in range(60) for k in kinds for n in range(2)]
+    chunks = [(c, random.choice([None, "", "W1 title", "w2"]), text(random.randint(0, 9)), random.choice([None, None, " ", text(4)]), random.choice([None, 0.0, 1.0, 0.83]), at) for c in ids]
+    chunks += [(c, "w2 later", "w3 w4", None, 1.0, datetime.datetime(2024, 1, 2)) for c in ids[:9]]
+    spans = [(i, text(random.randint(0, 5)), random.choice([None, "", "w1_w2", "w7", " _w9_"])) for i in range(1, 70)]
+    spans += [(200, "w1 w2", "w7"), (301, "W2-w1", "w7"), (302, None, "w1"), (303, "w1 zzz", None), (304, "zzz", "yyy"), (305, None, None), (306, "w1", "w2"), (306, "w3 w1", "w2"), (None, "w1 w2", "w3"), (-7, "w5", "w1")]
+    for name, rows, schema in (
+        ("trial_chunks", chunks, "chunk_id string, title string, text string, embedding_text string, rank_weight double, loaded_at timestamp"),
+        ("evidence_spans", spans, "span_id long, text string, normalized_concept string"),
+    ):
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    duck = duckdb.connect()
+    duck.execute("SET timezone = 'UTC'")
+    for name in ("trial_chunks", "evidence_spans"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = queries.QUERIES["two_stage_texts"](spark, str(tmp_path))
+    relation = duck.sql(queries.SQL["two_stage_texts"])
+    places = [relation.columns.index(c) for c in df.columns]
+    got = sorted(tuple(plain(x) for x in r) for r in df.collect())
+    assert got == sorted(tuple(plain(row[i]) for i in places) for row in relation.fetchall())
+    assert {"-7", "1", "200", "301", "306"} <= {r[df.columns.index("span_id")] for r in got}
