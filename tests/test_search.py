@@ -101,13 +101,18 @@ def test_two_stages_never_list_pairs(spark, monkeypatch):
     assert rerank.two_stage_texts(spark, "/root/testdata/sf0.001").count() > 0
 
 
-def test_two_stages_take_every_span(spark, tmp_path):
+@pytest.mark.parametrize("blocks", ["one", "many"])
+def test_two_stages_take_every_span(spark, tmp_path, monkeypatch, blocks):
     """Spans of any id, alike, twice under one id, without a text, a concept or an id, against the SQL."""
     import datetime
 
     from tests.test_queries import plain
     from trialloom import queries
+    from trialloom.operators import staged
 
+    if blocks == "many":
+        for name, value in {"FIRST": 7, "BLOCK": 40, "SLICE": 3, "FUSED": 2}.items():
+            monkeypatch.setattr(staged, name, value)
     duckdb = pytest.importorskip("duckdb")
     random.seed(17)
     at = datetime.datetime(2024, 1, 1)
