@@ -8,7 +8,9 @@ postings up along the beginnings that its bags share. Lists of documents never l
 from __future__ import annotations
 
 import io
+import struct
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +21,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.functions.text import tokenize
 from trialloom.operators.ranking import K1, B
 from trialloom.operators.rerank import COARSE_RRF, COARSE_TYPE, COVERED, FINE_ARMS, FINE_ENTRY, FINE_TYPE, SUPPORT
-from trialloom.operators.search import SLACK, Terms, _count, _counted, _Index, _spans
+from trialloom.operators.search import SLACK, Terms, _counted, _spans, tokens
 from trialloom.session import materialize, shared_folder
 
-#: Documents of a block, and of the first one, which only gives bounds for the others; postings after which a block ends sooner.
+#: Documents of a block, about, and of the first one, which only gives bounds for the others; postings after which a block ends sooner.
 BLOCK, FIRST, BLOCK_POSTINGS = 30_000, 4_000, 4_000_000
 #: Bags a task takes about, and bags whose lists are fused at once.
 SLICE, FUSED = 10_000, 2_000
+#: Pairs of bag and document that are scored at once.
+PAIRS = 500_000
 #: A term with postings in more than a 16th of a block is added as a whole vector.
 DENSE = 16
 
@@ -71,6 +74,16 @@ def _get(folder: str, name: str) -> list[np.ndarray]:
     return out
 
 
+def _there(folder: str, name: str) -> bool:
+    system, path = _open(folder)
+    return system.get_file_info(f"{path}/{name}").type == fs.FileType.File
+
+
+def _drop(folder: str, name: str) -> None:
+    system, path = _open(folder)
+    system.delete_file(f"{path}/{name}")
+
+
 def _texts(stored: np.ndarray) -> pa.Array:
     """A column of texts from ``_put``."""
     return pa.ipc.open_stream(stored.tobytes()).read_all().column(0).combine_chunks()
@@ -87,26 +100,37 @@ def _down(x: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(x), -np.inf, -x)
 
 
-def _index_blocks(shared, folder: str, n_fields: int):
-    """Writes the blocks of a partition, whose documents are sorted; (partition, block) of each."""
+def _count_blocks(sizes: tuple[int, int, int], shared, folder: str, n_fields: int):
+    """Writes blocks of a partition's documents, which are sorted: how often the asked terms stand in each field.
+
+    (field, term, n, length): documents with each term, for term -1 all documents and their tokens, for field -1 the partition's blocks.
+    """
+    small, large, most_postings = sizes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, partition, block = shared.value, TaskContext.get().partitionId(), 0
-        terms, size = Terms(s["terms"]), len(s["terms"])
+        listed, partition, block = shared.value, TaskContext.get().partitionId(), 0
+        terms, size = Terms(listed), max(len(listed), 1)
+        df, n, length = np.zeros((n_fields, size), np.int64), 0, np.zeros(n_fields, np.int64)
         kept: list[tuple[list, pa.RecordBatch]] = []
         rows = postings = 0
 
         def flush() -> None:
             nonlocal kept, rows, postings, block
-            parts, start = [], 0
+            parts, lengths, start = [], np.zeros((n_fields, rows), np.int32), 0
             for fields, batch in kept:
-                for i, (r, t, tf, lengths) in enumerate(fields):
-                    ratio = lengths[r] / s["average"][i] if s["average"][i] > 0 else 1.0
-                    parts.append((r + start, t, s["weight"][i] * s["idf"][i][t] * tf * (s["k1"] + 1) / (tf + s["k1"] * (1 - s["b"] + s["b"] * ratio))))
+                for i, (r, t, tf, own) in enumerate(fields):
+                    parts.append((i, t.astype(np.int64) * rows + r + start, tf))
+                    lengths[i, start : start + batch.num_rows] = own
                 start += batch.num_rows
-            index = _Index(parts, rows, size)
-            _put(folder, f"{partition}-{block}", {"n": np.array([rows]), "start": np.array(index.start), "doc": index.doc.astype(np.int32), "value": index.value})
-            own = pa.Table.from_batches([b for _, b in kept]).combine_chunks()
+            both, place = np.unique(np.concatenate([x for _, x, _ in parts]), return_inverse=True)
+            most, at = max((int(x.max()) for _, _, x in parts if x.size), default=0), 0
+            tf = np.zeros((n_fields, len(both)), np.uint8 if most < 1 << 8 else np.int32)
+            for i, x, own in parts:
+                tf[i, place[at : at + len(x)]] = own
+                at += len(x)
+            term, doc = np.divmod(both, rows)
+            _put(folder, f"{partition}-{block}-counts", {"start": np.searchsorted(term, np.arange(size + 1)), "doc": doc.astype(np.int32), "tf": tf, "lengths": lengths})
+            own = pa.Table.from_batches([b for _, b in kept])
             column = lambda i: own.column(n_fields + i).combine_chunks()
             _put(folder, f"{partition}-{block}-rows", {"parent": column(0), "kind": column(1), "title": column(2), "weight": column(3).to_numpy(zero_copy_only=False)})
             kept, rows, postings, block = [], 0, 0, block + 1
@@ -114,18 +138,47 @@ def _index_blocks(shared, folder: str, n_fields: int):
         for whole in batches:
             at = 0
             while at < whole.num_rows:
-                most = s["first"] if partition == 0 and block == 0 else s["block"]
+                most = small if partition == 0 and block == 0 else large
                 batch = whole.slice(at, min(most - rows, 10_000))
                 at += batch.num_rows
                 fields = _counted(terms, batch.columns[:n_fields], size)
+                for i, (_, t, _, own) in enumerate(fields):
+                    df[i] += np.bincount(t, minlength=size)
+                    length[i] += own.sum()
                 kept.append((fields, batch))
+                n += batch.num_rows
                 rows += batch.num_rows
                 postings += sum(len(f[0]) for f in fields)
-                if rows >= most or postings >= s["postings"]:
+                if rows >= most or postings >= most_postings:
                     flush()
         if rows:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array([partition] * block, pa.int32()), pa.array(range(block), pa.int32())], ["partition", "block"])
+        field, term = np.nonzero(df)
+        zeros = np.zeros(len(field), np.int64)
+        columns = [np.r_[field, np.arange(n_fields), -1], np.r_[term, np.full(n_fields, -1), partition], np.r_[df[field, term], np.full(n_fields, n), block], np.r_[zeros, length, 0]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["field", "term", "n", "length"])
+
+    return run
+
+
+def _value_blocks(shared, folder: str):
+    """Turns the counts of blocks into postings, by term: documents ascending, and what the term adds to the score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if _there(folder, name):  # a task that runs again finds the blocks it was done with
+                    continue
+                start, doc, tf, lengths = _get(folder, f"{name}-counts")
+                term, value = np.repeat(np.arange(len(start) - 1), np.diff(start)), np.zeros(len(doc))
+                for i, weight in enumerate(s["weight"]):
+                    at = np.flatnonzero(tf[i])
+                    ratio = lengths[i][doc[at]] / s["average"][i] if s["average"][i] > 0 else 1.0
+                    value[at] += weight * s["idf"][i][term[at]] * tf[i][at] * (K1 + 1) / (tf[i][at] + K1 * (1 - B + B * ratio))
+                _put(folder, name, {"n": np.array([lengths.shape[1]]), "start": start, "doc": doc, "value": value})
+                _drop(folder, f"{name}-counts")
+            yield batch
 
     return run
 
@@ -157,86 +210,170 @@ def _gather(folder: str, blocks: list[str]):
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, n): tokens of two columns of texts, and in how many rows they stand."""
+    for batch in batches:
+        n: Counter[str] = Counter()
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            n.update({*tokens(a), *tokens(b)})
+        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["t", "n"])
+
+
 def _keyed(shared):
-    """Bags of tokens as sorted numbers of the terms that occur, four bytes each; bags without a text that occurs are left out."""
+    """Texts as sorted numbers of their tokens that occur, four bytes each; rows without a first text that occurs are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
-        key = lambda bag: np.array(sorted(i for i in map(ids.get, bag) if i is not None), ">u4").tobytes()
         for batch in batches:
-            first = [key(bag) for bag in batch.column(0).to_pylist()]
-            second = [key(bag) for bag in batch.column(1).to_pylist()]
+            keys = []
+            for column in batch.columns[:2]:
+                known: dict[str, bytes] = {}
+                for text in column.to_pylist():
+                    if text not in known:
+                        own = sorted(ids[t] for t in tokens(text) if t in ids)
+                        known[text] = struct.pack(f">{len(own)}I", *own)
+                    keys.append(known[text])
+            first, second = keys[: batch.num_rows], keys[batch.num_rows :]
             own = pa.array([len(x) > 0 for x in first], pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()).filter(own), pa.array(second, pa.binary()).filter(own), batch.column(2).filter(own)], ["a", "b", "ids"])
 
     return run
 
 
+class _Bags:
+    """Bags of terms in a row, and their exact scores."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.ptr = np.cumsum([0, *(len(t) for t, _ in bags)])
+        self.asked, self.times = np.concatenate([t for t, _ in bags]).astype(np.int64), np.concatenate([w for _, w in bags])
+        self.short = np.uint16 if self.asked.max() < 1 << 16 else np.int64  # short numbers are sorted by digits
+
+    def scores(self, n: int, start: np.ndarray, doc: np.ndarray, value: np.ndarray, bag: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Scores of documents of a block, each for a bag: terms are looked up one after the other, and added in the order of the bag."""
+        out = np.zeros(len(bag))
+        of = np.zeros(n)
+        for at in range(0, len(bag), PAIRS):
+            b = bag[at : at + PAIRS]
+            row, place = _spans(self.ptr[b], self.ptr[b + 1])
+            term, where = self.asked[place].astype(self.short), docs[at : at + PAIRS][row]
+            order = np.argsort(term, kind="stable")
+            term, where = term[order], where[order]
+            ends = np.flatnonzero(np.r_[True, term[1:] != term[:-1], True])
+            added = np.zeros(len(row))
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                t = int(term[i])
+                mine = doc[start[t] : start[t + 1]]
+                of[mine] = value[start[t] : start[t + 1]]
+                added[order[i:j]] = of[where[i:j]]
+                of[mine] = 0.0
+            out[at : at + PAIRS] = np.bincount(row, added * self.times[place], len(b))
+        return out
+
+
 def _best(folder: str, blocks: list[str], bags: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, scores, number of them) of the ``k`` best of each bag, by rounded score, then document; the bags (terms, times) are sorted."""
+    """(documents, scores, number of them) of the ``k`` best of each bag, by rounded score, then document; the bags (terms, times) are sorted.
+
+    Documents that may be among them are found by sums of four bytes, with the error these can have, and scored exactly.
+    """
     docs, scores, sizes = np.zeros((len(bags), k), np.int32), np.zeros((len(bags), k)), np.zeros(len(bags), np.int64)
-    bound = np.zeros(len(bags))
+    bound = [0.0] * len(bags)
+    row = _Bags(bags)
     listed = [list(zip(t.tolist(), w.tolist(), strict=True)) for t, w in bags]
+    error = [(len(x) + 2) * 2.0**-23 for x in listed]
     deepest = max(map(len, listed), default=0)
-    shared = [0] * len(listed)
+    shared = [0] * (len(listed) + 1)
     for i in range(1, len(listed)):
         p, q, j = listed[i - 1], listed[i], 0
         while j < len(p) and j < len(q) and p[j] == q[j]:
             j += 1
         shared[i] = j
-    first = 0
+    added: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in bags]
+    n_added = [0] * len(bags)
+    waiting: list[tuple[int, np.ndarray]] = []
+    first = due = n_waiting = 0
+
+    def merge(i: int) -> None:
+        m = int(sizes[i])
+        own = np.concatenate([docs[i, :m], *(d for d, _ in added[i])])
+        held = np.concatenate([scores[i, :m], *(s for _, s in added[i])])
+        order = np.argsort(-np.floor(held * 1e9 + 0.5), kind="stable")[:k]  # documents stand in their order
+        m = sizes[i] = order.size
+        docs[i, :m], scores[i, :m] = own[order], held[order]
+        added[i], n_added[i] = [], 0
+        if m == k:
+            bound[i] = float(scores[i, k - 1]) * (1 - 1e-12 - error[i]) - SLACK
+
     for block in blocks:
-        (n,), start, doc, value = _get(folder, block)
-        n, start, doc = int(n), start.tolist(), doc.astype(np.int64)
-        sums = [np.zeros(n)] + [None] * deepest
+        (n,), start_of, doc, value = _get(folder, block)
+        n, start, doc = int(n), start_of.tolist(), doc.astype(np.int64)
+        brief = value.astype(np.float32)
+        cut = first + n >= due
+
+        def settle() -> None:
+            nonlocal waiting, n_waiting
+            if not waiting:
+                return
+            found = np.concatenate([f for _, f in waiting])
+            ends = np.cumsum([f.size for _, f in waiting])
+            held = row.scores(n, start_of, doc, value, np.repeat([i for i, _ in waiting], np.diff(ends, prepend=0)), found)  # noqa: B023
+            found = found + first  # noqa: B023
+            a = 0
+            for (i, _), z in zip(waiting, ends.tolist(), strict=True):
+                added[i].append((found[a:z], held[a:z]))
+                n_added[i] += z - a
+                a = z
+                if cut or n_added[i] > 4 * k:  # noqa: B023
+                    merge(i)
+            waiting, n_waiting = [], 0
+
+        sums = [np.zeros(n, np.float32)] + [None] * deepest
         whole: dict[int, np.ndarray] = {}
         depth = 0  # sums up to here are of the bag before
         for i, bag in enumerate(listed):
             depth = min(depth, shared[i])
             undo = None
-            # The last term of few documents, behind which no bag goes on, is added in place and taken back.
-            alone = i + 1 == len(listed) or shared[i + 1] < len(bag)
+            # The last term, behind which no bag goes on, is added in place and taken back if few documents have it.
+            alone = len(bag) if shared[i + 1] < len(bag) else -1
             total = sums[depth]
             for j in range(depth, len(bag)):
                 term, times = bag[j]
                 a, z = start[term], start[term + 1]
-                if a == z and alone and j + 1 == len(bag):
-                    break
-                if (z - a) * DENSE < n and alone and j + 1 == len(bag):
-                    where = doc[a:z]
-                    undo = (where, total[where])
-                    total[where] = undo[1] + value[a:z] * times
-                    break
-                out = sums[j + 1] if sums[j + 1] is not None else np.empty(n)
                 if (z - a) * DENSE >= n:
+                    out = sums[j + 1] if sums[j + 1] is not None else np.empty(n, np.float32)
                     if term not in whole:
-                        whole[term] = np.zeros(n)
-                        whole[term][doc[a:z]] = value[a:z]
-                    np.add(total, whole[term] if times == 1 else whole[term] * times, out=out)
+                        whole[term] = np.zeros(n, np.float32)
+                        whole[term][doc[a:z]] = brief[a:z]
+                    np.add(total, whole[term] if times == 1 else whole[term] * np.float32(times), out=out)
+                elif j + 1 == alone:
+                    if a < z:
+                        where = doc[a:z]
+                        undo = (where, total[where])
+                        total[where] = undo[1] + brief[a:z] * np.float32(times)
+                    break
                 else:
+                    out = sums[j + 1] if sums[j + 1] is not None else np.empty(n, np.float32)
                     np.copyto(out, total)
-                    out[doc[a:z]] += value[a:z] * times
+                    out[doc[a:z]] += brief[a:z] * np.float32(times)
                 total = sums[j + 1] = out
                 depth = j + 1
             found = (total >= bound[i] if bound[i] > 0 else total > 0).nonzero()[0]
-            if found.size:
+            if found.size > 2 * k:
                 held = total[found]
-                if found.size > 2 * k:
-                    near = held >= np.partition(held, found.size - k)[found.size - k] * (1 - 1e-12) - SLACK
-                    found, held = found[near], held[near]
-                m = int(sizes[i])
-                if m:
-                    found, held = np.concatenate([docs[i, :m], found + first]), np.concatenate([scores[i, :m], held])
-                else:
-                    found = found + first
-                order = np.argsort(-np.floor(held * 1e9 + 0.5), kind="stable")[:k]  # documents stand in their order
-                m = sizes[i] = order.size
-                docs[i, :m], scores[i, :m] = found[order], held[order]
-                if m == k:
-                    bound[i] = scores[i, k - 1] * (1 - 1e-12) - SLACK
+                least = float(np.partition(held, found.size - k)[found.size - k]) * (1 - 2 * error[i]) - SLACK
+                found = found[held >= least]
             if undo is not None:
                 total[undo[0]] = undo[1]
+            if found.size:
+                waiting.append((i, found))
+                n_waiting += found.size
+                if n_waiting >= PAIRS:
+                    settle()
+        settle()
         first += n
+        due = 2 * first if cut else due
+    for i in range(len(bags)):
+        if added[i]:
+            merge(i)
     return docs, scores, sizes
 
 
@@ -295,9 +432,7 @@ def _coarse(rows: dict[str, np.ndarray], lists: list[tuple[np.ndarray, np.ndarra
 
 def _within(folder: str, blocks: list[str], rows: dict[str, np.ndarray], group: np.ndarray, parent: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, document, score) of the ``k`` best documents of each group's bag among its parents' documents."""
-    ptr = np.cumsum([0, *(len(t) for t, _ in bags)])
-    asked, times = np.concatenate([t for t, _ in bags]).astype(np.int64), np.concatenate([w for _, w in bags])
-    short = np.uint16 if asked.max() < 1 << 16 else np.int64  # short numbers are sorted by digits
+    row = _Bags(bags)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     first = 0
     by = np.argsort(parent, kind="stable")
@@ -313,22 +448,9 @@ def _within(folder: str, blocks: list[str], rows: dict[str, np.ndarray], group:
         a, z = np.searchsorted(own, parent[here]), np.searchsorted(own, parent[here], "right")
         pair, place = _spans(a, z)
         q, d = group[here[pair]], docs[place]
-        for at in range(0, len(q), 500_000):
-            g, r = q[at : at + 500_000], d[at : at + 500_000]
-            row, place = _spans(ptr[g], ptr[g + 1])
-            term, where = asked[place].astype(short), r[row]
-            order = np.argsort(term, kind="stable")
-            ends = np.flatnonzero(np.r_[True, term[order][1:] != term[order][:-1], True]) if len(order) else [0]
-            added, of = np.zeros(len(row)), np.zeros(n)
-            for i, j in zip(ends[:-1], ends[1:], strict=True):
-                t = int(term[order[i]])
-                mine = doc[start[t] : start[t + 1]]
-                of[mine] = value[start[t] : start[t + 1]]
-                added[order[i:j]] = of[where[order[i:j]]]
-                of[mine] = 0.0
-            score = np.bincount(row, added * times[place], len(g))
-            some = score > 0
-            out.append((g[some], (r[some] + first).astype(np.int32), score[some]))
+        score = row.scores(n, start, doc, value, q, d)
+        some = score > 0
+        out.append((q[some], (d[some] + first).astype(np.int32), score[some]))
         first += n
     group, doc, score = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.lexsort((doc, -np.floor(score * 1e9 + 0.5), group))
@@ -423,37 +545,41 @@ def two_stages(documents: DataFrame, key: str, weights: dict[str, float], parent
     """
     spark = documents.sparkSession
     fields = [f for f, w in weights.items() if w > 0]
-    listed = [F.flatten(F.collect_list(tokenize(F.col(t)))).alias(n) for t, n in zip(texts, "ab", strict=True)]
-    asked = queries.where(F.col(query_key).isNotNull()).groupBy(query_key).agg(*listed).where(F.size("a") > 0)
-    asked = materialize(asked.select(F.array_sort("a").alias("a"), F.array_sort("b").alias("b"), query_key).groupBy("a", "b").agg(F.collect_list(query_key).alias("ids")))
-    words = asked.select(F.explode(F.array_distinct(F.concat("a", "b"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas()
-    words = words.sort_values(["n", "t"], ascending=[False, True], ignore_index=True)
+    # A blank parts the texts of a key that is there more than once; tokens hold none.
+    listed = [F.concat_ws(" ", F.collect_list(F.col(t))).alias(n) for t, n in zip(texts, "ab", strict=True)]
+    asked = queries.where(F.col(query_key).isNotNull()).groupBy(query_key).agg(*listed).where(F.col("a") != "")
+    asked = materialize(asked.groupBy("a", "b").agg(F.collect_list(query_key).alias("ids")))
+    words = asked.select("a", "b").mapInArrow(_words, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    # Terms that most queries have come first, so that many bags begin alike.
+    terms = words.sort_values(["n", "t"], ascending=[False, True])["t"].tolist()
     id_type = queries.schema[query_key].dataType
     schema = f"`{query_key}` {id_type.simpleString()}, `{parent}` string, rank long, support double, score double"
 
     whole = documents.where(F.col(key).isNotNull())
     named = [F.col(f).cast("string").alias(f"__f{i}") for i, f in enumerate(fields)]
-    terms = words["t"].tolist()
-    counts = _count(whole.select(*named), terms, len(fields))
-    known = np.flatnonzero(counts.df.sum(axis=0)[: len(terms)] > 0)
-    if not known.size:
-        return spark.createDataFrame([], schema)
-    # Terms that most queries have come first, so that many bags begin alike.
-    terms, df = [terms[i] for i in known], counts.df[:, known]
-    state = {"terms": terms, "weight": [float(weights[f]) for f in fields], "average": counts.average.tolist(), "idf": np.log(1 + (counts.n - df + 0.5) / (df + 0.5)), "k1": K1, "b": B, "first": FIRST, "block": BLOCK, "postings": BLOCK_POSTINGS}
-
     folder = shared_folder(spark, "stages")
     cores = spark.sparkContext.defaultParallelism
-    parts = max(cores, -(-counts.n // BLOCK))
     extra = [F.coalesce(F.col(parent).cast("string"), F.lit("")).alias("__parent"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("__kind"), F.lower(F.coalesce(F.col(title), F.lit(""))).alias("__title"), F.col(weight).cast("double").alias("__weight")]
-    spread = whole.select(*named, *extra, F.col(key).alias("__key")).repartitionByRange(parts, "__key").sortWithinPartitions("__key")
-    blocks = spread.mapInArrow(_index_blocks(spark.sparkContext.broadcast(state), folder, len(fields)), "partition int, block int").collect()
-    blocks = [f"{p}-{b}" for p, b in sorted((r.partition, r.block) for r in blocks)]
+    placed = whole.select(*named, *extra, F.col(key).alias("__key")).repartitionByRange(max(cores, -(-whole.select(key).count() // BLOCK)), "__key").sortWithinPartitions("__key")
+    counting = _count_blocks((FIRST, 2 * BLOCK, BLOCK_POSTINGS), spark.sparkContext.broadcast(terms), folder, len(fields))
+    counts = placed.mapInArrow(counting, "field int, term int, n long, length long").groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("length").alias("length")).toArrow().to_pandas()
+    df, average, n = np.zeros((len(fields), max(len(terms), 1))), np.zeros(len(fields)), 0
+    some = counts[(counts["field"] >= 0) & (counts["term"] >= 0)]
+    df[some["field"], some["term"]] = some["n"]
+    for f, m, size in counts.loc[counts["term"] < 0, ["field", "n", "length"]].itertuples(index=False):
+        n, average[f] = int(m), size / m if m else 0.0
+    blocks = [f"{p}-{b}" for p, m in sorted(counts.loc[counts["field"] < 0, ["term", "n"]].itertuples(index=False, name=None)) for b in range(m)]
+    known = df.sum(axis=0) > 0
+    if not known.any():
+        return spark.createDataFrame([], schema)
+    state = {"weight": [float(weights[f]) for f in fields], "average": average.tolist(), "idf": np.log(1 + (n - df + 0.5) / (df + 0.5))}
+    names = spark.createDataFrame([(b,) for b in blocks], "block string").repartition(min(len(blocks), 4 * cores))
+    names.mapInArrow(_value_blocks(spark.sparkContext.broadcast(state), folder), "block string").count()
     spark.range(1, numPartitions=1).mapInArrow(_gather(folder, blocks), "n long").collect()
 
-    ids = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    ids = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms) if known[i]})
     id_list = f"array<{id_type.simpleString()}>"
-    bags = asked.select("a", "b", "ids").mapInArrow(_keyed(ids), f"a binary, b binary, ids {id_list}").groupBy("a", "b").agg(F.flatten(F.collect_list("ids")).alias("ids"))
+    bags = asked.mapInArrow(_keyed(ids), f"a binary, b binary, ids {id_list}").groupBy("a", "b").agg(F.flatten(F.collect_list("ids")).alias("ids"))
     bags = materialize(bags)
     slices = max(3 * cores, -(-bags.count() // SLICE))
     from pyspark.sql.pandas.types import to_arrow_type
